@@ -117,21 +117,15 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> t
     return starts, ends, firsts, mix((summed[ends] - summed[starts]) * inverse[starts])
 
 
-_STEP = [np.uint64(int(x) | 1) for x in np.random.default_rng(7).integers(1 << 62, 1 << 63, 64)]
-
-
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of width consecutive word hashes (of one text)."""
     n = len(hashes) - width + 1
-    total = np.full(max(n, 0), np.uint64(width), np.uint64)
-    for k in range(width if n > 0 else 0):
-        total += mix(hashes[k : k + n] ^ _STEP[k % 64]) * _STEP[(k * 7 + 3) % 64]
-    return mix(total)
-
-
-def shared(df: DataFrame, key: str) -> DataFrame:
-    """Keys that more than one row has."""
-    return df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, inverse = _power(len(hashes))
+    summed = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power, out=summed[1:])
+    return mix((summed[width:] - summed[:n]) * inverse[:n] + np.uint64(width))
 
 
 def components(pairs: DataFrame, name: str = "components") -> DataFrame:

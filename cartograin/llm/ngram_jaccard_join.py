@@ -5,9 +5,10 @@
    These prefixes are dealt by hash to inverted lists; a set with too few shared hashes in its prefix links with nothing.
 3. As in DivideSkip, a set sets aside its need - 1 longest lists: a partner must still be on one of the rest. Sets that meet
    on those lists, directly or through others, form a search group; no link leaves its group.
-4. Within a group (large ones in pairs of blocks) short lists are merged with a heap, long ones are probed by binary search,
-   and pairs with the required overlap link. A candidate that already is in the same component is skipped, so that a group
-   of g near copies costs about g checks, and only a spanning forest of links is emitted.
+4. Within a group short lists are merged with a heap, long ones are probed by binary search, and pairs with the required
+   overlap link. A candidate that already is in the same component is skipped, so that a group of g near copies costs about
+   g checks, and only a spanning forest of links is emitted. A large group is searched in blocks, each together with the
+   group's hubs; then what still stands on a list with sets of other components is searched again, in pairs of blocks.
 5. Components of these links are found by Spark.
 
 Two shingles count as equal when their 64-bit hashes are.
@@ -27,12 +28,12 @@ from pyspark.sql import Window
 
 from .common import chunks, components, mix, shuffle_parts, table, window_hashes, word_hashes, written
 
-#: Sets in one block of a large search group; a task holds two blocks.
-BLOCK = 256
+#: Sets in one block of a large search group, and sets that all its blocks are searched with first.
+BLOCK, HUBS = 256, 8
 #: Postings that a task gathers before it hands them on.
 FLUSH = 1 << 20
-#: In hundredths of a set's size: by how much its prefix is longer than needed for one shared hash.
-EXTRA = 8
+#: How many hashes the prefixes of a linked pair share: hundredths of a set's size, and a least number for short texts.
+EXTRA, LEAST = 8, 24
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -52,6 +53,11 @@ def _at_least(num: int, den: int, n: int) -> int:
     return -(-num * n // den)
 
 
+def _met(num: int, den: int, n: int) -> int:
+    """How many hashes the prefix of a set of n is to share with a partner's that is no smaller; does not fall with n."""
+    return min(_at_least(num, den, n), max(LEAST, n * EXTRA // 100))
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches):
         for b in batches:
@@ -84,8 +90,8 @@ def _postings(docs: DataFrame, width: int, num: int, den: int, ranges: int) -> D
             for _, s in shingle_sets(b.column(1), width):
                 if len(s) and (d := _digest(s)[0]) not in sets:
                     least = _at_least(num, den, len(s))
-                    s = s[: len(s) - least + max(1, len(s) * EXTRA // 100)]
-                    sets[d] = (s.copy(), max(1, least * EXTRA // 100))
+                    s = s[: len(s) - least + _met(num, den, len(s))]
+                    sets[d] = (s.copy(), _met(num, den, least))
                     held += len(s)
                     if held >= FLUSH:
                         yield deal(sets)
@@ -154,6 +160,50 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return first[root][place]
 
 
+def _blocks(groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, node, label, blocks, block): members of groups of two or more, dealt to blocks."""
+    sized = groups.groupBy("label").count().filter("count > 1").select("label", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    return groups.join(sized, "label").join(reps, "node").withColumn("block", F.expr("cast(pmod(xxhash64(rep, label), blocks) as int)")).select("rep", "node", "label", "blocks", "block")
+
+
+def _with_hubs(members: DataFrame, meets: DataFrame) -> DataFrame:
+    """(rep, label, i, j): each block with itself, and with its group's hubs, the sets on the most and longest lists."""
+    degrees = meets.groupBy("node").agg(F.sum("df").alias("degree"))
+    tops = members.filter("blocks > 1").join(degrees, "node").groupBy("label", "blocks", "block").agg(F.max(F.struct("degree", "rep")).alias("top"))
+    hubs = tops.groupBy("label", "blocks").agg(F.slice(F.sort_array(F.collect_list("top"), False), 1, HUBS).alias("tops"))
+    hubs = hubs.select("label", "blocks", F.explode("tops.rep").alias("rep")).select("rep", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"))
+    return members.select("rep", "label", F.col("block").alias("i"), F.lit(0).alias("j")).unionByName(hubs).distinct()
+
+
+def _open(meets: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, bucket) of the lists of large groups that sets of different components are on; others can add no link."""
+    at = members.filter("blocks > 1").select("node", "rep").join(roots.select(F.col("node").alias("rep"), F.col("label").alias("root")), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+    on = meets.select("node", "bucket").join(at, "node")
+    mixed = on.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return on.join(mixed, "bucket").select("node", "bucket")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(rep, label, i, j): each pair of a group's blocks, or the block of a group that has one only."""
+    other = F.explode(F.expr("case when blocks = 1 then array(0) else filter(sequence(0, blocks - 1), x -> x <> block) end"))
+    return members.withColumn("other", other).select("rep", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _searched(dealt: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, bucket): ids of sets, and the smallest id of the component that one search finds them in."""
+
+    def search(t: pa.Table) -> pa.Table:
+        reps = t.column("rep").to_numpy()
+        sets = [s.copy() for _, s in shingle_sets(t.column("text"), width)]
+        first = linked(sets, num, den)
+        low = np.full(len(reps), np.iinfo(np.int64).max)
+        np.minimum.at(low, first, reps)
+        many = (np.bincount(first, minlength=len(reps)) > 1)[first]
+        return pa.table({"node": reps[many], "bucket": low[first][many]})
+
+    return dealt.join(texts, "rep").select("label", "i", "j", "rep", "text").groupBy("label", "i", "j").applyInArrow(search, "node long, bucket long")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; two texts link when den * |common| >= num * |union| of their shingles.
 
@@ -169,26 +219,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     lists = _postings(docs.filter("doc_id is not null"), width, num, den, max(32, 2 * shuffle_parts(spark)))
     rarest = Window.partitionBy("d1").orderBy("df", "h")
     ranked = lists.withColumns({"k": F.row_number().over(rarest), "n": F.count("*").over(Window.partitionBy("d1"))})
-    meets = written(ranked.filter("n >= need and k <= n - need + 1").select(F.col("d1").alias("node"), F.col("h").alias("bucket")), "jaccard-meets")
+    meets = written(ranked.filter("n >= need and k <= n - need + 1").select(F.col("d1").alias("node"), F.col("h").alias("bucket"), "df"), "jaccard-meets")
+    reps = nodes.select(F.col("d1").alias("node"), "rep")
     groups = components(meets.join(meets.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket"), "jaccard-groups")
-    sized = groups.groupBy("label").count().filter("count > 1").select("label", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    members = written(
-        groups.join(sized, "label").join(nodes, groups.node == nodes.d1).select("rep", "label", "blocks", F.expr("cast(pmod(xxhash64(rep, label), blocks) as int)").alias("block")), "jaccard-members"
-    )
-    texts = docs.join(members, docs.doc_id == members.rep).select("rep", "text", "label", "blocks", "block")
-    paired = texts.withColumn("other", F.explode(F.expr("case when blocks = 1 then array(0) else filter(sequence(0, blocks - 1), x -> x <> block) end")))
-    paired = paired.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "text")
-
-    def search(t: pa.Table) -> pa.Table:
-        reps = t.column("rep").to_numpy()
-        sets = [s.copy() for _, s in shingle_sets(t.column("text"), width)]
-        first = linked(sets, num, den)
-        low = np.full(len(reps), np.iinfo(np.int64).max)
-        np.minimum.at(low, first, reps)
-        many = (np.bincount(first, minlength=len(reps)) > 1)[first]
-        return pa.table({"node": reps[many], "bucket": low[first][many]})
-
-    found = paired.groupBy("label", "i", "j").applyInArrow(search, "node long, bucket long")
+    members = written(_blocks(groups, reps), "jaccard-members")
+    texts = written(docs.join(members.select("rep").distinct(), docs.doc_id == F.col("rep")).select("rep", "text"), "jaccard-texts")
+    found = _searched(_with_hubs(members, meets), texts, width, num, den)
+    if members.filter("blocks > 1").limit(1).count():
+        found = written(found, "jaccard-found")
+        open_ = components(_open(meets, members, components(found, "jaccard-links")), "jaccard-groups")
+        found = found.unionByName(_searched(_pairs(_blocks(open_, reps)), texts, width, num, den))
     roots = components(found, "jaccard-links").withColumnRenamed("label", "root")
     nodes = nodes.join(roots, nodes.rep == roots.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     nodes = nodes.withColumnsRenamed({"d1": "e1", "d2": "e2"})
