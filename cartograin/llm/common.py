@@ -96,10 +96,10 @@ def chunks(column: pa.Array, size: int = CHUNK):
         at = to
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the place of its first word among them (and the total)."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~SPACE[data]
+    inside[:-1] = ~space[data]
     before = np.concatenate(([False], inside[:-1]))
     edges = np.zeros(len(data) + 1, bool)
     edges[offsets] = True
@@ -108,9 +108,9 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """words() and a 64-bit hash of each word's bytes (A-Z as a-z if lower)."""
-    starts, ends, firsts = words(offsets, data)
+    starts, ends, firsts = words(offsets, data, space)
     power, inverse = _power(len(data) + 1)
     summed = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[:-1], out=summed[1:])
