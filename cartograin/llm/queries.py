@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard_join
+from . import bpe, fingerprints, ngram_jaccard_join, packing, pii, quality_rules, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard_join.op1_ngram_jaccard_join,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_pii": pii.op3_pii,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
+    "op10_sharding": sharding.op10_sharding,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": quality_rules.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
