@@ -19,7 +19,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1 << 32, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 #: Texts are hashed in pieces of about so many bytes, so that a task's memory does not depend on its input.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, fresh, mix, shuffle_parts, table, window_hashes, word_hashes, words, written
 
 #: Postings that a task gathers before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _KNOWN = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
 
@@ -33,11 +33,14 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            split = [t.split() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in split], pa.int64()), pa.array([sha256(b" ".join(x)).hexdigest() for x in split]), pa.array([pack.compress(t) for t in texts], pa.binary())], ["id", "n_words", "sha", "z"]
-            )
+            n, sha, z = [], [], []
+            for k in range(b.num_rows):
+                text = (b.column(1)[k].as_py() or "").encode()
+                own = text.split()
+                n.append(len(own))
+                sha.append(sha256(b" ".join(own)).hexdigest())
+                z.append(pack.compress(text))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(z, pa.binary())], ["id", "n_words", "sha", "z"])
 
     return docs.mapInArrow(squeeze, "id long, n_words long, sha string, z binary")
 
