@@ -1,6 +1,53 @@
-STAGES = []
+"""The corpus pipeline: documents in, packed sequences out. Each stage is written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartograin.llm import ngram_jaccard_join, packing, pii, quality_classifier, substring_dedup
+from cartograin.llm.common import table, written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score under the model of trusted text is within their language's threshold."""
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group linked by a similarity of 0.8 or more on shingles of five words."""
+    return ngram_jaccard_join.one_of_each(docs, width=5, num=80, den=100)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of 20 words that also start earlier."""
+    return _counted(substring_dedup.without_repeats(docs, window=20))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that give it away replaced."""
+    return _counted(pii.sanitised(docs))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in packed sequences."""
+    return packing.packed(docs, packing.default_tokenizer())
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", substrings), ("PII", private), ("packing", sequences)]
+
+#: SQL cannot express the trained model, the corpus statistics or the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{k}")
+    return docs
