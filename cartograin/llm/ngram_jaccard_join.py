@@ -223,7 +223,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     reps = nodes.select(F.col("d1").alias("node"), "rep")
     groups = components(meets.join(meets.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket"), "jaccard-groups")
     members = written(_blocks(groups, reps), "jaccard-members")
-    texts = written(docs.join(members.select("rep").distinct(), docs.doc_id == F.col("rep")).select("rep", "text"), "jaccard-texts")
+    texts = written(docs.join(members.select("rep").distinct().hint("merge"), docs.doc_id == F.col("rep")).select("rep", "text"), "jaccard-texts")
     found = _searched(_with_hubs(members, meets), texts, width, num, den)
     if members.filter("blocks > 1").limit(1).count():
         found = written(found, "jaccard-found")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, ngram_jaccard_join, packing, pii, quality_rules, sharding, substring_dedup, warc
+from . import bpe, fingerprints, ngram_jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard_join.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_sharding": sharding.op10_sharding,
