@@ -58,6 +58,8 @@ def _parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
         stop = start + int(head["content-length"])
     except (ValueError, KeyError):
         return "bad header"
+    if not ("warc-type" in head and "warc-record-id" in head):
+        return "missing field"
     if stop < start or data[stop : stop + 4] != _END:
         return "bad length"
     block = data[start:stop]
