@@ -17,5 +17,8 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_jaccard_join.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
 }

@@ -265,3 +265,14 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB, with windows as text.
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i+19], ' ') ORDER BY doc_id, i) AS k FROM w, unnest(range(1, greatest(len(words) - 18, 1))) AS t(i)),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM x, unnest(range(0, 20)) AS t(j) WHERE k > 1),
+k AS (SELECT w.doc_id, t.p, w.words[t.p] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(p)),
+r AS (SELECT k.doc_id, count(g.p) AS n_removed, coalesce(string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY k.p), '') AS kept FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""

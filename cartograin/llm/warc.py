@@ -202,3 +202,14 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     write_warc(table(spark, sf_dir, "pages"), path)
     found = read_warc(spark, path).filter("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same in DuckDB; base 32 from the digest's bits.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT page_id, html, from_hex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * (substr(bits, 5 * k + 1, 1) = '1')::INT + 8 * (substr(bits, 5 * k + 2, 1) = '1')::INT
+    + 4 * (substr(bits, 5 * k + 3, 1) = '1')::INT + 2 * (substr(bits, 5 * k + 4, 1) = '1')::INT + (substr(bits, 5 * k + 5, 1) = '1')::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
