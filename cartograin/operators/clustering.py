@@ -30,8 +30,9 @@ SMALL = 200_000
 class _Grid:
     """Leaders of a radius by cell, and the rule for the next point."""
 
-    def __init__(self, r: float):
+    def __init__(self, r: float, strict: bool = False):
         self.r, self.cells = r, defaultdict(list)
+        self.inside = (lambda d: d < r) if strict else (lambda d: d <= r)
 
     def add(self, key: int, x: float, y: float) -> None:
         self.cells[floor(x / self.r), floor(y / self.r)].append((key, x, y))
@@ -42,7 +43,7 @@ class _Grid:
         for a in (i - 1, i, i + 1):
             for b in (j - 1, j, j + 1):
                 for k, lx, ly in self.cells.get((a, b), ()):
-                    if (found is None or k < found) and ((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 <= self.r:
+                    if (found is None or k < found) and self.inside(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5):
                         found = k
         if found is None:
             self.add(key, x, y)
@@ -54,13 +55,13 @@ def _small(points: DataFrame) -> bool:
     return points.limit(SMALL + 1).count() <= SMALL
 
 
-def _in_one_task(points: DataFrame, r: float, fixed: DataFrame | None) -> DataFrame:
+def _in_one_task(points: DataFrame, r: float, fixed: DataFrame | None, strict: bool) -> DataFrame:
     rows = points.select("key", "mx", "my", F.lit(1).alias("kind"))
     if fixed is not None:
         rows = rows.unionByName(fixed.select("key", "mx", "my", F.lit(0).alias("kind")))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, keys, found = _Grid(r), [], []
+        grid, keys, found = _Grid(r, strict), [], []
         for key, x, y, kind in pdf.sort_values(["kind", "key"]).itertuples(index=False):
             if kind:
                 keys.append(key)
@@ -100,17 +101,20 @@ def _levels_in_one_task(points: DataFrame, max_zoom: int, min_zoom: int) -> Data
     return points.groupBy().applyInPandas(build, schema)
 
 
-def leaders(points: DataFrame, r: float, fixed: DataFrame | None = None) -> DataFrame:
-    """(key, leader) for points (key, mx, my): key of the leader of each; fixed (key, mx, my): earlier leaders that stay."""
+def leaders(points: DataFrame, r: float, fixed: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """(key, leader) for points (key, mx, my): key of the leader of each; fixed (key, mx, my): earlier leaders that stay.
+
+    strict: only what is nearer than r is within the radius.
+    """
     if _small(points) and (fixed is None or _small(fixed)):
-        return _in_one_task(points, r, fixed)
+        return _in_one_task(points, r, fixed, strict)
     member = None
     if fixed is not None:
-        joined = near(points, fixed, r).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("leader"))
+        joined = near(points, fixed, r, strict).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("leader"))
         member = written(joined, "joined")
         points = points.join(member, "key", "left_anti")
     points = written(points.select("key", "mx", "my"), "undecided")
-    edges = written(near(points, points, r).filter("a < b"), "edges")
+    edges = written(near(points, points, r, strict).filter("a < b").select("a", "b"), "edges")
     open_, lead = edges, None
     undecided = points.select("key")
     while True:
@@ -129,6 +133,20 @@ def leaders(points: DataFrame, r: float, fixed: DataFrame | None = None) -> Data
     return found if member is None else found.unionByName(member)
 
 
+def markers(points: DataFrame, r: float) -> DataFrame:
+    """(leader, n, x, y): marker clusters of points (seq, mx, my): each joins the nearest earlier leader nearer than r, or leads.
+
+    A cluster stands where its first point stands. Of equally near leaders the first is joined.
+    """
+    points = written(collapsed(points), "points")
+    lead = leaders(points, r, strict=True).filter("key = leader").select("key")
+    centres = written(points.join(lead, "key").select("key", "mx", "my"), "centres")
+    pairs = near(points, centres, r, strict=True).filter("b <= a")
+    nearest = pairs.groupBy(F.col("a").alias("key")).agg(F.min(F.struct("d", "b")).alias("to"))
+    grouped = points.join(nearest, "key").groupBy(F.col("to.b").alias("leader")).agg(F.sum("n").alias("n"))
+    return grouped.join(centres.select(F.col("key").alias("leader"), F.col("mx").alias("x"), F.col("my").alias("y")), "leader")
+
+
 def merged(points: DataFrame, member: DataFrame) -> DataFrame:
     """Clusters (key, mx, my, n, sx, sy, lx, ly, children): sums, centroid and the leader's own position; key is the leader's."""
     lead = points.select(F.col("key").alias("leader"), F.col("mx").alias("lx"), F.col("my").alias("ly"))
@@ -197,6 +215,44 @@ def labels(points: DataFrame, tree: DataFrame, zoom: int) -> DataFrame:
     return raw
 
 
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise from the leftmost."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def chain(order):
+        out = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(points) + chain(points[::-1])
+
+
+def hulls(points: DataFrame, parts: int = 32) -> DataFrame:
+    """(label, left, top, right, bottom, hull) of points (label, seq, mx, my): bounds and convex hull of each cluster.
+
+    Parts of a cluster are reduced to the corners of their hulls first, so that no task sees a large cluster whole.
+    """
+    schema = "label long, part int, mx double, my double"
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _hull([*zip(pdf["mx"], pdf["my"])])
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "part": 0, "mx": [x for x, _ in found], "my": [y for _, y in found]})
+
+    def ring(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _hull([*zip(pdf["mx"], pdf["my"])])
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "hull": [[[x, y] for x, y in found]]})
+
+    bounds = points.groupBy("label").agg(F.min("mx").alias("left"), F.min("my").alias("top"), F.max("mx").alias("right"), F.max("my").alias("bottom"))
+    dealt = points.select("label", F.expr(f"cast(pmod(xxhash64(seq), {parts}) as int)").alias("part"), "mx", "my")
+    found = dealt.groupBy("label", "part").applyInPandas(corners, schema).groupBy("label").applyInPandas(ring, "label long, hull array<array<double>>")
+    return bounds.join(found, "label")
+
+
 def extended(level: DataFrame, points: DataFrame, zoom: int) -> DataFrame:
     """Exact incremental step: clusters of a zoom, straight from points, after more points (seq beyond all earlier ones).
 

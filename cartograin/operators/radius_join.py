@@ -12,8 +12,8 @@ def _cell(v: Column, r: float) -> Column:
     return F.floor(v / F.lit(r)).cast("long")
 
 
-def near(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """(a, b) keys of rows of left and right (key, mx, my) within r of each other, both ends included, each pair once.
+def near(left: DataFrame, right: DataFrame, r: float, strict: bool = False) -> DataFrame:
+    """(a, b, d) keys and distance of rows of left and right (key, mx, my) within r (strict: nearer than r), each pair once.
 
     The right side is sent to the nine cells around its own, the left side stays in its cell; no theta join is planned.
     """
@@ -21,4 +21,5 @@ def near(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     b = right.select(F.col("key").alias("b"), F.col("mx").alias("bx"), F.col("my").alias("by"), F.explode(steps).alias("d"))
     b = b.select("b", "bx", "by", (_cell(F.col("bx"), r) + F.col("d.i")).alias("ci"), (_cell(F.col("by"), r) + F.col("d.j")).alias("cj"))
-    return a.join(b, ["ci", "cj"]).filter(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.lit(r)).select("a", "b")
+    pairs = a.join(b, ["ci", "cj"]).withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return pairs.filter(F.col("d") < F.lit(r) if strict else F.col("d") <= F.lit(r)).select("a", "b", "d")

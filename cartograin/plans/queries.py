@@ -12,6 +12,7 @@ from ..functions.text_match import match
 from ..operators import aggregation, agreement, clustering, radius_join, visible
 from ..sources import points as sources
 from ..sources import sinks
+from ..streaming.progressive import by_slices
 from .shared import written
 
 BBOX = (-120.0, 26.0, -75.0, 28.5)
@@ -126,6 +127,24 @@ def _approximate(spark, sf_dir):
     return clustering.approximate(state, p.filter(F.col("seq") >= half), 8, 0)
 
 
+def _markers(spark, sf_dir):
+    return clustering.markers(_points(spark, sf_dir, KEYWORD), 40 / (256 * 2**4)).select("leader", "n")
+
+
+def _hulls(spark, sf_dir):
+    p = written(_points(spark, sf_dir, KEYWORD), "points")
+    label = F.floor(F.col("mx") * 32).cast("long") * 32 + F.floor(F.col("my") * 32).cast("long")
+    return clustering.hulls(p.withColumn("label", label)).withColumn("corners", F.size("hull")).drop("hull")
+
+
+def _progressive(spark, sf_dir):
+    """Clusters at zoom 4 after the last of ten slices of three days."""
+    state = None
+    for _, state in by_slices(sources.from_events(spark, sf_dir).filter(match(F.col("text"), KEYWORD)), START, datetime(2024, 1, 31), DAYS, 4):
+        pass
+    return _rounded(state.select("key", "mx", "my", "n"), "mx", "my")
+
+
 def _raw(spark, sf_dir):
     return aggregation.raw(_points(spark, sf_dir), BBOX)
 
@@ -241,6 +260,9 @@ QUERIES = {
     "treecut_min": _cut("min"),
     "bipartite_cut": _cut("max", True),
     "approx_incremental": _approximate,
+    "marker_clusters": _markers,
+    "cluster_hulls": _hulls,
+    "progressive_clusters": _progressive,
     "raw_explore": _raw,
     "pixel_aggregate": _pixels,
     "quadtree_counts": _cells,
@@ -280,6 +302,7 @@ ORACLE_SQL = {
     "clusters_z4": _CLUSTERS,
     "incremental_exact_z4": _CLUSTERS,
     "visible_bbox": f"WITH RECURSIVE {_GREEDY}, d AS (SELECT key, avg(mx) AS mx, avg(my) AS my, count(*) AS n FROM c GROUP BY key) SELECT key, round((mx-0.5)*360, 4) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90, 4) AS lat, n FROM d WHERE {_BOX}",
+    "progressive_clusters": _CLUSTERS.replace("row_number() OVER (ORDER BY tid)-1 AS seq, mx", "row_number() OVER (ORDER BY create_at, tid)-1 AS seq, mx").replace("WHERE text =", "WHERE create_at < TIMESTAMP '2024-01-31' AND text ="),
     "points_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}'",
     "time_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}' AND create_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
     "limit_scan": f"WITH {_P} SELECT tid, x, y FROM p ORDER BY tid LIMIT 500",

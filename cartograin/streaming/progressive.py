@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clustering
 from ..plans.shared import numbered, written
-from ..sources.points import projected
+from ..sources.points import projected, slices
 
 
 class Progressive:
@@ -40,3 +42,16 @@ class Progressive:
     def run(self, stream: DataFrame, checkpoint: str):
         """Starts the query on a stream of points; awaitTermination() ends with the input (available now)."""
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def by_slices(table: DataFrame, start: datetime, end: datetime, days: int, zoom: int | None = None, max_zoom: int = 17, cumulative: bool = False):
+    """Yields (progress in per cent, state) for each time slice of a table of points (tid, create_at, text, x, y).
+
+    Each slice updates the state with its own points; cumulative clusters all points so far anew. Slices are half open.
+    """
+    spark, at = table.sparkSession, Progressive(table.sparkSession, zoom, max_zoom)
+    for k, low, high, progress in slices(start, end, days):
+        if cumulative:
+            at, low = Progressive(spark, zoom, max_zoom), start
+        at.update(table.filter((F.col("create_at") >= F.lit(low)) & (F.col("create_at") < F.lit(high))), k)
+        yield progress, at.state

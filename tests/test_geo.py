@@ -240,3 +240,33 @@ def test_session_and_stream(spark, small, tmp_path):
     assert progress.state.agg(F.sum("n")).first()[0] == n and progress.last >= 1
     progress.update(events.limit(5), 0)
     assert progress.seen == n
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_markers(points, rows, small, monkeypatch):
+    monkeypatch.setattr(clustering, "SMALL", small)
+    leads, n = [], {}
+    for k, x, y in rows:
+        near = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in leads)
+        if near and near[0][0] < 0.05:
+            n[near[0][1]] += 1
+        else:
+            leads.append((k, x, y))
+            n[k] = 1
+    assert {r.leader: r.n for r in clustering.markers(points, 0.05).collect()} == n
+
+
+def test_hulls(points, rows):
+    got = clustering.hulls(points.withColumn("label", F.lit(1).cast("long")), parts=5).first()
+    corners = [tuple(p) for p in got.hull]
+    assert set(corners) <= {(x, y) for _, x, y in rows} and (got.left, got.top) == (min(p[1] for p in rows), min(p[2] for p in rows))
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        assert all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= -1e-12 for _, x, y in rows)
+
+
+def test_slices_update_or_rebuild(spark, small):
+    from cartograin.streaming.progressive import by_slices
+
+    events = sources.from_events(spark, small).filter("text = 'click'")
+    found = [[(p, sorted((r.key, r.n) for r in s.collect())) for p, s in by_slices(events, datetime(2024, 1, 1), datetime(2024, 1, 31), 10, 3, cumulative=c)] for c in (False, True)]
+    assert found[0] == found[1] and [p for p, _ in found[0]] == [33, 66, 100]
