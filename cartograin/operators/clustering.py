@@ -138,12 +138,12 @@ def markers(points: DataFrame, r: float) -> DataFrame:
 
     A cluster stands where its first point stands. Of equally near leaders the first is joined.
     """
-    points = written(collapsed(points), "points")
-    lead = leaders(points, r, strict=True).filter("key = leader").select("key")
-    centres = written(points.join(lead, "key").select("key", "mx", "my"), "centres")
-    pairs = near(points, centres, r, strict=True).filter("b <= a")
-    nearest = pairs.groupBy(F.col("a").alias("key")).agg(F.min(F.struct("d", "b")).alias("to"))
-    grouped = points.join(nearest, "key").groupBy(F.col("to.b").alias("leader")).agg(F.sum("n").alias("n"))
+    distinct = written(collapsed(points), "points")
+    lead = leaders(distinct, r, strict=True).filter("key = leader").select("key")
+    centres = written(distinct.join(lead, "key").select("key", "mx", "my"), "centres")
+    rows = points.select(F.col("seq").alias("key"), "mx", "my")
+    nearest = near(rows, centres, r, strict=True).filter("b <= a").groupBy("a").agg(F.min(F.struct("d", "b")).alias("to"))
+    grouped = nearest.groupBy(F.col("to.b").alias("leader")).agg(F.count("*").alias("n"))
     return grouped.join(centres.select(F.col("key").alias("leader"), F.col("mx").alias("x"), F.col("my").alias("y")), "leader")
 
 
