@@ -7,9 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stemming import STOP, stem, stems
+
 _TOKEN = re.compile(r"\s*(<->|[&|!()]|[^\s&|!()<]+)")
 
 
+_MARKS, _ANY = ("<->", "&", "|", "!", "(", ")"), "\0"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; a null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -21,27 +26,29 @@ def _term(term: str) -> tuple[str, bool]:
 
 
 def _has(words: Column, term: str) -> Column:
+    if term == _ANY:
+        return F.lit(True)
     word, prefix = _term(term)
-    return F.exists(words, lambda x: x.startswith(word)) if prefix else F.array_contains(words, word)
+    return _phrase(words, [term]) if prefix else F.array_contains(words, word)
 
 
 def _phrase(words: Column, terms: list[str]) -> Column:
-    def at(i: Column) -> Column:
-        found = F.lit(True)
-        for k, term in enumerate(terms):
-            word, prefix = _term(term)
-            here = F.coalesce(F.get(words, i + k), F.lit(""))
-            found = found & (here.startswith(word) if prefix else here == word)
-        return found
+    """Whether the terms stand next to each other: a pattern over the words joined by one space (words hold letters and digits)."""
+    parts = ["\\Q" + w.replace("\\E", "") + "\\E" + "[^ ]*" * prefix for w, prefix in map(_term, terms)]
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).rlike(" " + " ".join(parts) + " ")
 
-    return (F.size(words) > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)
 
+def match(text: Column, query: str | None, english: bool = False) -> Column:
+    """Whether the text satisfies the query; a null query or "%" is satisfied by every text, a malformed one by none.
 
-def match(text: Column, query: str | None) -> Column:
-    """Whether the text satisfies the query; a null query or "%" is satisfied by every text, a malformed one by none."""
+    english compares stems and passes over stop words: a stop word in the query neither helps nor hinders.
+    """
     if query is None or query.strip() == "%":
         return F.lit(True)
     words, parts = tokens(text), [m[1] for m in _TOKEN.finditer(query)]
+    if english:
+        words = stems(words)
+        parts = [p if p in _MARKS or p.endswith(":*") else stem(p.lower()) if p.lower() not in STOP else _ANY for p in parts]
     at = 0
 
     def peek():
@@ -85,6 +92,7 @@ def match(text: Column, query: str | None) -> Column:
             if peek() is None or peek() in ("&", "|", "!", "(", ")", "<->"):
                 raise ValueError(query)
             terms.append(take())
+        terms = [t for t in terms if t != _ANY] or [_ANY]
         return _has(words, terms[0]) if len(terms) == 1 else _phrase(words, terms)
 
     try:

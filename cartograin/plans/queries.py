@@ -39,6 +39,11 @@ def _documents(query: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").filter(match(F.col("text"), query)).select("doc_id")
 
 
+def _english(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
+    return docs.filter(match(F.col("text"), "licensed & works", english=True)).select("doc_id")
+
+
 def _documents_sql(condition: str) -> str:
     return rf"SELECT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM documents) WHERE {condition}"
 
@@ -242,6 +247,7 @@ QUERIES = {
     "keyword_or_not": _documents("(der | les) & !und"),
     "keyword_prefix": _documents("tion:*"),
     "keyword_phrase": _documents("of <-> the"),
+    "keyword_english": _english,
     "mercator_project": _project,
     "mercator_roundtrip": _roundtrip,
     "order_original": _order("original"),

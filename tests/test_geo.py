@@ -270,3 +270,16 @@ def test_slices_update_or_rebuild(spark, small):
     events = sources.from_events(spark, small).filter("text = 'click'")
     found = [[(p, sorted((r.key, r.n) for r in s.collect())) for p, s in by_slices(events, datetime(2024, 1, 1), datetime(2024, 1, 31), 10, 3, cumulative=c)] for c in (False, True)]
     assert found[0] == found[1] and [p for p, _ in found[0]] == [33, 66, 100]
+
+
+def test_stems():
+    from cartograin.functions.stemming import stem
+
+    want = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing hopping hop falling fall filing file happy happi sky sky relational relat conditional condit digitizer digit radicalli radic vietnamization vietnam triplicate triplic electrical electr goodness good revival reviv adjustment adjust adoption adopt probate probat rate rate cease ceas controll control roll roll".split()
+    assert [stem(w) for w in want[::2]] == want[1::2]
+
+
+def test_english_queries(spark):
+    docs = spark.createDataFrame([(1, "The cats were running"), (2, "a runner"), (3, "the of")], "id long, text string")
+    of = lambda q: sorted(r.id for r in docs.filter(match(F.col("text"), q, english=True)).collect())
+    assert of("cat & runs") == [1] and of("the & runner") == [2] and of("cat <-> running") == [1]
