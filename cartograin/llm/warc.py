@@ -141,7 +141,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     """
 
     def sign(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=9)
         for b in batches:
             bodies = [(h or "").encode() for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([digest(x) for x in bodies]), pa.array([len(x) for x in bodies], pa.int64()), pa.array([pack.compress(x) for x in bodies], pa.binary())], ["key", "url", "digest", "n", "z"])
