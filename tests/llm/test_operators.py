@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartograin.llm import bpe, fingerprints, ngram_jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
@@ -281,6 +282,31 @@ def test_classifier_separates_and_matches_brute_force(spark, documents, small):
     assert sum(not got[i].kept for i in flags if not flags[i]) >= 0.6 * sum(not q for q in flags.values())
 
 
+def test_classifier_rejects_toxic_texts(spark, small):
+    larger = small.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    docs = docs.join(labels.withColumnRenamed("doc_id", "id_"), docs.doc_id == F.col("id_"))
+    flags = {r.doc_id: r for r in docs.collect()}
+    kept = {r.doc_id: r.kept for r in quality_classifier.classified(docs, labels).collect()}
+    insult = re.compile("clown|idiot|trash|stupid|pathetic|scum|moron|disgusting|worthless|loser", re.I)
+    of = lambda quality, toxic: [i for i, r in flags.items() if (r.quality, r.toxic) == (quality, toxic)]
+    gone = lambda ids: sum(not kept[i] for i in ids) / len(ids)
+    seen = [i for i in of(1, 1) if insult.search(flags[i].text)]
+    print(f"rejected: clean {gone(of(1, 0)):.3f}, quality 0 {gone(of(0, 0) + of(0, 1)):.3f}, quality 1 and toxic {gone(of(1, 1)):.3f}, with insults {gone(seen):.3f} of {len(seen)}")
+    # the other toxic texts hold none of these words, nor anything else that trusted texts do not have
+    assert gone(of(1, 0)) <= 0.03 and gone(of(0, 0) + of(0, 1)) >= 0.9 and gone(of(1, 1)) >= 0.6 and gone(seen) >= 0.95
+
+
+def test_worst_run_of_each_text():
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 5, 6, 7, 0, 40, 3]
+    lp, which = -rng.random(sum(lengths)), np.repeat(np.arange(len(lengths)), lengths)
+    got, w = quality_classifier._worst(lp, which, len(lengths)), quality_classifier.WORST
+    for k, n in enumerate(lengths):
+        own = -lp[which == k]
+        assert abs(got[k] - max([own[j : j + w].sum() / w for j in range(max(1, n - w + 1))])) < 1e-9
+
+
 def test_kneser_ney_probabilities(spark):
     texts = ["abab abba", "abcab", "bca bca b"]
     symbols = lambda t: [2, 2, 2, *t.encode("utf-16-le")[::2]]
