@@ -1,11 +1,11 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Base spans are emails, IP addresses, card and phone numbers; their values are the protected entities. How strongly a term
-reveals an entity is estimated from the corpus: pmi(t, e) = log2(n(e, t) N / (n(e) n(t))) is the information that the term
-gives about the entity, of IC(e) = log2(N / n(e)) in all, where n(e) and n(e, t) count distinct texts that mention the
-entity (with the term among the words around a mention), n(t) documents with the term, and N documents. A term near an
-entity's mention is generalised if pmi / IC reaches one threshold and removed if it reaches a higher one, provided that
-enough distinct texts support it. Terms are runs of letters, compared by a 64-bit hash of their bytes (A-Z as a-z).
+reveals an entity is estimated from the corpus: pmi(t, e) = log2(p N / n(t)) is the information that the term gives about
+the entity, of IC(e) = log2(N / n(e)) in all, where n(e) counts the texts that mention the entity, n(t) those with the
+term, and N all. p is the share of the entity's texts that have the term on a mention's line, or rather the lower bound of
+Wilson's interval of one standard error for it: most entities have one text, where p is 1/2. A term on the line of an
+entity's mention is generalised if pmi / IC reaches one threshold and removed if it reaches a higher one. Terms are runs of letters, compared by a 64-bit hash of their bytes (A-Z as a-z).
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import chunks, fresh, mix, shuffle_parts, table, word_hashes, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a mention that count as near it, letters that a term has at least.
-NEAR, LETTERS = 8, 3
+#: Letters that a term has at least.
+LETTERS = 3
 #: Distinct (term, count) pairs that a task gathers before it hands them on.
 FLUSH = 1 << 20
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -78,7 +78,7 @@ def _entity(kind: str, value: str) -> int:
 
 
 def _around(text: str, spans: dict) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms near each mention, outside all base spans."""
+    """(entity, term, start, end) of the terms on each mention's line, outside all base spans."""
     mentions = [(s, e, _entity(k, v)) for k in KINDS for s, e, v in spans[k]]
     data = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _, hashes = word_hashes(np.array([0, len(data)]), data, True, NOT_LETTER)
@@ -90,10 +90,10 @@ def _around(text: str, spans: dict) -> list[tuple[int, int, int, int]]:
         free[a:b] = False
     out = set()
     for s, e, entity in mentions:
-        a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e)
-        for k in (*range(max(0, a - NEAR), a), *range(b, min(len(starts), b + NEAR))):
-            if free[k]:
-                out.add((entity, int(hashes[k].view(np.int64)), int(starts[k]), int(ends[k])))
+        line, after = text.rfind("\n", 0, s) + 1, text.find("\n", e)
+        a, b = np.searchsorted(starts, line), np.searchsorted(starts, after if after >= 0 else len(text))
+        k = a + np.flatnonzero(free[a:b])
+        out.update(zip([entity] * len(k), hashes[k].view(np.int64).tolist(), starts[k].tolist(), ends[k].tolist()))
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
@@ -175,7 +175,9 @@ def _spans(docs: DataFrame, general: float, removed: float, support: int) -> tup
     both = written(both.join(mentions, "e"), "pii-both")
     held = _held(docs, both.select("t").distinct(), max(32, 2 * shuffle_parts(spark)))
     n = float(found.count())
-    told = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("held")))
+    p, m = F.col("n_et") / F.col("n_e"), F.col("n_e").cast("double")
+    low = (p + 1 / (2 * m) - F.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+    told = F.log2(low * F.lit(n) / F.col("held"))
     share = told / F.log2(F.lit(n) / F.col("n_e"))
     telling = both.join(held.filter("held > 0"), "t").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= general)
     telling = telling.select("e", "t", F.when(F.col("share") >= removed, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"))
@@ -184,7 +186,7 @@ def _spans(docs: DataFrame, general: float, removed: float, support: int) -> tup
     return found, added.select(F.col("text_key").alias("key_"), F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["z"].cast("string"))), ",").alias("added"))
 
 
-def personal_data(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; spans has base spans, then added ones.
 
     general and removed are the shares of an entity's information from which a term is generalised or removed, support the
@@ -211,7 +213,7 @@ def redact(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitised(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data replaced in the texts; all rows and columns stay, null texts stay null."""
     found, added = _spans(_plain(docs, id_col, text_col), general, removed, support)
     joined = found.join(added, found.text_key == added.key_, "left").filter("base <> '' or added is not null")

@@ -196,6 +196,19 @@ def test_sanitisation_of_telling_terms(spark):
     assert clean[0] == rows[0][1] and "zanzibar" not in clean[100] and "<EMAIL>" in clean[100] and "example.org" not in clean[100]
 
 
+def test_sanitisation_of_single_mentions(spark, small):
+    rng = random.Random(4)
+    rows = [(k, words_of(rng, 30)) for k in range(200)]
+    rows += [(300, "zanzibar " + words_of(rng, 20) + " a.b@mail.example.org " + words_of(rng, 20) + "\nmadagascar")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = [rows[-1][1][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[300].split(",")) if k in ("removed", "generalised")]
+    assert "zanzibar" in added and not {"alpha", "beta", "the", "madagascar"} & set(added) and not any(got[k] for k in range(200))
+    given = pii.personal_data(spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")).collect()
+    kinds = collections.Counter(x.split(":")[0] for r in given for x in r.spans.split(",") if x)
+    assert kinds["removed"] + kinds["generalised"] > 0 and all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in given if "removed" in r.spans or "generalised" in r.spans)
+    print(kinds)
+
+
 def test_bpe(documents, edge, rows):
     from tokenizers import Tokenizer
 
