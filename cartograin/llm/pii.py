@@ -3,7 +3,7 @@
 Base spans are emails, IP addresses, card and phone numbers; their values are the protected entities. How strongly a term
 reveals an entity is estimated from the corpus: pmi(t, e) = log2(p N / n(t)) is the information that the term gives about
 the entity, of IC(e) = log2(N / n(e)) in all, where n(e) counts the texts that mention the entity, n(t) those with the
-term, and N all. p is the share of the entity's texts that have the term on a mention's line, or rather the lower bound of
+term, and N all, each over distinct texts. p is the share of the entity's texts that have the term on a mention's line, or rather the lower bound of
 Wilson's interval of one standard error for it: most entities have one text, where p is 1/2. A term on the line of an
 entity's mention is generalised if pmi / IC reaches one threshold and removed if it reaches a higher one. Terms are runs of letters, compared by a 64-bit hash of their bytes (A-Z as a-z).
 """
@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 LETTERS = 3
 #: Distinct (term, count) pairs that a task gathers before it hands them on.
 FLUSH = 1 << 20
+#: Bits of the map of texts that have copies, and of a block of it.
+MAP, BLOCK = 24, 15
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -120,8 +122,45 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, _FOUND)
 
 
+def _place(keys) -> np.ndarray:
+    return np.array([int(k[: MAP // 4], 16) for k in keys], np.int64)
+
+
+def _map(keys: DataFrame) -> np.ndarray:
+    """The places of text keys (text_key) as a map of 2^MAP bits: of a fixed size, made in blocks, so it can go to the driver and all tasks."""
+
+    def block(t: pa.Table) -> pa.Table:
+        at = _place(t.column("text_key").to_pylist())
+        bits = np.zeros(1 << BLOCK, bool)
+        bits[at & ((1 << BLOCK) - 1)] = True
+        return pa.table({"b": pa.array([int(at[0]) >> BLOCK], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << MAP) >> 3, np.uint8)
+    b = F.conv(F.substring("text_key", 1, MAP // 4), 16, 10).cast("long")
+    for row in keys.groupBy(F.shiftright(b, BLOCK).alias("of")).applyInArrow(block, "b long, bits binary").collect():
+        out[row.b << (BLOCK - 3) : (row.b + 1) << (BLOCK - 3)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _once(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(text): each distinct text once; copied (text_key): those with copies. Only texts that share a bit with one of these are shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_map(copied))
+
+    def part(shared: bool):
+        def keep(batches):
+            for b in batches:
+                at = _place([md5((t or "").encode()).hexdigest() for t in b.column(0).to_pylist()])
+                yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) == shared))
+
+        return keep
+
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    again = text.mapInArrow(part(True), "text string").groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"))
+    return text.mapInArrow(part(False), "text string").unionByName(again.select("text"))
+
+
 def _held(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
-    """(t, held): how many documents have each wanted term. Each task counts what it reads; ranges of the hash are summed."""
+    """(t, held): how many texts have each wanted term. Each task counts what it reads; ranges of the hash are summed."""
 
     def count(batches):
         def deal(parts):
@@ -173,8 +212,9 @@ def _spans(docs: DataFrame, general: float, removed: float, support: int) -> tup
     mentions = near.select("e", "text_key").distinct().groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
     both = near.select("e", "t", "text_key").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     both = written(both.join(mentions, "e"), "pii-both")
-    held = _held(docs, both.select("t").distinct(), max(32, 2 * shuffle_parts(spark)))
-    n = float(found.count())
+    texts = written(found.groupBy("text_key").agg(F.count("*").alias("rows")), "pii-texts")
+    held = _held(_once(docs, texts.filter("rows > 1").select("text_key")), both.select("t").distinct(), max(32, 2 * shuffle_parts(spark)))
+    n = float(texts.count())
     p, m = F.col("n_et") / F.col("n_e"), F.col("n_e").cast("double")
     low = (p + 1 / (2 * m) - F.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
     told = F.log2(low * F.lit(n) / F.col("held"))

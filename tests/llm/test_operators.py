@@ -209,6 +209,17 @@ def test_sanitisation_of_single_mentions(spark, small):
     print(kinds)
 
 
+def test_copies_of_a_text_do_not_hide_its_terms(spark):
+    rng = random.Random(6)
+    rows = [(k, words_of(rng, 30)) for k in range(300)] + [(1000 + k, f"zanzibar x{k} a.b@mail.example.org alpha") for k in range(3)]
+    alone = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = spark.createDataFrame(rows + [(2000 + k, rows[-1][1]) for k in range(500)] + [(3000 + k, None) for k in range(9)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(copies.repartition(5)).collect()}
+    assert "removed:0:8" in alone[1000] and all(got[i] == alone[i] for i in alone) and got[2499] == alone[1002] and got[3000] == ""
+    once = pii._once(copies, spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(),) for t in (rows[-1][1], "")], "text_key string"))
+    assert collections.Counter(r.text for r in once.collect()) == collections.Counter({t: 1 for t in [*(t for _, t in rows), ""]})
+
+
 def test_bpe(documents, edge, rows):
     from tokenizers import Tokenizer
 
