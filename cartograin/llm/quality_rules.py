@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Frequent lines of a hot host are spread over so many join keys.
 SALT = 16
@@ -49,11 +49,23 @@ def _counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.when(F.size("at") > 0, covered).otherwise(F.lit(0).cast("long"))).drop("at")
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.regexp_replace(F.lower(F.trim(line, F.lit(_WHITE))), "[0-9]+", "0"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, host, text_hash, h, n): each line with a word of each text, h its normalised hash, n its words."""
     rows = docs.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n", -1)).alias("line")).filter(_letters(F.col("line")) != "")
-    normal = F.regexp_replace(F.lower(F.trim(F.col("line"), F.lit(_WHITE))), "[0-9]+", "0")
-    return rows.select("doc_id", "host", "text_hash", F.xxhash64(normal).alias("h"), F.size(F.filter(F.split("line", _GAP, -1), lambda w: w != "")).cast("long").alias("n"))
+    return rows.select("doc_id", "host", "text_hash", _line_hash(F.col("line")).alias("h"), F.size(F.filter(F.split("line", _GAP, -1), lambda w: w != "")).cast("long").alias("n"))
+
+
+def _of_common(docs: DataFrame, lines: DataFrame, share: float, least: int) -> DataFrame:
+    """The lines that are common on their host."""
+    texts = docs.select("host", F.xxhash64("text").alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    found = lines.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") > least)
+    common = found.join(texts, "host").filter(F.col("held") > share * F.col("texts")).select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.col("text_hash"), F.lit(SALT)).cast("int"))
+    return salted.join(common, ["host", "h", "salt"])
 
 
 def quality(docs: DataFrame, share: float = 0.15, least: int = 10, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -68,11 +80,7 @@ def quality(docs: DataFrame, share: float = 0.15, least: int = 10, min_words: in
     host = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit(""))
     docs = docs.withColumn("host", host)
     counts, lines = _counts(docs), _lines(docs)
-    texts = docs.select("host", F.xxhash64("text").alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    found = lines.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("held")).filter(F.col("held") > least)
-    common = found.join(texts, "host").filter(F.col("held") > share * F.col("texts")).select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = lines.withColumn("salt", F.pmod(F.col("text_hash"), F.lit(SALT)).cast("int"))
-    gone = salted.join(common, ["host", "h", "salt"]).groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("gone"))
+    gone = _of_common(docs, lines, share, least).groupBy("doc_id", "host", "text_hash").agg(F.sum("n").alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "id_", "host": "host_", "text_hash": "hash_"})
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("host") == F.col("host_")) & (F.col("text_hash") == F.col("hash_"))
     rows = counts.select("doc_id", "host", "text_hash").groupBy("doc_id", "host", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
@@ -86,6 +94,21 @@ def quality(docs: DataFrame, share: float = 0.15, least: int = 10, min_words: in
     )
 
 
+def without_common_lines(docs: DataFrame, share: float = 0.15, least: int = 10, min_words: int = 50, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that quality() keeps, their texts without the lines that are common on their host. Columns as in docs."""
+    id_, host, text, hash_, gone = (fresh(docs.columns, name=x) for x in ("_id", "_host", "_text", "_hash", "_gone"))
+    marked = docs.withColumn(host, F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    marked = marked.withColumn(hash_, F.xxhash64(text)).withColumn(id_, F.concat_ws(":", F.sha2(text, 256), host))
+    once = marked.select(id_, F.col(host_col), F.col(text_col)).dropDuplicates([id_])
+    kept = quality(once, share, least, min_words, id_, text_col, host_col).filter("kept").select("doc_id")
+    plain = marked.select(F.col(id_).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+    common = _of_common(plain, _lines(plain), share, least).groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set("h").alias(gone))
+    kept = kept.join(common, F.col("doc_id") == F.col("id_"), "left").select(F.col("doc_id").alias("id_"), gone)
+    joined = marked.join(kept, marked[id_] == kept["id_"])
+    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: (_letters(x) == "") | ~F.array_contains(F.col(gone), _line_hash(x))), "\n")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 

@@ -272,6 +272,18 @@ def test_common_lines_are_removed(spark):
     assert not got[100].base_failed and not got[100].kept and got[100].n_common_words == 15
 
 
+def test_texts_without_common_lines(spark, edge):
+    rng = random.Random(1)
+    own = [words_of(rng, 60) for _ in range(30)]
+    rows = [(k, "s", f"{t}\n\n Click here  to subscribe 1{k}\nend{'abcdefghijklmnopqrstuvwxyzABCD'[k]}{t[:3]}") for k, t in enumerate(own)]
+    rows += [(100, "s", "click here  to subscribe 7\n" * 3 + words_of(rng, 49)), (101, "s", words_of(rng, 60)), (102, "t", own[0] + "\nclick here to subscribe 3"), (None, "s", rows[0][2]), (103, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = quality_rules.without_common_lines(docs)
+    want = [(i, h, "\n".join(x for x in t.split("\n") if h != "s" or "Click here" not in x)) for i, h, t in rows if i not in (100, 103)]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want) and got.columns == docs.columns
+    assert quality_rules.without_common_lines(edge).columns == edge.columns
+
+
 def test_fingerprints(documents, edge, rows):
     def likeness(a, b):
         a, b = (collections.Counter(x.encode().lower().split()) for x in (a, b))
