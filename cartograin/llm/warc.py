@@ -163,11 +163,12 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def read_warc(spark, path: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark, path: str, with_payload: bool = False, names_like: str = "*.{txt,warc,warc.gz}") -> DataFrame:
     """(file, offset, length, kind, reason, page_id, record_type, payload_bytes, payload_digest, refers_to[, payload]).
 
     kind is "record" or "gap" (then reason says which check failed first). A response's length and digest come from the
-    payload as read, a revisit's from its header. Payload is null for gaps and revisits.
+    payload as read, a revisit's from its header. Payload is null for gaps and revisits. names_like: a glob of the files'
+    names. Each archive is read whole by one task, so it must be under 2 GB.
     """
     number = re.compile(r"<urn:page:(-?\d+)>")
 
@@ -193,7 +194,7 @@ def read_warc(spark, path: str, with_payload: bool = False) -> DataFrame:
 
     names = ["file", "offset", "length", "kind", "reason", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     schema = "file string, offset long, length long, kind string, reason string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names_like).load(path)
     return files.select("path", "content").mapInArrow(read, schema)
 
 

@@ -470,6 +470,23 @@ def test_salvage(packed):
         assert all(f"<urn:page:{k}>" in ids for k in range(30) if k not in hurt)
 
 
+def test_read_warc_takes_plain_and_gzip_archives(spark, tmp_path):
+    records = [(warc.record(k, "http://e.org", b"page %d" % k, warc.digest(b"page %d" % k), 6, None) + "\r\n").encode() for k in range(4)]
+    damaged = [records[0], records[1].replace(b"page 1", b"PAGE 1"), records[2], records[3]]
+    packed = [gzip.compress(x) for x in records]
+    packed[1] = packed[1][:-6] + b"\x00" * 6
+    (tmp_path / "a.warc").write_bytes(b"".join(damaged))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(packed))
+    (tmp_path / "c.txt").write_bytes(records[1])
+    (tmp_path / "d.html").write_bytes(records[1])
+    got = warc.read_warc(spark, str(tmp_path), True).collect()
+    for name, size, want in (("a.warc", sum(map(len, damaged)), [0, None, 2, 3]), ("b.warc.gz", sum(map(len, packed)), [0, None, 2, 3]), ("c.txt", len(records[1]), [1])):
+        own = sorted((r for r in got if r.file.endswith("/" + name)), key=lambda r: r.offset)
+        assert [r.page_id for r in own] == want and sum(r.length for r in own) == size
+        assert all((r.kind == "gap") == (r.page_id is None) and (r.kind == "gap" or r.payload == b"page %d" % r.page_id) for r in own)
+    assert not any(r.file.endswith("d.html") for r in got) and {r.file[-5:] for r in warc.read_warc(spark, str(tmp_path), names_like="*.warc").collect()} == {".warc"}
+
+
 def test_shards(documents, edge, rows):
     plain = [(r[0], r[1]) for r in documents.select("doc_id", "text").collect()]
     for df, of in ((documents, plain), (edge, rows)):
