@@ -1,14 +1,16 @@
 """WARC archives: writing response and revisit records with Spark, and a salvage reader.
 
-Records are text, so Spark's text writer makes the archives: WARC/1.1 files of at most so many records, on any store that
-Spark writes to. The reader takes each archive (plain, or gzip members) and checks every record: version line, header,
-length, the end mark and the block's digest. After a failed check it searches for the next valid gzip member or version
-line, goes on from there and reports the bytes between as a quarantined gap; a version line inside a page is passed over,
-for the record that it would begin fails its checks.
+Each record is a gzip member of its own, so a damaged one takes no other with it. Tasks write WARC/1.1 archives of bounded
+size straight to the store (through pyarrow's file systems) and return a row for each; that table of archives is committed
+by Spark, and what a lost or repeated attempt left behind is not in it. The reader takes each archive (plain, or gzip
+members) and checks every record: version line, header, length, the end mark and the block's digest. After a failed check
+it searches for the next valid gzip member or version line, goes on from there and reports the bytes between as a
+quarantined gap; a version line inside a page is passed over, for the record that it would begin fails its checks.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 import uuid
 import zlib
@@ -20,11 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _MEMBER, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 _NO_ID = -(1 << 63)
+#: Bytes of records that a reading task hands on at a time.
+FLUSH = 8 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -131,13 +135,14 @@ def salvage(data: bytes):
         yield "gap", gap, len(data) - gap, why
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 1000) -> None:
-    """Writes a record for each row of pages (page_id, url, html) to new archives under path.
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 100_000, file_bytes: int = 64 << 20) -> DataFrame:
+    """Writes a record for each row of pages (page_id, url, html) to new archives under path; (file, records, bytes) of each.
 
     The payload is html in UTF-8; null is empty. Of rows with equal payloads of min_bytes at least, those with the smallest
     id are responses, the others revisits that refer to it; shorter payloads are all responses. Rows without an id are
     written too: as revisits if a row with an id has their payload. Repeated rows give repeated records. A null url gives
-    no target line. Other columns are ignored. An empty table gives no records.
+    no target line. Other columns are ignored. An empty table gives no archives. An archive ends at file_bytes (or
+    records_per_file), so that any of them fits into one task; path is any that pyarrow can open for writing.
     """
 
     def sign(batches):
@@ -146,11 +151,31 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
             bodies = [(h or "").encode() for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([digest(x) for x in bodies]), pa.array([len(x) for x in bodies], pa.int64()), pa.array([pack.compress(x) for x in bodies], pa.binary())], ["key", "url", "digest", "n", "z"])
 
-    def text(batches):
-        unpack = zstandard.ZstdDecompressor()
+    def archive(batches):
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        store, folder = FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        at, unpack = TaskContext.get(), zstandard.ZstdDecompressor()
+        name, out, records, size, done = "", None, 0, 0, []
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns))
-            yield pa.RecordBatch.from_arrays([pa.array([record(None if k == _NO_ID else k, url, unpack.decompress(z) if first is None else b"", d, n, first) for k, url, d, n, z, first in rows], pa.string())], ["value"])
+            for k, url, d, n, z, first in zip(*(c.to_pylist() for c in b.columns)):
+                if out is None:
+                    name = f"part-{at.partitionId():06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.gz"
+                    out, records, size = store.open_output_stream(f"{folder}/{name}", compression=None), 0, 0
+                body = unpack.decompress(z) if first is None else b""
+                member = gzip.compress((record(None if k == _NO_ID else k, url, body, d, n, first) + "\r\n").encode(), 6, mtime=0)
+                out.write(member)
+                records, size = records + 1, size + len(member)
+                if size >= file_bytes or records >= records_per_file:
+                    out.close()
+                    done.append((name, records, size))
+                    out = None
+        if out is not None:
+            out.close()
+            done.append((name, records, size))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
 
     pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.col("url").cast("string"), F.col("html").cast("string"))
     signed = pages.mapInArrow(sign, "key long, url string, digest string, n long, z binary")
@@ -159,8 +184,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     same = same.select(F.col("digest").alias("digest_"), F.col("n").alias("n_"), "first")
     again = alone.join(same, (F.col("digest") == F.col("digest_")) & (F.col("n") == F.col("n_"))).filter("key <> first").select(F.col("key").alias("key_"), "digest_", "first").distinct()
     rows = signed.join(again, (F.col("key") == F.col("key_")) & (F.col("digest") == F.col("digest_")), "left")
-    records = rows.select("key", "url", "digest", "n", F.when(F.col("first").isNull(), F.col("z")).otherwise(F.lit(b"")).alias("z"), "first").mapInArrow(text, "value string")
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    rows = rows.select("key", "url", "digest", "n", F.when(F.col("first").isNull(), F.col("z")).otherwise(F.lit(b"")).alias("z"), "first")
+    return written(rows.mapInArrow(archive, "file string, records long, bytes long"), "warc-archives")
 
 
 def read_warc(spark, path: str, with_payload: bool = False, names_like: str = "*.{txt,warc,warc.gz}") -> DataFrame:
@@ -168,40 +193,56 @@ def read_warc(spark, path: str, with_payload: bool = False, names_like: str = "*
 
     kind is "record" or "gap" (then reason says which check failed first). A response's length and digest come from the
     payload as read, a revisit's from its header. Payload is null for gaps and revisits. names_like: a glob of the files'
-    names. Each archive is read whole by one task, so it must be under 2 GB.
+    names. An empty archive, or a folder without archives, gives no rows. Each archive is read whole by one task, so it
+    must be under 2 GB.
     """
     number = re.compile(r"<urn:page:(-?\d+)>")
+    names = ["file", "offset", "length", "kind", "reason", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def id_of(value):
         return int(m[1]) if (m := number.fullmatch(value or "")) else None
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(10 + with_payload)], names[: 10 + with_payload])
+
     def read(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = []
-                for kind, offset, length, *rest in salvage(data):
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                rows, held = [], 0
+                for kind, offset, length, *rest in salvage(data.as_buffer().to_pybytes()):
                     if kind == "gap":
-                        rows.append((name, offset, length, kind, rest[0], None, None, None, None, None, None))
+                        rows.append((name, offset, length, kind, rest[0], *[None] * 6))
                         continue
                     head, block = rest
                     revisit = head.get("warc-type") == "revisit"
                     body = block.partition(_END)[2]
                     n, d = (int(head.get("x-payload-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha1:")) if revisit else (len(body), digest(body))
                     rows.append((name, offset, length, kind, None, id_of(head.get("warc-record-id")), head.get("warc-type"), n, d, id_of(head.get("warc-refers-to")), None if revisit or not with_payload else body))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-                yield pa.RecordBatch.from_arrays(columns[: 10 + with_payload], names[: 10 + with_payload])
+                    held += len(rows[-1][-1] or b"") + 256
+                    if held >= FLUSH:
+                        yield batch(rows)
+                        rows, held = [], 0
+                yield batch(rows)
 
-    names = ["file", "offset", "length", "kind", "reason", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     schema = "file string, offset long, length long, kind string, reason string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
     files = spark.read.format("binaryFile").option("pathGlobFilter", names_like).load(path)
     return files.select("path", "content").mapInArrow(read, schema)
 
 
+def quarantined(found: DataFrame, path: str) -> DataFrame:
+    """Writes the gaps of read_warc()'s rows as a log of JSON lines (file, offset, length, reason) under path, and returns the records."""
+    found.filter("kind = 'gap'").select("file", "offset", "length", "reason").write.json(path)
+    return found.filter("kind = 'record'")
+
+
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back; gaps go to a log beside them. Nulls and repeats as write_warc() says."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
-    found = read_warc(spark, path).filter("kind = 'record'")
+    archives = write_warc(table(spark, sf_dir, "pages"), path)
+    found = read_warc(spark, path).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    found = found.join(archives.select(F.col("file").alias("name")), "name", "left_semi")
+    found = quarantined(written(found, "warc-found"), f"{path}-quarantine")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
