@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,10 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1 << 32, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 #: Texts are hashed in pieces of about so many bytes, so that a task's memory does not depend on its input.
 CHUNK = 1 << 20
+#: Postings in one range, and members of a bucket beyond which its edges are dealt to parts of about so many.
+RANGE, HOT = 1 << 21, 4096
+#: Parts that the rows of a hot key are dealt to in a join with a few rows for each key.
+SALT = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here if the session has none (as in tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. A session on one machine may lack it and gets a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cartograin-"))
         place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
@@ -41,15 +46,28 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     """df as a Parquet table in the shared folder: cuts the lineage, survives a lost executor, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges_for(spark: SparkSession, postings: int) -> int:
+    """Ranges that postings are dealt to: as many as keep each, which one task holds, at about RANGE of them, and two for each shuffle partition."""
+    return max(32, 2 * shuffle_parts(spark), -(-postings // RANGE))
+
+
 def fresh(*taken: list[str], name: str) -> str:
     """A column name that none of the given lists has."""
     while any(name in names for names in taken):
@@ -128,14 +146,30 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix((summed[width:] - summed[:n]) * inverse[:n] + np.uint64(width))
 
 
+def _without_hot_buckets(edges: DataFrame, name: str) -> DataFrame:
+    """edges (node, bucket) with each bucket of over HOT members as parts, and the smallest member of each part in the bucket."""
+    hot = written(edges.groupBy("bucket").agg(F.ceil(F.count("*") / HOT).alias("parts")).filter("parts > 1"), name)
+    if not hot.limit(1).count():
+        return edges
+    salt = lambda: F.pmod(F.xxhash64("node"), F.lit(SALT))
+    hot = hot.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    dealt = edges.withColumn("salt", salt()).join(hot, ["bucket", "salt"], "left")
+    part = F.xxhash64("bucket", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
+    dealt = written(dealt.select("node", "bucket", F.when(F.col("parts").isNotNull(), part).alias("part")), name)
+    up = dealt.filter("part is not null").groupBy("part", "bucket").agg(F.min("node").alias("node")).select("node", "bucket")
+    return dealt.select("node", F.coalesce("part", "bucket").alias("bucket")).unionByName(up)
+
+
 def components(pairs: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node that shares a bucket with node, directly or through others.
 
     pairs: (node, bucket), both long. Smallest labels go from buckets to nodes and back until none changes, two steps of
-    aggregates with partial sums and joins in each round; every round is written to the shared folder. Only one number
-    a round reaches the driver. Nulls in either column are left out; repeated rows count once; an empty table gives none.
+    aggregates with partial sums and joins in each round; every round is written to the shared folder, the one before goes.
+    A bucket with very many members is dealt to parts first. Only one number a round reaches the driver. Nulls in either
+    column are left out; repeated rows count once; an empty table gives none.
     """
-    edges = written(pairs.select("node", "bucket").na.drop().distinct().withColumn("label", F.col("node")), name)
+    edges = written(pairs.select("node", "bucket").na.drop().distinct(), name)
+    edges = written(_without_hot_buckets(edges, name).withColumn("label", F.col("node")), name)
     while True:
         low = edges.groupBy("bucket").agg(F.min("label").alias("low"))
         label = edges.join(low, "bucket").groupBy("node").agg(F.min("low").alias("label"))
@@ -143,6 +177,7 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
         label = label.join(jump, "label").select("node", F.col("root").alias("label"))
         after = written(edges.withColumnRenamed("label", "was").join(label, "node"), name)
         changed = after.filter("was <> label").limit(1).count()
+        removed(edges)
         edges = after.drop("was")
         if not changed:
             return edges.select("node", "label").distinct()

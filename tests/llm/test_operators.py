@@ -115,37 +115,80 @@ def test_linked_by_divide_skip():
 
 
 def kept_words(rows, window):
-    order = sorted({(i if i is not None else math.inf, t or "") for i, t in rows})
-    seen, out = {}, {}
-    for i, t in order:
+    """(n_words, n_removed, kept_sha256) of each (id, text); ids that are equal or missing take nothing from each other."""
+    docs = {(i if i is not None else math.inf, t or "") for i, t in rows}
+    first = {}
+    for i, t in docs:
         w = WORD.findall(t)
+        for k in range(len(w) - window + 1):
+            at = tuple(w[k : k + window])
+            first[at] = min(i, first.get(at, math.inf))
+    out = {}
+    for i, t in docs:
+        w, own = WORD.findall(t), set()
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
-            if seen.setdefault(tuple(w[k : k + window]), (i, k)) != (i, k):
+            at = tuple(w[k : k + window])
+            if first[at] < i or at in own:
                 gone[k : k + window] = [True] * window
-        out[i, t] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
+            own.add(at)
+        out[None if i == math.inf else i, t] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
     return out
 
 
-def test_repeated_words(documents, edge, rows):
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Texts that share an id or have none, some with passages of other rows."""
+    rng = random.Random(8)
+    a, b, c = (words_of(rng, 40) for _ in range(3))
+    own = [words_of(rng, 45) for _ in range(4)]
+    rows = [(7, a + " " + own[0]), (7, own[1]), (7, own[1]), (7, "x " + a), (None, a + " " + own[2]), (None, own[3] + " " + b), (None, b), (None, c + " " + c), (3, "y " + b), (9, own[1] + "\n\n" + a), (None, None)]
+    return rows, spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, key string, id string")
+
+
+def test_repeated_words(documents, edge, rows, clashing):
     plain = [(r[0], r[1]) for r in documents.select("doc_id", "text").collect()]
-    for df, of in ((documents, plain), (edge, rows)):
+    for df, of in ((documents, plain), (edge, rows), clashing[::-1]):
         want = kept_words(of, 20)
-        got = collections.Counter(tuple(r) for r in substring_dedup.repeated_words(df).collect())
-        if of is rows:  # rows without an id are one document; only its whole copies are told apart here
-            got = collections.Counter({k: n for k, n in got.items() if k[0] is not None})
-        assert got == collections.Counter((i, *want[i, t or ""]) for i, t in of if i is not None)
-
-
-def test_without_repeats(edge, rows):
-    got = substring_dedup.without_repeats(edge)
-    assert got.columns == edge.columns and got.count() == len(rows)
-    texts = {r.doc_id: r.text for r in got.collect()}
-    assert texts[1] == "" and texts[3] is None and texts[0] == rows[0][1]
-    want = kept_words(rows, 20)
-    for i, t in rows:
-        if i is not None and t:
-            assert hashlib.sha256(" ".join(WORD.findall(texts[i])).encode()).hexdigest() == want[i, t][2]
+        got = collections.Counter(tuple(r)[:4] for r in substring_dedup.repeated_words(df).collect())
+        assert got == collections.Counter((i, *want[i, t or ""]) for i, t in of)
+
+
+def test_longest_repeats(spark):
+    rng = random.Random(3)
+    passages = [words_of(rng, n) for n in (11, 24, 50, 90, 200, 340)]
+    rows = [(2 * k + j, words_of(rng, 30) + " " + p + " " + words_of(rng, 30 + j)) for k, p in enumerate(passages) for j in (0, 1)]
+    rows += [(90, passages[2] + " of the " + passages[2]), (91, words_of(rng, 60)), (92, words_of(rng, 60))] + [(93, passages[5])] * 2
+    got = {r.doc_id: r.longest_repeat for r in substring_dedup.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [WORD.findall(t) for _, t in rows]
+
+    def longest(k):
+        """The longest run of text k that stands elsewhere, or elsewhere in it."""
+        n, w = 0, texts[k]
+        for s in range(len(w)):
+            while s + n < len(w) and any(o[x : x + n + 1] == w[s : s + n + 1] for j, o in enumerate(texts) for x in range(len(o) - n) if j != k or x != s):
+                n += 1
+        return n
+
+    for k, (i, _) in enumerate(rows):
+        n = longest(k)
+        assert got[i] <= n and (got[i] == len(texts[k]) or got[i] >= max([x for x in (10, 20, 40, 80, 160) if 2 * x <= n], default=0)), (i, got[i], n)
+    assert got[93] == 340 and got[91] == 0 and got[10] >= 160
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 11])
+def test_least_of_each_run(width):
+    x = np.random.default_rng(1).integers(0, 9, 60)
+    assert substring_dedup._least(x, width).tolist() == [k + int(np.argmin(x[k : k + width])) for k in range(60 - width + 1)]
+
+
+def test_without_repeats(edge, rows, clashing):
+    for df, of in ((edge, rows), clashing[::-1]):
+        got = substring_dedup.without_repeats(df)
+        assert got.columns == df.columns
+        want = kept_words(of, 20)
+        found = collections.Counter((r.doc_id, None if r.text is None else hashlib.sha256(" ".join(WORD.findall(r.text)).encode()).hexdigest()) for r in got.collect())
+        assert found == collections.Counter((i, None if t is None else want[i, t][2]) for i, t in of)
 
 
 def test_personal_data(documents, edge, rows):
