@@ -159,4 +159,5 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of each document. Null and empty texts have no ids; repeats are encoded each."""
     return encoded(table(spark, sf_dir, "documents"), default_vocabulary())

@@ -146,4 +146,5 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text. Nulls and repeats as fingerprints() says."""
     return fingerprints(table(spark, sf_dir, "documents"))

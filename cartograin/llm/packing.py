@@ -8,9 +8,10 @@ Sequences of one tier are dealt to step groups of equal tokens. Tasks work alone
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right, insort
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +25,7 @@ TIERS = (128, 256, 512, 1024)
 #: Pieces that wait for a place in a task, and tokens in a step group.
 HOLD, STEP = 4096, 8192
 #: Chunks whose ids a worker keeps; beyond that the table starts anew.
-KEPT = 600_000
+KEPT = 200_000
 _PLAIN = re.compile(r"[\n\r\t -~\u00a1-\u024f]*")
 _SPACES = re.compile(r" \s")
 
@@ -40,17 +41,25 @@ class ByteBpe:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(json_path)
-        self.full.no_padding()
-        self.full.no_truncation()
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.chunks: dict[str, bytes] = {}
 
+    @cached_property
+    def full(self):
+        """The library's own tokenizer, read when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.json_path)
+        found.no_padding()
+        found.no_truncation()
+        return found
+
     def chunk(self, chunk: str) -> bytes:
         ids = self.plain.encode_ordinary(chunk) if _PLAIN.fullmatch(chunk) else self.full.encode(chunk, add_special_tokens=False).ids
         found = np.array(ids, "<u4").tobytes()
@@ -173,4 +182,5 @@ def packed(docs: DataFrame, paths: tuple[str, str, str], tiers=TIERS, end_id: in
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens. Nulls and repeats as packed() says."""
     return packed(table(spark, sf_dir, "documents"), default_tokenizer())

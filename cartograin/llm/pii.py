@@ -15,10 +15,10 @@ from hashlib import blake2b, md5, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, mix, shuffle_parts, table, word_hashes, written
+from .common import chunks, fresh, mix, ranges_for, table, word_hashes, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Letters that a term has at least.
@@ -27,6 +27,8 @@ LETTERS = 3
 FLUSH = 1 << 20
 #: Bits of the map of texts that have copies, and of a block of it.
 MAP, BLOCK = 24, 15
+#: Terms of a text, as the number of ranges takes it: tasks sum before they deal, so it may be small.
+TERMS = 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -122,45 +124,40 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, _FOUND)
 
 
-def _place(keys) -> np.ndarray:
-    return np.array([int(k[: MAP // 4], 16) for k in keys], np.int64)
-
-
-def _map(keys: DataFrame) -> np.ndarray:
-    """The places of text keys (text_key) as a map of 2^MAP bits: of a fixed size, made in blocks, so it can go to the driver and all tasks."""
+def _map(keys: DataFrame) -> DataFrame:
+    """(b, bits): the places of text keys (text_key) in a map of 2^MAP bits, in blocks of 2^BLOCK: of a fixed size, so it can be broadcast."""
 
     def block(t: pa.Table) -> pa.Table:
-        at = _place(t.column("text_key").to_pylist())
+        at = np.array([int(k[: MAP // 4], 16) for k in t.column("text_key").to_pylist()], np.int64)
         bits = np.zeros(1 << BLOCK, bool)
         bits[at & ((1 << BLOCK) - 1)] = True
         return pa.table({"b": pa.array([int(at[0]) >> BLOCK], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    out = np.zeros((1 << MAP) >> 3, np.uint8)
-    b = F.conv(F.substring("text_key", 1, MAP // 4), 16, 10).cast("long")
-    for row in keys.groupBy(F.shiftright(b, BLOCK).alias("of")).applyInArrow(block, "b long, bits binary").collect():
-        out[row.b << (BLOCK - 3) : (row.b + 1) << (BLOCK - 3)] = np.frombuffer(row.bits, np.uint8)
-    return out
+    return keys.groupBy(F.shiftright(_place(F.col("text_key")), BLOCK).alias("of")).applyInArrow(block, "b long, bits binary")
 
 
-def _once(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """(text): each distinct text once; copied (text_key): those with copies. Only texts that share a bit with one of these are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_map(copied))
+def _place(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, MAP // 4), 16, 10).cast("long")
 
-    def part(shared: bool):
-        def keep(batches):
-            for b in batches:
-                at = _place([md5((t or "").encode()).hexdigest() for t in b.column(0).to_pylist()])
-                yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) == shared))
 
-        return keep
+def _once(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(text): each distinct text once; copied (text_key): those with copies. Only texts that share a bit with one of these are shuffled."""
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    at = _place(F.col("key"))
+    marked = text.withColumn("b", F.shiftright(at, BLOCK)).join(F.broadcast(_map(copied)), "b", "left")
+    inside = at.bitwiseAND((1 << BLOCK) - 1)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    shared = F.coalesce(byte.bitwiseAND(F.expr("element_at(array(128, 64, 32, 16, 8, 4, 2, 1), cast(place & 7 as int) + 1)")) != 0, F.lit(False))
+    marked = marked.withColumn("place", at).withColumn("shared", shared).select("text", "key", "shared")
+    again = marked.filter("shared").groupBy("key").agg(F.first("text").alias("text"))
+    return marked.filter("not shared").select("text").unionByName(again.select("text"))
 
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    again = text.mapInArrow(part(True), "text string").groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"))
-    return text.mapInArrow(part(False), "text string").unionByName(again.select("text"))
 
+def _held(docs: DataFrame, copied: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
+    """(t, held): how many distinct texts have each wanted term; copied (text_key): the texts that have copies.
 
-def _held(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
-    """(t, held): how many texts have each wanted term. Each task counts what it reads; ranges of the hash are summed."""
+    Each task counts what it reads; ranges of the hash are summed.
+    """
 
     def count(batches):
         def deal(parts):
@@ -199,7 +196,7 @@ def _held(docs: DataFrame, wanted: DataFrame, ranges: int) -> DataFrame:
             r = (mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(r), b.column(0)], ["r", "t"])
 
-    counts = docs.select("text").mapInArrow(count, "r int, t binary, n binary")
+    counts = _once(docs, copied).mapInArrow(count, "r int, t binary, n binary")
     wanted = wanted.mapInArrow(placed, "r int, t long")
     return counts.groupBy("r").cogroup(wanted.groupBy("r")).applyInArrow(add, "t long, held long")
 
@@ -213,7 +210,7 @@ def _spans(docs: DataFrame, general: float, removed: float, support: int) -> tup
     both = near.select("e", "t", "text_key").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     both = written(both.join(mentions, "e"), "pii-both")
     texts = written(found.groupBy("text_key").agg(F.count("*").alias("rows")), "pii-texts")
-    held = _held(_once(docs, texts.filter("rows > 1").select("text_key")), both.select("t").distinct(), max(32, 2 * shuffle_parts(spark)))
+    held = _held(docs, texts.filter("rows > 1").select("text_key"), both.select("t").distinct(), ranges_for(spark, TERMS * docs.count()))
     n = float(texts.count())
     p, m = F.col("n_et") / F.col("n_e"), F.col("n_e").cast("double")
     low = (p + 1 / (2 * m) - F.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
@@ -266,4 +263,5 @@ def sanitised(docs: DataFrame, general: float = 0.6, removed: float = 0.9, suppo
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of the terms that give it away, of all documents. Nulls and repeats as personal_data() says."""
     return personal_data(table(spark, sf_dir, "documents"))

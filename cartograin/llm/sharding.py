@@ -106,4 +106,5 @@ def shards_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes. Nulls and repeats as shards_by_bytes() says."""
     return shards_by_bytes(table(spark, sf_dir, "documents"))
