@@ -14,6 +14,7 @@ earlier. Windows count as equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from hashlib import blake2b, sha256
 
@@ -85,8 +86,8 @@ def _dealt(r: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r[order][cuts].astype(np.int32)), *parts], ["r", *columns])
 
 
-def _repeated(hashes: DataFrame, ranges: int, name: str) -> DataFrame:
-    """(key, known): of each row's window hashes those that stand elsewhere too. hashes: (key, h), h a row's hashes as bytes."""
+def _repeated(rows: DataFrame, hashes: Callable, ranges: int, name: str) -> DataFrame:
+    """(key, known): of each row's window hashes those that stand elsewhere too. hashes: from batches of rows to ones of (key, h), h a row's hashes as bytes."""
 
     def deal(hs, keys):
         h, i = np.concatenate(hs), np.concatenate(keys)
@@ -104,7 +105,7 @@ def _repeated(hashes: DataFrame, ranges: int, name: str) -> DataFrame:
 
     def look_up(batches):
         hs, keys, held = [], [], 0
-        for b in batches:
+        for b in hashes(batches):
             for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 hs.append(np.frombuffer(h, np.uint64))
                 keys.append(np.full(len(hs[-1]), i, np.int64))
@@ -129,12 +130,12 @@ def _repeated(hashes: DataFrame, ranges: int, name: str) -> DataFrame:
         cuts = np.flatnonzero(new)
         return pa.table({"key": i[cuts], "h": pa.array([x.tobytes() for x in np.split(h, cuts[1:])] if len(cuts) else [], pa.binary())})
 
-    found = hashes.mapInArrow(look_up, "r int, h binary, i binary").groupBy("r").applyInArrow(repeated, "key long, h binary")
+    found = rows.mapInArrow(look_up, "r int, h binary, i binary").groupBy("r").applyInArrow(repeated, "key long, h binary")
     return written(found.groupBy("key").agg(F.collect_list("h").alias("known")), name)
 
 
-def _halves(docs: DataFrame, window: int) -> DataFrame:
-    """(key, h): the half windows that stand for the windows of each text."""
+def _halves(window: int) -> Callable:
+    """From batches of (id, text) to ones of (key, h): the half windows that stand for the windows of each text."""
 
     def choose(batches):
         for b in batches:
@@ -149,7 +150,7 @@ def _halves(docs: DataFrame, window: int) -> DataFrame:
                 keys = [_key(ids[first + k], data[offsets[k] : offsets[k + 1]].tobytes()) for k in own]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([low[at[cuts[k] : cuts[k + 1]]].tobytes() for k in own], pa.binary())], ["key", "h"])
 
-    return docs.mapInArrow(choose, "key long, h binary")
+    return choose
 
 
 def _later(candidates: DataFrame, window: int, ranges: int) -> DataFrame:
@@ -279,7 +280,7 @@ def _longest(candidates: DataFrame, window: int, ranges: int) -> DataFrame:
         length, before = 2 * length, grown
         if not grown.limit(1).count():
             break
-        known = _repeated(grown.select("key", "h"), ranges, "substring-known")
+        known = _repeated(grown.select("key", "h"), iter, ranges, "substring-known")
         if not known.limit(1).count():
             break
         found.append(known.select("key", F.lit(length).alias("longest")))
@@ -321,7 +322,7 @@ def _search(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFra
     alone = alone.withColumn("salt", F.pmod("key", F.lit(SALT)).cast("int")).join(firsts, ["sha", "salt"], "left")
     alone = alone.select("id", "key", "n_words", "sha", F.col("first").isNotNull().alias("copied"), F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
     alone = written(alone, "substring-alone")
-    halves = _repeated(_halves(docs, window), ranges, "substring-known")
+    halves = _repeated(docs, _halves(window), ranges, "substring-known")
     halves = halves.join(alone.filter("copy").select("key").distinct(), "key", "left_anti")
     candidates = written(squeezed.select("id", "key", "z").join(halves, "key").dropDuplicates(["key"]).select("id", "key", "z", "known"), "substring-candidates")
     pieces = _later(candidates, window, ranges).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
