@@ -26,8 +26,6 @@ def _term(term: str) -> tuple[str, bool]:
 
 
 def _has(words: Column, term: str) -> Column:
-    if term == _ANY:
-        return F.lit(True)
     word, prefix = _term(term)
     return _phrase(words, [term]) if prefix else F.array_contains(words, word)
 
@@ -41,7 +39,8 @@ def _phrase(words: Column, terms: list[str]) -> Column:
 def match(text: Column, query: str | None, english: bool = False) -> Column:
     """Whether the text satisfies the query; a null query or "%" is satisfied by every text, a malformed one by none.
 
-    english compares stems and passes over stop words: a stop word in the query neither helps nor hinders.
+    english compares stems and passes over stop words: an operand that is one is dropped with its operator, and a query of
+    stop words alone is satisfied by none.
     """
     if query is None or query.strip() == "%":
         return F.lit(True)
@@ -63,20 +62,23 @@ def match(text: Column, query: str | None, english: bool = False) -> Column:
         found = both()
         while peek() == "|":
             take()
-            found = found | both()
+            other = both()
+            found = other if found is None else found if other is None else found | other
         return found
 
     def both():
         found = one()
         while peek() == "&":
             take()
-            found = found & one()
+            other = one()
+            found = other if found is None else found if other is None else found & other
         return found
 
     def one():
         if peek() == "!":
             take()
-            return ~one()
+            inner = one()
+            return None if inner is None else ~inner
         if peek() == "(":
             take()
             found = either()
@@ -92,7 +94,9 @@ def match(text: Column, query: str | None, english: bool = False) -> Column:
             if peek() is None or peek() in ("&", "|", "!", "(", ")", "<->"):
                 raise ValueError(query)
             terms.append(take())
-        terms = [t for t in terms if t != _ANY] or [_ANY]
+        terms = [t for t in terms if t != _ANY]
+        if not terms:
+            return None
         return _has(words, terms[0]) if len(terms) == 1 else _phrase(words, terms)
 
     try:
@@ -101,4 +105,4 @@ def match(text: Column, query: str | None, english: bool = False) -> Column:
             raise ValueError(query)
     except ValueError:
         return F.lit(False)
-    return found
+    return F.lit(False) if found is None else found

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mercator import boxes, within_any
+from ..functions.mercator import boxes, within, within_any
 
 
 def raw(points: DataFrame, bbox) -> DataFrame:
@@ -16,14 +16,20 @@ def raw(points: DataFrame, bbox) -> DataFrame:
 
 
 def pixels(points: DataFrame, bbox, res_x: int, res_y: int) -> DataFrame:
-    """(pi, pj, n, seq, x, y): for each pixel of a box in degrees with points, their number and the first by seq."""
-    parts = None
-    for left, top, right, bottom in boxes(bbox):
-        found = points.filter((F.col("mx") > left) & (F.col("mx") < right) & (F.col("my") > top) & (F.col("my") < bottom))
-        found = found.withColumns({"pi": F.floor((F.col("mx") - left) / ((right - left) / res_x)).cast("long"), "pj": F.floor((F.col("my") - top) / ((bottom - top) / res_y)).cast("long"), "part": F.lit(left)})
-        parts = found if parts is None else parts.unionByName(found)
-    first = F.min_by(F.struct("seq", "x", "y"), "seq").alias("first")
-    return parts.groupBy("part", "pi", "pj").agg(F.count("*").alias("n"), first).select("pi", "pj", "n", "first.*")
+    """(pi, pj, n, seq, x, y): for each pixel of a box in degrees with points, their number and the first by seq.
+
+    Pixels divide the whole box, also one across the antimeridian, whose eastern part follows the western one.
+    """
+    parts = boxes(bbox)
+    _, top, _, bottom = parts[0]
+    width, before, inside, along = sum(p[2] - p[0] for p in parts), 0.0, None, None
+    for part in parts:
+        here = within(F.col("mx"), F.col("my"), part)
+        at = F.col("mx") - F.lit(part[0]) + F.lit(before)
+        inside, along = (here, at) if inside is None else (inside | here, F.when(here, at).otherwise(along))
+        before += part[2] - part[0]
+    found = points.filter(inside).withColumns({"pi": F.floor(along / (width / res_x)).cast("long"), "pj": F.floor((F.col("my") - top) / ((bottom - top) / res_y)).cast("long")})
+    return found.groupBy("pi", "pj").agg(F.count("*").alias("n"), F.min_by(F.struct("seq", "x", "y"), "seq").alias("first")).select("pi", "pj", "n", "first.*")
 
 
 def terminal_level(side: float) -> int:
@@ -42,15 +48,27 @@ def cut_level(side: float) -> int:
     return level
 
 
-def _cell(v: str, level) -> F.Column:
+def _cell(v: str, level: Column) -> Column:
     return F.floor(F.col(v) * F.pow(F.lit(2.0), level)).cast("long")
 
 
-def cell_counts(points: DataFrame, terminal: int) -> DataFrame:
-    """(level, i, j, n, first): points of each quadtree cell, from the root to the terminal level; points on the far edges are outside."""
+def cell_counts(points: DataFrame, terminal: int, first_level: int = 0) -> DataFrame:
+    """(level, i, j, n, first): points of each quadtree cell, from first_level to the terminal level; points on the far edges are outside.
+
+    Points are counted in cells of the terminal level, and only these counts go to the levels above.
+    """
     inside = points.filter("mx >= 0 and mx < 1 and my >= 0 and my < 1")
-    cells = inside.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(terminal))))
-    return cells.groupBy("level", _cell("mx", F.col("level")).alias("i"), _cell("my", F.col("level")).alias("j")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    low = inside.groupBy(_cell("mx", F.lit(float(terminal))).alias("i"), _cell("my", F.lit(float(terminal))).alias("j")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    cells = low.withColumn("level", F.explode(F.sequence(F.lit(first_level), F.lit(terminal))))
+    up = lambda c: F.expr(f"shiftright({c}, {terminal} - level)").alias(c)
+    return cells.groupBy("level", up("i"), up("j")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def _touching(bbox) -> Column:
+    """Whether a cell (level, i, j) touches a box in the unit square, edges included."""
+    left, top, right, bottom = bbox
+    side = F.pow(F.lit(2.0), -F.col("level"))
+    return (F.col("i") * side <= right) & ((F.col("i") + 1) * side >= left) & (F.col("j") * side <= bottom) & ((F.col("j") + 1) * side >= top)
 
 
 def quadtree(points: DataFrame, bbox, terminal: int, cut: int) -> DataFrame:
@@ -58,19 +76,19 @@ def quadtree(points: DataFrame, bbox, terminal: int, cut: int) -> DataFrame:
 
     A cell with one point, or at the terminal level, gives its first point; a cell at the cut level gives its centre (seq
     -1); cells that do not touch the box are passed over. bbox is (left, top, right, bottom) in the unit square, edges
-    included. n is the number of points in the cell.
+    included. n is the number of points in the cell. Points far from the box matter only through the counts of the cells
+    above, so cells of the last level are taken with them.
     """
-    left, top, right, bottom = bbox
-    counts = cell_counts(points, min(terminal, cut)).withColumn("side", F.pow(F.lit(2.0), -F.col("level")))
-    touch = (F.col("i") * F.col("side") <= right) & ((F.col("i") + 1) * F.col("side") >= left) & (F.col("j") * F.col("side") <= bottom) & ((F.col("j") + 1) * F.col("side") >= top)
-    ends = (F.col("n") == 1) | (F.col("level") == F.lit(min(terminal, cut)))
-    seen = counts.filter(touch)
+    last = min(terminal, cut)
+    counts = cell_counts(points, last)
+    ends = (F.col("n") == 1) | (F.col("level") == F.lit(last))
+    seen = counts.filter(_touching(bbox))
     up = seen.select((F.col("level") + 1).alias("level"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("n").alias("pn"))
-    found = seen.filter(ends).withColumns({"pi": F.floor(F.col("i") / 2).cast("long"), "pj": F.floor(F.col("j") / 2).cast("long")}).join(up, ["level", "pi", "pj"], "left").filter("level = 0 or pn > 1")
+    found = seen.filter(ends).withColumns({"pi": F.shiftright("i", 1), "pj": F.shiftright("j", 1)}).join(up, ["level", "pi", "pj"], "left").filter("level = 0 or pn > 1")
     places = points.select(F.col("seq").alias("first"), F.col("mx"), F.col("my"))
     one = (F.col("n") == 1) | ((F.col("level") == terminal) & F.lit(terminal <= cut))
-    joined = found.join(places, "first")
-    return joined.select("level", "i", "j", "n", F.when(one, F.col("mx")).otherwise((F.col("i") + 0.5) * F.col("side")).alias("x"), F.when(one, F.col("my")).otherwise((F.col("j") + 0.5) * F.col("side")).alias("y"), F.when(one, F.col("first")).otherwise(F.lit(-1)).alias("seq"))
+    side = F.pow(F.lit(2.0), -F.col("level"))
+    return found.join(places, "first").select("level", "i", "j", "n", F.when(one, F.col("mx")).otherwise((F.col("i") + 0.5) * side).alias("x"), F.when(one, F.col("my")).otherwise((F.col("j") + 0.5) * side).alias("y"), F.when(one, F.col("first")).otherwise(F.lit(-1)).alias("seq"))
 
 
 #: Pixels of a cell's raster on a side (with a margin of two on either side), and the disc's radius in pixels.
@@ -90,20 +108,25 @@ def _drawn(canvas: np.ndarray, u: float, v: float) -> bool:
     return changed
 
 
-def raster_samples(points: DataFrame, max_level: int, drawn_from: int = 3, draw=_drawn, part: int = 5000) -> DataFrame:
+def raster_samples(points: DataFrame, max_level: int, drawn_from: int = 3, draw=_drawn, part: int = 5000, bbox=None, cut: int | None = None) -> DataFrame:
     """(level, i, j, n, seq, mx, my): the samples of each quadtree cell: points whose drawing changes its raster, by seq.
 
     Cells exist while their parent has two points or more; levels below drawn_from keep the first point; the terminal level
     keeps all. draw(canvas, u, v) is the renderer: it returns whether the canvas changed. It must only ever bring pixels
     nearer to a last value, so that what changes nothing on a canvas changes nothing on one with more drawn: then a hot
     cell is first thinned in parts of about so many points, and what the parts keep (bounded by the pixels' values) is
-    drawn in order.
+    drawn in order. With bbox (unit square) only cells that touch it, and with cut only levels down to it, are drawn.
     """
     counts = cell_counts(points, max_level)
     up = counts.filter("n > 1").select((F.col("level") + 1).alias("level"), F.col("i").alias("pi"), F.col("j").alias("pj"))
     cells = counts.withColumns({"pi": F.floor(F.col("i") / 2).cast("long"), "pj": F.floor(F.col("j") / 2).cast("long")})
     cells = cells.join(up, ["level", "pi", "pj"], "left_semi").unionByName(cells.filter("level = 0")).select("level", "i", "j", "n", "first")
-    held = points.filter("mx >= 0 and mx < 1 and my >= 0 and my < 1").select("seq", "mx", "my").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
+    last = max_level if cut is None else min(cut, max_level)
+    if bbox is not None:
+        cells = cells.filter(_touching(bbox))
+    if cut is not None:
+        cells = cells.filter((F.col("level") == last) | ((F.col("level") < last) & (F.col("n") == 1)))
+    held = points.filter("mx >= 0 and mx < 1 and my >= 0 and my < 1").select("seq", "mx", "my").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
     held = held.withColumns({"i": _cell("mx", F.col("level")), "j": _cell("my", F.col("level"))}).join(cells, ["level", "i", "j"])
     few = held.filter((F.col("level") < drawn_from) & (F.col("seq") == F.col("first")))
     whole = held.filter((F.col("level") >= drawn_from) & ((F.col("level") == max_level) | (F.col("n") == 1)))
@@ -133,10 +156,7 @@ def raster_samples(points: DataFrame, max_level: int, drawn_from: int = 3, draw=
 
 def raster_range(samples: DataFrame, bbox, cut: int) -> DataFrame:
     """(seq, mx, my): samples of the cells at the cut level, and of childless cells above it, that touch a box (unit square)."""
-    left, top, right, bottom = bbox
-    side = F.pow(F.lit(2.0), -F.col("level"))
-    touch = (F.col("i") * side <= right) & ((F.col("i") + 1) * side >= left) & (F.col("j") * side <= bottom) & ((F.col("j") + 1) * side >= top)
-    return samples.filter((F.col("level") == cut) | ((F.col("level") < cut) & (F.col("n") == 1))).filter(touch).select("seq", "mx", "my").distinct()
+    return samples.filter((F.col("level") == cut) | ((F.col("level") < cut) & (F.col("n") == 1))).filter(_touching(bbox)).select("seq", "mx", "my").distinct()
 
 
 def raster_statistics(samples: DataFrame) -> DataFrame:
@@ -151,11 +171,19 @@ def raster_histogram(samples: DataFrame, bins: int = 100) -> DataFrame:
     return per.groupBy("level", F.least("k", F.lit(bins)).alias("bin")).agg(F.count("*").alias("nodes"))
 
 
-def heat(points: DataFrame, cell: float, weight: float = 1.0, most: float = 1.0) -> DataFrame:
-    """(ci, cj, x, y, w): weighted centroid and clamped weight of each square cell of points."""
+def heat(points: DataFrame, cell: float, weight: float = 1.0, most: float = 1.0, zoom: int | None = None, max_zoom: int = 18) -> DataFrame:
+    """(ci, cj, x, y, w): weighted centroid and clamped weight of each square cell of points.
+
+    A point counts weight times its intensity (column intensity, 1 where there is none), and at a zoom below max_zoom half
+    as much for each level. Places are summed as decimals, so the result does not depend on the order of rows.
+    """
+    share = 1.0 if zoom is None else 1.0 / 2.0 ** max(0, min(max_zoom - zoom, 12))
+    own = F.col("intensity").cast("decimal(18,6)") if "intensity" in points.columns else F.lit(1).cast("decimal(18,6)")
+    place = lambda c: F.sum(F.col(c).cast("decimal(18,15)") * own)
     grouped = points.groupBy(F.floor(F.col("mx") / cell).cast("long").alias("ci"), F.floor(F.col("my") / cell).cast("long").alias("cj"))
-    sums = grouped.agg(F.sum("mx").alias("sx"), F.sum("my").alias("sy"), F.count("*").alias("k"))
-    return sums.select("ci", "cj", (F.col("sx") / F.col("k")).alias("x"), (F.col("sy") / F.col("k")).alias("y"), F.least(F.col("k") * F.lit(weight), F.lit(most)).alias("w"))
+    sums = grouped.agg(place("mx").alias("sx"), place("my").alias("sy"), F.sum(own).alias("k"))
+    of = lambda c: (F.col(c).cast("double") / F.col("k").cast("double")).alias(c[1])
+    return sums.select("ci", "cj", of("sx"), of("sy"), F.least(F.col("k").cast("double") * F.lit(weight * share), F.lit(most)).alias("w"))
 
 
 def picked(points: DataFrame, x: float, y: float, reach: float) -> DataFrame:

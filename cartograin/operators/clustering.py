@@ -1,136 +1,163 @@
 """Greedy radius clustering at every zoom, batch and incremental.
 
 The greedy rule takes points in the order of seq: a point with no earlier leader within the radius becomes a leader, any
-other joins the earliest such leader. So the leaders are the lexicographically first maximal independent set of the graph
-of points within the radius, which rounds of DataFrame steps find: in each, all undecided points without an undecided
-earlier neighbour lead, and their later neighbours are covered. Levels are clustered from the highest zoom down, each from
-the clusters above, so a level sees few points in a radius. Coinciding points are one point of the first one's seq.
-An input of at most SMALL points is clustered by one task that follows the rule point by point, which saves the rounds'
-jobs; its size is counted first, and both ways give the same clusters.
+other joins the earliest such leader. Space is cut into tiles of TILE radii; a task follows the rule over the points of a
+tile and a margin of HALO radii around it, and decides what it can be sure of: not points near the margin's edge, nor what
+depends on them. What is left open goes into another round, together with the leaders around it; the earliest open point is
+always decided, and seldom are there more than two rounds. A task keeps the leaders of one tile, which are few, for the
+points pass by in order. Where raw points are dense, a tile's first HOT points are taken first, and what their leaders
+cover is joined to them by a plain radius join, so that no tile is large. Levels are clustered from the highest zoom down,
+each from the clusters above, so a level sees few points in a radius. Coinciding points are one point of the first's seq.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 from math import floor
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mercator import MAX_ZOOM, MIN_ZOOM, node_id, radius
-from ..plans.shared import numbered, written
-from .radius_join import near
+from ..plans.shared import numbered, shuffle_parts, written
+from .radius_join import apart, near
 
+#: Side of a tile (over twice the margin) and width of its margin in radii, and points of a tile that are taken at a time.
+TILE, HALO, HOT = 32, 4, 20_000
+#: Open points of a cell that are told apart; of more, only the earliest counts, for the whole cell.
+APART = 64
 
-#: Points that one task clusters at most.
-SMALL = 200_000
 
+class _Tile:
+    """Leaders and open points of a tile by cells of the radius, and the rule for the next point in order."""
 
-class _Grid:
-    """Leaders of a radius by cell, and the rule for the next point."""
+    def __init__(self, i: int, j: int, r: float, strict: bool, side: float, edge: float):
+        self.r, self.strict, self.leads, self.open = r, strict, {}, {}
+        self.low, self.high = (i * side - edge, j * side - edge), ((i + 1) * side + edge, (j + 1) * side + edge)
 
-    def __init__(self, r: float, strict: bool = False):
-        self.r, self.cells = r, defaultdict(list)
-        self.inside = (lambda d: d < r) if strict else (lambda d: d <= r)
+    def lead(self, key: int, x: float, y: float) -> None:
+        self.leads.setdefault((floor(x / self.r), floor(y / self.r)), []).append((key, x, y))
 
-    def add(self, key: int, x: float, y: float) -> None:
-        self.cells[floor(x / self.r), floor(y / self.r)].append((key, x, y))
-
-    def leader(self, key: int, x: float, y: float) -> int:
-        """The first leader within the radius, or the point itself, which then leads."""
+    def _first(self, cells: dict, x: float, y: float, crowded: bool) -> int | None:
+        """The earliest key within the radius; crowded: a cell with very many counts as a whole."""
         i, j, found = floor(x / self.r), floor(y / self.r), None
         for a in (i - 1, i, i + 1):
             for b in (j - 1, j, j + 1):
-                for k, lx, ly in self.cells.get((a, b), ()):
-                    if (found is None or k < found) and self.inside(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5):
+                for k, px, py in (at := cells.get((a, b), ())):
+                    if found is not None and k >= found:
+                        continue
+                    d = ((x - px) ** 2 + (y - py) ** 2) ** 0.5
+                    if d < self.r or d == self.r and not self.strict or crowded and len(at) >= APART:
                         found = k
-        if found is None:
-            self.add(key, x, y)
-            return key
-        return found
-
-
-def _small(points: DataFrame) -> bool:
-    return points.limit(SMALL + 1).count() <= SMALL
-
-
-def _in_one_task(points: DataFrame, r: float, fixed: DataFrame | None, strict: bool) -> DataFrame:
-    rows = points.select("key", "mx", "my", F.lit(1).alias("kind"))
-    if fixed is not None:
-        rows = rows.unionByName(fixed.select("key", "mx", "my", F.lit(0).alias("kind")))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, keys, found = _Grid(r, strict), [], []
-        for key, x, y, kind in pdf.sort_values(["kind", "key"]).itertuples(index=False):
-            if kind:
-                keys.append(key)
-                found.append(grid.leader(key, x, y))
-            else:
-                grid.add(key, x, y)
-        return pd.DataFrame({"key": keys, "leader": found}, dtype="int64")
-
-    return rows.groupBy().applyInPandas(assign, "key long, leader long")
-
-
-def _levels_in_one_task(points: DataFrame, max_zoom: int, min_zoom: int) -> DataFrame:
-    names = ["level", "key", "parent", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", "expansion_zoom"]
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = [(*row, max_zoom + 1) for row in pdf.sort_values("key")[["key", "mx", "my", "n", "sx", "sy"]].itertuples(index=False, name=None)]
-        out, above = [], []
-        for zoom in range(max_zoom, min_zoom - 1, -1):
-            grid, level, of = _Grid(radius(zoom)), {}, {}
-            for key, x, y, n, sx, sy, low in nodes:
-                lead = of[key] = grid.leader(key, x, y)
-                if lead == key:
-                    level[key] = [n, sx, sy, x, y, 1, low]
-                else:
-                    at = level[lead]
-                    at[0], at[1], at[2], at[5], at[6] = at[0] + n, at[1] + sx, at[2] + sy, at[5] + 1, zoom + 1
-            for row in above:
-                row[2] = of[row[1]]
-            above = [[zoom, k, None, v[1] / v[0], v[2] / v[0], *v[:6], v[6] if v[5] == 1 else zoom + 1] for k, v in level.items()]
-            out += above
-            nodes = [(r[1], r[3], r[4], r[5], r[6], r[7], r[11]) for r in above]
-        found = pd.DataFrame(out, columns=names)
-        found["parent"] = found["parent"].astype("Int64")
         return found
 
-    schema = "level int, key long, parent long, mx double, my double, n long, sx double, sy double, lx double, ly double, children long, expansion_zoom int"
-    return points.groupBy().applyInPandas(build, schema)
+    def leader(self, key: int, x: float, y: float) -> int | None:
+        """The point's leader (itself if it leads), or None if that can't be told here."""
+        lead = self._first(self.leads, x, y, False)
+        before = self._first(self.open, x, y, True) if self.open else None
+        if lead is not None:
+            return lead if before is None or lead < before else None
+        if before is None and self.low[0] < x < self.high[0] and self.low[1] < y < self.high[1]:
+            self.lead(key, x, y)
+            return key
+        at = self.open.setdefault((floor(x / self.r), floor(y / self.r)), [])
+        if len(at) < APART:
+            at.append((key, x, y))
+        return None
+
+
+def _tile(v: Column, r: float, by: float = 0.0) -> Column:
+    return F.floor((v + F.lit(by * r)) / F.lit(TILE * r)).cast("long")
+
+
+def _dealt(points: DataFrame, r: float) -> DataFrame:
+    """points (mx, my, ...) with ti and tj, in each tile that sees them; own: in their own one."""
+    x, y = F.col("mx"), F.col("my")
+    seen = F.array_distinct(F.array(*(F.struct(_tile(x, r, a).alias("ti"), _tile(y, r, b).alias("tj")) for a in (-HALO, HALO) for b in (-HALO, HALO))))
+    dealt = points.withColumn("_tile", F.explode(seen)).select(*points.columns, "_tile.*")
+    return dealt.withColumn("own", (F.col("ti") == _tile(x, r)) & (F.col("tj") == _tile(y, r)))
+
+
+def _decided(dealt: DataFrame, r: float, strict: bool) -> DataFrame:
+    """The rows of points in their own tiles with leader, null where it is open. dealt: _dealt() rows with key and lead (whether a known leader)."""
+    names = [c for c in dealt.columns if c not in ("ti", "tj", "own", "lead")]
+    side, edge = TILE * r, (HALO - 1.001) * r
+
+    def follow(batches):
+        at, tile = None, None
+        for b in batches:
+            leaders, own = np.zeros(b.num_rows, np.int64), []
+            known = np.ones(b.num_rows, bool)
+            for k, (i, j, lead, key, x, y, mine) in enumerate(zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("ti", "tj", "lead", "key", "mx", "my", "own")))):
+                if at != (i, j):
+                    at, tile = (i, j), _Tile(i, j, r, strict, side, edge)
+                if lead:
+                    tile.lead(key, x, y)
+                    continue
+                found = tile.leader(key, x, y)
+                if mine:
+                    own.append(k)
+                    known[k], leaders[k] = found is not None, found or 0
+            rows = b.take(pa.array(own, pa.int64()))
+            leader = pa.array(leaders[own], mask=~known[own])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), leader], [*names, "leader"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in names)
+    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj", F.desc("lead"), "key")
+    return rows.mapInArrow(follow, f"{kinds}, leader long")
+
+
+def _followed(points: DataFrame, r: float, fixed: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """points (key, mx, my, ...) with leader, in rounds; fixed (key, mx, my): leaders that come before all points."""
+    done, lead, open_ = [], fixed, points
+    while True:
+        dealt = _dealt(open_, r).withColumn("lead", F.lit(False))
+        if lead is not None:
+            tiles = open_.select(_tile(F.col("mx"), r).alias("ti"), _tile(F.col("my"), r).alias("tj")).distinct()
+            around = _dealt(lead.select("key", "mx", "my"), r).join(tiles, ["ti", "tj"], "left_semi").withColumn("lead", F.lit(True))
+            if done:
+                dealt = dealt.join(tiles, ["ti", "tj"], "left_semi")
+            dealt = dealt.unionByName(around, allowMissingColumns=True)
+        found = written(_decided(dealt, r, strict), "followed")
+        done.append(found.filter("leader is not null"))
+        open_ = found.filter("leader is null").drop("leader")
+        if not open_.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        new = done[-1].filter("key = leader").select("key", "mx", "my")
+        lead = new if lead is None else lead.select("key", "mx", "my").unionByName(new)
+
+
+def _most(points: DataFrame, r: float) -> int:
+    """How many points the fullest tile has."""
+    tiles = points.groupBy(_tile(F.col("mx"), r), _tile(F.col("my"), r)).agg(F.count("*").alias("n"))
+    return tiles.agg(F.max("n")).first()[0] or 0
 
 
 def leaders(points: DataFrame, r: float, fixed: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(key, leader) for points (key, mx, my): key of the leader of each; fixed (key, mx, my): earlier leaders that stay.
 
-    strict: only what is nearer than r is within the radius.
+    strict: only what is nearer than r is within the radius. Keys are distinct; an empty table gives an empty table.
     """
-    if _small(points) and (fixed is None or _small(fixed)):
-        return _in_one_task(points, r, fixed, strict)
-    member = None
+    most = _most(points, r)
+    if most <= HOT:
+        return _followed(points.select("key", "mx", "my"), r, fixed, strict).select("key", "leader")
+    lead, rest = fixed, points.select("key", "mx", "my")
     if fixed is not None:
-        joined = near(points, fixed, r, strict).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("leader"))
-        member = written(joined, "joined")
-        points = points.join(member, "key", "left_anti")
-    points = written(points.select("key", "mx", "my"), "undecided")
-    edges = written(near(points, points, r, strict).filter("a < b").select("a", "b"), "edges")
-    open_, lead = edges, None
-    undecided = points.select("key")
+        rest = written(apart(rest, fixed, r, strict), "uncovered")
+        most = _most(rest, r)
     while True:
-        held = open_.select(F.col("b").alias("key")).distinct()
-        new = written(undecided.join(held, "key", "left_anti"), "leaders")
+        cut = rest.agg(F.percentile_approx("key", HOT / most, 10_000)).first()[0] if most > HOT else None
+        first = rest if cut is None else rest.filter(F.col("key") <= cut)
+        new = written(_followed(first, r, lead, strict).filter("key = leader").select("key", "mx", "my"), "leaders")
         lead = new if lead is None else lead.unionByName(new)
-        covered = open_.join(new, open_.a == new.key, "left_semi").select(F.col("b").alias("key")).distinct()
-        undecided = written(undecided.join(new, "key", "left_anti").join(covered, "key", "left_anti"), "undecided")
-        if not undecided.limit(1).count():
+        if cut is None:
             break
-        open_ = open_.join(undecided, open_.a == undecided.key, "left_semi").join(undecided, open_.b == undecided.key, "left_semi")
-        open_ = written(open_, "edges")
-    lead = written(lead, "leaders")
-    found = edges.join(lead, edges.a == lead.key, "left_semi").join(lead, edges.b == lead.key, "left_anti").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("leader"))
-    found = found.unionByName(lead.select("key", F.col("key").alias("leader")))
-    return found if member is None else found.unionByName(member)
+        rest = written(apart(rest.filter(F.col("key") > cut), new, r, strict), "uncovered")
+        most = _most(rest, r)
+    return near(points, lead, r, strict).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("leader"))
 
 
 def markers(points: DataFrame, r: float) -> DataFrame:
@@ -166,34 +193,47 @@ def clusters_at(points: DataFrame, zoom: int) -> DataFrame:
     return merged(points, leaders(points, radius(zoom)))
 
 
+def _level(rows: DataFrame, zoom: int) -> DataFrame:
+    """The clusters of a level from the rows of the level above with their leader."""
+    its = lambda c: F.max(F.when(F.col("key") == F.col("leader"), F.col(c)))
+    sums = rows.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), its("mx").alias("lx"), its("my").alias("ly"), F.count("*").alias("children"), F.min("expansion_zoom").alias("low"))
+    expansion = F.when(F.col("children") == 1, F.col("low")).otherwise(F.lit(zoom + 1)).alias("expansion_zoom")
+    return sums.select(F.lit(zoom).alias("level"), F.col("leader").alias("key"), (F.col("sx") / F.col("n")).alias("mx"), (F.col("sy") / F.col("n")).alias("my"), "n", "sx", "sy", "lx", "ly", "children", expansion)
+
+
+def below(level: DataFrame, zoom: int, min_zoom: int = MIN_ZOOM) -> DataFrame:
+    """The rows of hierarchy() for a level (as _level() gives it) and all below, which are clustered anew."""
+    out = []
+    for lower in range(zoom - 1, min_zoom - 1, -1):
+        rows = _followed(level, radius(lower))
+        out.append(rows.withColumnRenamed("leader", "parent"))
+        level = _level(rows, lower)
+    out.append(written(level, "level").withColumn("parent", F.lit(None).cast("long")))
+    return reduce(DataFrame.unionByName, out).select("level", "key", "parent", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", "expansion_zoom")
+
+
 def hierarchy(points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
     """Clusters of all levels of points (seq, mx, my).
 
     (level, key, parent, mx, my, n, sx, sy, lx, ly, children, expansion_zoom): parent is the key of the cluster that holds
     it one level lower (null at min_zoom); a key names a cluster within its level and is the seq of its first point.
-    expansion_zoom is that of the only child, or else the level above.
+    expansion_zoom is that of the only child, or else the level above. An empty table gives an empty table.
     """
-    nodes = written(collapsed(points).withColumns({"expansion_zoom": F.lit(max_zoom + 1)}), "level")
-    if _small(nodes):
-        return _levels_in_one_task(nodes, max_zoom, min_zoom)
-    out = None
-    for zoom in range(max_zoom, min_zoom - 1, -1):
-        member = written(leaders(nodes.select("key", "mx", "my"), radius(zoom)), "members")
-        if out is not None:
-            level = level.join(member.withColumnRenamed("leader", "parent"), "key")
-            out.append(level)
-        else:
-            out = []
-        low = nodes.join(member, "key").groupBy(F.col("leader").alias("key")).agg(F.min("expansion_zoom").alias("low"))
-        level = merged(nodes, member).join(low, "key")
-        level = level.withColumn("expansion_zoom", F.when(F.col("children") == 1, F.col("low")).otherwise(F.lit(zoom + 1))).drop("low").withColumn("level", F.lit(zoom))
-        level = written(level, "level")
-        nodes = level
-    out.append(level.withColumn("parent", F.lit(None).cast("long")))
-    found = out[0]
-    for other in out[1:]:
-        found = found.unionByName(other)
-    return found.select("level", "key", "parent", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", "expansion_zoom")
+    nodes = written(collapsed(points).withColumn("expansion_zoom", F.lit(max_zoom + 1)), "level")
+    r = radius(max_zoom)
+    rows = _followed(nodes, r) if _most(nodes, r) <= HOT else nodes.join(leaders(nodes, r), "key")
+    return below(_level(rows, max_zoom), max_zoom, min_zoom)
+
+
+def grown(tree: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
+    """Exact incremental step over all levels: more points (seq beyond all earlier ones) enter at max_zoom, where leaders
+    keep their places; all lower levels are clustered anew. Equal to hierarchy() of all points, but that children at max_zoom counts coinciding points of several
+    steps apart. tree: None starts anew."""
+    if tree is None:
+        return hierarchy(points, max_zoom, min_zoom)
+    names = ["key", "n", "sx", "sy", "lx", "ly", "children"]
+    top = extended(tree.filter(F.col("level") == max_zoom).select("mx", "my", *names), points, max_zoom)
+    return below(top.select(F.lit(max_zoom).alias("level"), "key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", F.lit(max_zoom + 1).alias("expansion_zoom")), max_zoom, min_zoom)
 
 
 def with_ids(tree: DataFrame, zoom: int) -> DataFrame:

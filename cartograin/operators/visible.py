@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mercator import distance, limit_zoom, pixel_distance, within_any, x_lng, y_lat
@@ -30,9 +30,11 @@ def cluster_distance(tree: DataFrame, zoom: int, a: int, b: int) -> DataFrame:
     return found.select(F.coalesce(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), F.lit(-1.0)).alias("distance"))
 
 
-def spread(tree: DataFrame) -> DataFrame:
-    """(level, key, children, low, high, mean) of the distances between each two children of a cluster."""
+def spread(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(level, key, kids, low, high, mean) of the distances between each two children of a cluster; of (level, key): of these only."""
     kids = tree.filter("parent is not null").select((F.col("level") - 1).alias("level"), F.col("parent").alias("pkey"), F.col("key").alias("ckey"), "mx", "my")
+    if of is not None:
+        kids = kids.join(of.select("level", F.col("key").alias("pkey")), ["level", "pkey"], "left_semi")
     other = kids.select("level", "pkey", F.col("ckey").alias("dkey"), F.col("mx").alias("dx"), F.col("my").alias("dy"))
     d = kids.join(other, ["level", "pkey"]).filter("ckey < dkey").withColumn("d", distance(F.col("mx"), F.col("my"), F.col("dx"), F.col("dy")))
     pairs = d.groupBy("level", "pkey").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.avg("d").alias("mean"))
@@ -40,73 +42,79 @@ def spread(tree: DataFrame) -> DataFrame:
     return counts.join(pairs, ["level", "pkey"], "left").withColumnRenamed("pkey", "key")
 
 
-def distinguishable(tree: DataFrame, d: float, measure: str = "max") -> DataFrame:
+def distinguishable(tree: DataFrame, d: float, measure: str = "max", of: DataFrame | None = None) -> DataFrame:
     """(level, key, expands, diameter): whether a cluster's children lie d apart by the measure (one child always does)."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     value = F.col({"min": "low", "max": "high", "avg": "mean"}[measure])
-    return spread(tree).select("level", "key", ((F.col("kids") == 1) | (value >= d)).alias("expands"), (F.col("high") / 2).alias("diameter"))
+    return spread(tree, of).select("level", "key", ((F.col("kids") == 1) | (value >= d)).alias("expands"), (F.col("high") / 2).alias("diameter"))
+
+
+def _children(tree: DataFrame, of: DataFrame) -> DataFrame:
+    """(level, key, n, mx, my) of the children of clusters (level, key)."""
+    kids = tree.select((F.col("level") - 1).alias("plevel"), F.col("parent").alias("pkey"), "level", "key", "n", "mx", "my")
+    return kids.join(of.select(F.col("level").alias("plevel"), F.col("key").alias("pkey")), ["plevel", "pkey"]).select("level", "key", "n", "mx", "my")
 
 
 def tree_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max", highest: int = 17) -> DataFrame:
-    """The frontier with each distinguishable cluster replaced by its children, level by level (at most highest of them)."""
+    """The frontier with each distinguishable cluster replaced by its children, level by level (at most highest of them).
+
+    Only children of clusters that are reached are measured.
+    """
     names = ["level", "key", "n", "mx", "my"]
-    marks = written(distinguishable(tree, d, measure), "marks")
-    kids = tree.select(F.col("level").alias("clevel"), F.col("key").alias("ckey"), F.col("n").alias("cn"), F.col("mx").alias("cx"), F.col("my").alias("cy"), (F.col("level") - 1).alias("level"), F.col("parent").alias("key")).filter("key is not null")
     todo, done = written(frontier.select(names), "frontier"), None
     for _ in range(highest + 1):
-        marked = todo.join(marks, ["level", "key"], "left")
+        marked = written(todo.join(distinguishable(tree, d, measure, todo), ["level", "key"], "left"), "marked")
         ready = marked.filter(~F.coalesce(F.col("expands"), F.lit(False))).select(*names, "diameter")
         done = ready if done is None else done.unionByName(ready)
-        todo = marked.filter("expands").select("level", "key").join(kids, ["level", "key"]).select(F.col("clevel").alias("level"), F.col("ckey").alias("key"), F.col("cn").alias("n"), F.col("cx").alias("mx"), F.col("cy").alias("my"))
-        todo = written(todo, "frontier")
-        if not todo.limit(1).count():
+        grown = marked.filter("expands")
+        if not grown.limit(1).count():
             break
+        todo = written(_children(tree, grown), "frontier")
     return shown(done)
 
 
-def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max", highest: int = 17) -> DataFrame:
-    """Keeps the head of the frontier that holds half of its points, and expands the distinguishable clusters of the tail.
+def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max") -> tuple[DataFrame, DataFrame]:
+    """The kept clusters of a frontier, and the open ones, which the tree-cut goes on with.
 
-    Clusters are sorted by count; the head ends at the first whose running sum reaches what follows it. The rest is cut
-    again until nothing expands, it has three clusters or fewer, or the head is a single point. A frontier is what one
-    screen shows, and its running sum goes over the clusters' counts: distinct counts are few, so ties share a window row.
+    Clusters are sorted by count; the head ends at the first whose running sum reaches what follows it. The head is kept,
+    and so are tail clusters that do not expand; the others are replaced by their children, which are cut again, until
+    three or fewer are left, nothing expands, or the largest of the head is a single point; what is left then is open.
+    Running sums go over distinct counts, and over ties of the one count where the head ends.
     """
     names = ["level", "key", "n", "mx", "my"]
-    marks = written(distinguishable(tree, d, measure), "marks")
-    todo, kept = written(frontier.select(names), "frontier"), None
-    for _ in range(highest + 1):
-        if todo.count() <= 3:
+    todo, kept = written(frontier.select(names), "frontier"), frontier.select(names).limit(0)
+    while True:
+        sums = [(r["n"], r["k"]) for r in todo.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
+        whole, count = sum(n * k for n, k in sums), sum(k for _, k in sums)
+        if count <= 3:
             break
-        sums = todo.groupBy("n").agg(F.sum("n").alias("s"), F.count("*").alias("k"))
-        whole = todo.agg(F.sum("n")).first()[0]
-        run = sums.withColumn("before", F.sum("s").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"))
-        edge = run.filter(F.col("before") + F.col("s") >= whole / 2).orderBy(F.desc("n")).first()
-        need = -(-max(whole / 2 - edge["before"], 0) // edge["n"])
-        same = Window.orderBy("level", "key")
-        ties = todo.filter(F.col("n") == edge["n"]).withColumn("rank", F.row_number().over(same)).filter(F.col("rank") <= int(max(need, 1))).select(names)
-        head = written(todo.filter(F.col("n") > edge["n"]).unionByName(ties), "head")
-        tail = todo.join(head.select("level", "key"), ["level", "key"], "left_anti").join(marks, ["level", "key"], "left")
-        grown = tail.filter("expands").select("level", "key")
-        kids = tree.select(F.col("key").alias("ckey"), "n", "mx", "my", F.col("level").alias("clevel"), (F.col("level") - 1).alias("level"), F.col("parent").alias("key")).join(grown, ["level", "key"])
-        kids = kids.select(F.col("clevel").alias("level"), F.col("ckey").alias("key"), "n", "mx", "my")
-        kept = head if kept is None else kept.unionByName(head)
-        largest = head.agg(F.max("n")).first()[0]
-        after = written(tail.filter(~F.coalesce(F.col("expands"), F.lit(False))).select(names).unionByName(kids), "frontier")
-        stop = not grown.limit(1).count() or largest <= 1
-        todo = after
-        if stop:
+        before = 0
+        for edge, k in sums:
+            need = next((x for x in range(1, k + 1) if 2 * (before + edge * x) >= whole), 0) if 2 * (before + edge * k) >= whole else 0
+            if need:
+                break
+            before += edge * k
+        ties = todo.filter(F.col("n") == edge).orderBy("level", "key").limit(need)
+        head = written(todo.filter(F.col("n") > edge).unionByName(ties), "head")
+        tail = todo.join(head.select("level", "key"), ["level", "key"], "left_anti")
+        tail = written(tail.join(distinguishable(tree, d, measure, tail), ["level", "key"], "left"), "tail")
+        stays = tail.filter(~F.coalesce(F.col("expands"), F.lit(False))).select(names)
+        kids = _children(tree, tail.filter("expands"))
+        kept = kept.unionByName(head).unionByName(stays)
+        todo = written(kids, "frontier")
+        if sums[0][0] <= 1:
             break
-    out = todo if kept is None else todo.unionByName(kept)
-    return shown(out)
+    return kept, todo
 
 
 def cut(tree: DataFrame, bbox, zoom: int, pixels: float = 1.0, measure: str = "max", bipartite: bool = False) -> DataFrame:
     """Visible clusters, cut: children at least so many pixels apart are shown instead of their cluster."""
     front, d = visible(tree, bbox, zoom), pixel_distance(zoom, pixels)
-    if bipartite:
-        front = bipartite_cut(tree, front, d, measure)
-    return tree_cut(tree, front, d, measure)
+    if not bipartite:
+        return tree_cut(tree, front, d, measure)
+    kept, open_ = bipartite_cut(tree, front, d, measure)
+    return shown(kept.withColumn("diameter", F.lit(None).cast("double"))).unionByName(tree_cut(tree, open_, d, measure))
 
 
 def result_stats(clusters: DataFrame) -> DataFrame:
