@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import mercator as m
 from ..functions.text_match import match
-from ..operators import aggregation, agreement, clustering, radius_join, visible
+from ..operators import aggregation, agreement, clustering, incremental, radius_join, visible
 from ..sources import points as sources
 from ..sources import sinks
 from ..streaming.progressive import by_slices
-from .shared import written
+from .shared import numbered, written
 
 BBOX = (-120.0, 26.0, -75.0, 28.5)
 KEYWORD = "click"
@@ -35,6 +35,11 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names})
 
 
+def _off_ties(df: DataFrame, *names: str) -> DataFrame:
+    """Rounded to six digits, a little above: means of the given places often end in a 5 there, which engines round differently."""
+    return df.withColumns({c: F.round(F.col(c) + 1.23e-9, 6) for c in names})
+
+
 def _documents(query: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").filter(match(F.col("text"), query)).select("doc_id")
 
@@ -85,23 +90,23 @@ def _neighbours(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    return _rounded(clustering.clusters_at(_points(spark, sf_dir, KEYWORD), 4).select("key", "mx", "my", "n"), "mx", "my")
+    return _off_ties(clustering.clusters_at(_points(spark, sf_dir), 4).select("key", "mx", "my", "n"), "mx", "my")
 
 
 def _incremental(spark, sf_dir):
-    p = written(_points(spark, sf_dir, KEYWORD), "points")
+    p = written(_points(spark, sf_dir), "points")
     half = p.count() // 2
     state = written(clustering.clusters_at(p.filter(F.col("seq") < half), 4), "state")
-    return _rounded(clustering.extended(state, p.filter(F.col("seq") >= half), 4).select("key", "mx", "my", "n"), "mx", "my")
+    return _off_ties(clustering.extended(state, p.filter(F.col("seq") >= half), 4).select("key", "mx", "my", "n"), "mx", "my")
 
 
 def _visible(spark, sf_dir):
-    level = clustering.clusters_at(_points(spark, sf_dir, KEYWORD), 4).withColumn("level", F.lit(4))
+    level = clustering.clusters_at(_points(spark, sf_dir), 4).withColumn("level", F.lit(4))
     return _rounded(visible.visible(level, BBOX, 4).select("key", "lng", "lat", "n"), "lng", "lat", digits=4)
 
 
-def _tree(spark, sf_dir, top: int = 8, keyword: str | None = KEYWORD) -> DataFrame:
-    return written(clustering.hierarchy(_points(spark, sf_dir, keyword), top, 0), "tree")
+def _tree(spark, sf_dir) -> DataFrame:
+    return written(clustering.hierarchy(_points(spark, sf_dir)), "tree")
 
 
 def _hierarchy(spark, sf_dir):
@@ -113,7 +118,7 @@ def _levels(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return clustering.labels(_points(spark, sf_dir, KEYWORD), _tree(spark, sf_dir), 4).select("tid", "label")
+    return clustering.labels(_points(spark, sf_dir), _tree(spark, sf_dir), 4).select("tid", "label")
 
 
 def _cluster_distance(spark, sf_dir):
@@ -126,28 +131,78 @@ def _cut(measure, bipartite=False):
 
 
 def _approximate(spark, sf_dir):
-    p = written(_points(spark, sf_dir, KEYWORD), "points")
+    p = written(_points(spark, sf_dir), "points")
+    half = p.count() // 2
+    state = clustering.approximate(None, p.filter(F.col("seq") < half))
+    return clustering.approximate(state, p.filter(F.col("seq") >= half))
+
+
+def _level_batch(spark, sf_dir):
+    """All levels after two batches of points, with what had drifted anchored anew."""
+    p = written(_points(spark, sf_dir), "points")
+    half = p.count() // 2
+    state = incremental.level_batch(None, p.filter(F.col("seq") < half))
+    return incremental.level_batch(state, p.filter(F.col("seq") >= half))
+
+
+def _level_batch_points(spark, sf_dir):
+    return _level_batch(spark, sf_dir).groupBy("level").agg(F.sum("n").alias("points"))
+
+
+def _incremental_levels(spark, sf_dir):
+    """Clusters and points of all levels after two exact steps, which are those of one step."""
+    p = written(_points(spark, sf_dir), "points")
     half = p.count() // 2
-    state = clustering.approximate(None, p.filter(F.col("seq") < half), 8, 0)
-    return clustering.approximate(state, p.filter(F.col("seq") >= half), 8, 0)
+    tree = clustering.grown(clustering.grown(None, p.filter(F.col("seq") < half)), p.filter(F.col("seq") >= half))
+    return tree.groupBy("level").agg(F.count("*").alias("clusters"), F.sum("n").alias("points"))
+
+
+def _scaling(spark, sf_dir):
+    """Clusters of each level for the first n points, n doubling from 5,000."""
+    p, n, out = written(_points(spark, sf_dir), "points"), 5_000, None
+    whole = p.count()
+    while n <= max(whole, 5_000):
+        found = clustering.hierarchy(p.filter(F.col("seq") < n)).groupBy("level").agg(F.count("*").alias("clusters")).withColumn("n", F.lit(n))
+        out, n = found if out is None else out.unionByName(found), 2 * n
+    return out
+
+
+def _slice_rand(spark, sf_dir):
+    """Agreement at zoom 4 of the approximate incremental engine with batch clustering, after each of two slices of time."""
+    p = written(_by_time(spark, sf_dir), "points")
+    state, out = None, None
+    for k, low, high, progress in sources.slices(START, datetime(2024, 1, 31), 15):
+        at = lambda t: F.col("create_at") >= F.lit(t)
+        state = clustering.approximate(state, p.filter(at(low) & ~at(high)))
+        so_far = p.filter(~at(high))
+        pair = agreement.aligned(clustering.labels(so_far, clustering.hierarchy(so_far), 4), clustering.labels(so_far, state, 4))
+        found = agreement.rand_indexes(pair).withColumn("progress", F.lit(progress))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _by_time(spark, sf_dir):
+    return numbered(sources.projected(sources.from_events(spark, sf_dir)), F.asc("create_at"), F.asc("tid"))
 
 
 def _markers(spark, sf_dir):
-    return clustering.markers(_points(spark, sf_dir, KEYWORD), 40 / (256 * 2**4)).select("leader", "n")
+    return clustering.markers(_points(spark, sf_dir), 40 / (256 * 2**4)).select("leader", "n")
 
 
 def _hulls(spark, sf_dir):
-    p = written(_points(spark, sf_dir, KEYWORD), "points")
-    label = F.floor(F.col("mx") * 32).cast("long") * 32 + F.floor(F.col("my") * 32).cast("long")
-    return clustering.hulls(p.withColumn("label", label)).withColumn("corners", F.size("hull")).drop("hull")
+    """Bounds and hull of each cluster of zoom 4."""
+    p = written(_points(spark, sf_dir), "points")
+    label = clustering.leaders(clustering.collapsed(p), m.radius(4)).withColumnRenamed("key", "seq").withColumnRenamed("leader", "label")
+    first = p.groupBy("mx", "my").agg(F.min("seq").alias("seq"))
+    return clustering.hulls(first.join(label, "seq"))
 
 
 def _progressive(spark, sf_dir):
     """Clusters at zoom 4 after the last of ten slices of three days."""
     state = None
-    for _, state in by_slices(sources.from_events(spark, sf_dir).filter(match(F.col("text"), KEYWORD)), START, datetime(2024, 1, 31), DAYS, 4):
+    for _, state in by_slices(sources.from_events(spark, sf_dir), START, datetime(2024, 1, 31), DAYS, 4):
         pass
-    return _rounded(state.select("key", "mx", "my", "n"), "mx", "my")
+    return _off_ties(state.select("key", "mx", "my", "n"), "mx", "my")
 
 
 def _raw(spark, sf_dir):
@@ -171,7 +226,8 @@ def _raster(spark, sf_dir):
 
 
 def _raster_range(spark, sf_dir):
-    return aggregation.raster_range(_raster(spark, sf_dir), (_LEFT, _TOP, _RIGHT, _BOTTOM), 10)
+    box = (_LEFT, _TOP, _RIGHT, _BOTTOM)
+    return aggregation.raster_range(aggregation.raster_samples(_points(spark, sf_dir), 12, bbox=box, cut=10), box, 10)
 
 
 def _raster_stats(spark, sf_dir):
@@ -183,7 +239,7 @@ def _raster_hist(spark, sf_dir):
 
 
 def _heat(spark, sf_dir):
-    return _rounded(aggregation.heat(_points(spark, sf_dir), 1 / 1024, 0.25, 10.0), "x", "y")
+    return _off_ties(aggregation.heat(_points(spark, sf_dir), 1 / 1024, 0.25, 10.0), "x", "y")
 
 
 def _picked(spark, sf_dir):
@@ -191,12 +247,12 @@ def _picked(spark, sf_dir):
 
 
 def _icons(spark, sf_dir):
-    cells = aggregation.cell_counts(_points(spark, sf_dir), 7).filter("level = 7")
+    cells = aggregation.cell_counts(_points(spark, sf_dir), 7, 7)
     return cells.groupBy(m.icon_size(F.col("n")).alias("icon")).agg(F.count("*").alias("cells"))
 
 
 def _stats(spark, sf_dir):
-    return visible.result_stats(aggregation.cell_counts(_points(spark, sf_dir), 7).filter("level = 7")).select("results", "points", "most", F.round("mean", 6).alias("mean"))
+    return visible.result_stats(aggregation.cell_counts(_points(spark, sf_dir), 7, 7)).select("results", "points", "most", F.round("mean", 6).alias("mean"))
 
 
 def _cell_labels(spark, sf_dir, level: int) -> DataFrame:
@@ -210,19 +266,27 @@ def _rand(spark, sf_dir):
 
 
 def _order_rand(spark, sf_dir):
-    """Agreement of the batch clustering in four orders at zoom 4, each with the original."""
-    base, out = None, None
+    """Agreement at zooms 4 to 8 of the clustering in four orders, and of K-means with as many clusters, with the original order."""
+    base, out = {}, None
     for order in ("original", "reverse", "spatial", "reverse-spatial"):
-        p = written(_points(spark, sf_dir, KEYWORD, order), "points")
-        labels = written(clustering.labels(p, clustering.hierarchy(p, 6, 4), 4), "labels")
-        base = base if base is not None else labels
-        found = agreement.rand_indexes(agreement.aligned(base, labels)).withColumn("order", F.lit(order))
-        out = found if out is None else out.unionByName(found)
+        p = written(_points(spark, sf_dir, None, order), "points")
+        tree = clustering.hierarchy(p, m.MAX_ZOOM, 4)
+        for zoom in range(4, 9):
+            label = written(clustering.labels(p, tree, zoom), "labels")
+            base.setdefault(zoom, label)
+            found = agreement.rand_indexes(agreement.aligned(base[zoom], label)).withColumns({"order": F.lit(order), "zoom": F.lit(zoom)})
+            out = found if out is None else out.unionByName(found)
+    p = written(_points(spark, sf_dir), "points")
+    for zoom in range(4, 7):
+        means = agreement.kmeans_labels(p.select("tid", "mx", "my"), base[zoom].select("label").distinct().count())
+        out = out.unionByName(agreement.rand_indexes(agreement.aligned(base[zoom], means)).withColumns({"order": F.lit("k-means"), "zoom": F.lit(zoom)}))
     return out
 
 
 def _kmeans(spark, sf_dir):
-    return agreement.kmeans_labels(_points(spark, sf_dir, KEYWORD).select("tid", "mx", "my"), 16)
+    """Labels of all points by K-means with as many clusters as zoom 4 has."""
+    p = written(_points(spark, sf_dir), "points")
+    return agreement.kmeans_labels(p.select("tid", "mx", "my"), clustering.clusters_at(p, 4).count())
 
 
 def _geojson(spark, sf_dir):
@@ -266,6 +330,11 @@ QUERIES = {
     "treecut_min": _cut("min"),
     "bipartite_cut": _cut("max", True),
     "approx_incremental": _approximate,
+    "level_batch_incremental": _level_batch,
+    "level_batch_points": _level_batch_points,
+    "incremental_exact_levels": _incremental_levels,
+    "scaling_sizes": _scaling,
+    "slice_rand_index": _slice_rand,
     "marker_clusters": _markers,
     "cluster_hulls": _hulls,
     "progressive_clusters": _progressive,
@@ -289,13 +358,13 @@ QUERIES = {
     "binary_frame": _binary,
 }
 _R4 = f"{m.radius(4)!r}::DOUBLE"
-_GREEDY = f"""{_P}, k AS (SELECT row_number() OVER (ORDER BY tid)-1 AS seq, mx, my FROM q WHERE text = '{KEYWORD}'),
+_GREEDY = f"""{_P}, k AS (SELECT row_number() OVER (ORDER BY tid)-1 AS seq, mx, my FROM q ),
 it(step, ls) AS (SELECT 0, [{{'seq': seq, 'mx': mx, 'my': my}}] FROM k WHERE seq = 0
   UNION ALL SELECT step + 1, list_append(any_value(ls), arg_min({{'seq': seq, 'mx': k.mx, 'my': k.my}}, seq)) FROM it, k
   WHERE len(list_filter(ls, lambda l: sqrt(pow(l.mx-k.mx, 2)+pow(l.my-k.my, 2)) <= {_R4})) = 0 GROUP BY step HAVING count(*) > 0),
 l AS (SELECT unnest(ls) AS l FROM it WHERE step = (SELECT max(step) FROM it)),
 c AS (SELECT min(l.seq) AS key, any_value(mx) AS mx, any_value(my) AS my FROM k, l WHERE sqrt(pow(l.mx-k.mx, 2)+pow(l.my-k.my, 2)) <= {_R4} GROUP BY k.seq)"""
-_CLUSTERS = f"WITH RECURSIVE {_GREEDY} SELECT key, round(avg(mx), 6) AS mx, round(avg(my), 6) AS my, count(*) AS n FROM c GROUP BY key"
+_CLUSTERS = f"WITH RECURSIVE {_GREEDY} SELECT key, round(avg(mx) + 1.23e-9, 6) AS mx, round(avg(my) + 1.23e-9, 6) AS my, count(*) AS n FROM c GROUP BY key"
 _CELLS = f"""{_P}, g AS (SELECT level, floor(mx*pow(2, level))::BIGINT AS i, floor(my*pow(2, level))::BIGINT AS j, count(*) AS n, min(seq) AS first
   FROM q, unnest(range(0, 13)) AS t(level) WHERE mx >= 0 AND mx < 1 AND my >= 0 AND my < 1 GROUP BY ALL)"""
 
@@ -308,7 +377,7 @@ ORACLE_SQL = {
     "clusters_z4": _CLUSTERS,
     "incremental_exact_z4": _CLUSTERS,
     "visible_bbox": f"WITH RECURSIVE {_GREEDY}, d AS (SELECT key, avg(mx) AS mx, avg(my) AS my, count(*) AS n FROM c GROUP BY key) SELECT key, round((mx-0.5)*360, 4) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90, 4) AS lat, n FROM d WHERE {_BOX}",
-    "progressive_clusters": _CLUSTERS.replace("row_number() OVER (ORDER BY tid)-1 AS seq, mx", "row_number() OVER (ORDER BY create_at, tid)-1 AS seq, mx").replace("WHERE text =", "WHERE create_at < TIMESTAMP '2024-01-31' AND text ="),
+    "progressive_clusters": _CLUSTERS.replace("row_number() OVER (ORDER BY tid)-1 AS seq, mx", "row_number() OVER (ORDER BY create_at, tid)-1 AS seq, mx").replace("AS seq, mx, my FROM q ),", "AS seq, mx, my FROM q WHERE create_at < TIMESTAMP '2024-01-31'),"),
     "points_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}'",
     "time_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}' AND create_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
     "limit_scan": f"WITH {_P} SELECT tid, x, y FROM p ORDER BY tid LIMIT 500",
@@ -324,14 +393,15 @@ ORACLE_SQL = {
     "order_spatial": _order_sql("x, y, tid"),
     "order_reverse_spatial": _order_sql("x DESC, y DESC, tid"),
     "radius_neighbors": f"WITH {_P} SELECT a.seq AS a, count(*) AS later, min(b.seq) AS first FROM q a JOIN q b ON a.seq < b.seq AND abs(a.mx-b.mx) < 0.001 AND sqrt(pow(a.mx-b.mx, 2)+pow(a.my-b.my, 2)) <= {m.radius(10)!r}::DOUBLE GROUP BY a.seq",
-    "hierarchy_points": f"SELECT level::INTEGER AS level, (SELECT count(*) FROM events WHERE event_type = '{KEYWORD}') AS points FROM unnest(range(0, 9)) AS t(level)",
+    "hierarchy_points": f"SELECT level::INTEGER AS level, (SELECT count(*) FROM events) AS points FROM unnest(range(0, 18)) AS t(level)",
+    "level_batch_points": f"SELECT level::INTEGER AS level, (SELECT count(*) FROM events) AS points FROM unnest(range(0, 18)) AS t(level)",
     "raw_explore": f"WITH {_P} SELECT seq, tid, x, y FROM q WHERE {_BOX}",
     "pixel_aggregate": f"WITH {_P} SELECT floor((mx-{_LEFT!r}::DOUBLE)/(({_RIGHT!r}::DOUBLE-{_LEFT!r}::DOUBLE)/480))::BIGINT AS pi, floor((my-{_TOP!r}::DOUBLE)/(({_BOTTOM!r}::DOUBLE-{_TOP!r}::DOUBLE)/240))::BIGINT AS pj, count(*) AS n, min(seq) AS seq FROM q WHERE {_BOX} GROUP BY 1, 2",
     "quadtree_counts": f"WITH {_CELLS} SELECT level::INTEGER AS level, i, j, n, first FROM g",
     "quadtree_range": f"""WITH {_CELLS}, s AS (SELECT *, pow(2, -level) AS side FROM g WHERE level <= 9 AND i*pow(2, -level) <= {_RIGHT!r} AND (i+1)*pow(2, -level) >= {_LEFT!r} AND j*pow(2, -level) <= {_BOTTOM!r} AND (j+1)*pow(2, -level) >= {_TOP!r}),
 f AS (SELECT s.* FROM s LEFT JOIN g u ON u.level = s.level-1 AND u.i = s.i//2 AND u.j = s.j//2 WHERE (s.n = 1 OR s.level = 9) AND (s.level = 0 OR u.n > 1))
 SELECT level::INTEGER AS level, i, j, n, round(CASE WHEN n = 1 THEN mx ELSE (i+0.5)*side END, 6) AS x, round(CASE WHEN n = 1 THEN my ELSE (j+0.5)*side END, 6) AS y, CASE WHEN n = 1 THEN first ELSE -1 END AS seq FROM f JOIN q ON q.seq = f.first""",
-    "heat_bins": f"WITH {_P} SELECT floor(mx*1024)::BIGINT AS ci, floor(my*1024)::BIGINT AS cj, round(avg(mx), 6) AS x, round(avg(my), 6) AS y, least(count(*)*0.25::DOUBLE, 10.0::DOUBLE) AS w FROM q GROUP BY 1, 2",
+    "heat_bins": f"WITH {_P} SELECT floor(mx*1024)::BIGINT AS ci, floor(my*1024)::BIGINT AS cj, round(sum(mx::DECIMAL(18,15))::DOUBLE/count(*) + 1.23e-9, 6) AS x, round(sum(my::DECIMAL(18,15))::DOUBLE/count(*) + 1.23e-9, 6) AS y, least(count(*)*0.25::DOUBLE, 10.0::DOUBLE) AS w FROM q GROUP BY 1, 2",
     "point_pick": f"WITH {_P} SELECT seq, tid FROM (SELECT *, sqrt(pow(mx-0.22::DOUBLE, 2)+pow(my-0.42::DOUBLE, 2)) AS d FROM q) WHERE d <= 0.01 ORDER BY d, seq LIMIT 1",
     "icon_class": f"WITH {_CELLS} SELECT CASE WHEN n < 100 THEN 'small' WHEN n < 1000 THEN 'medium' ELSE 'large' END AS icon, count(*) AS cells FROM g WHERE level = 7 GROUP BY 1",
     "result_stats": f"WITH {_CELLS} SELECT count(*) AS results, sum(n)::BIGINT AS points, max(n) AS most, round(avg(n), 6) AS mean FROM g WHERE level = 7",

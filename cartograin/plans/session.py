@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregation, clustering, visible
+from ..functions.mercator import boxes
+from ..operators import aggregation, clustering, incremental, visible
 from ..sources import points as sources
-from .shared import written
+from .shared import removed, written
 
 #: Names of engines by which a query may ask.
 ENGINES = {
-    **dict.fromkeys(("supercluster", "isupercluster", "isc", "sbisupercluster", "sbisc", "sbic", "lbisupercluster", "lbisc", "bisupercluster", "bisc"), "exact"),
+    **dict.fromkeys(("supercluster", "isupercluster", "isc", "sbisupercluster", "sbisc", "sbic"), "exact"),
+    **dict.fromkeys(("lbisupercluster", "lbisc", "bisupercluster", "bisc"), "level-batch"),
     **dict.fromkeys(("aisupercluster", "aisc"), "approximate"),
     **dict.fromkeys(("dataexplorer", "de"), "raw"),
     **dict.fromkeys(("dataaggregator", "da"), "pixels"),
@@ -40,7 +45,8 @@ class Session:
         if key not in self.built:
             if len(self.built) >= self.most:
                 least = min(self.built, key=lambda k: self.hits[k])
-                del self.built[least], self.hits[least]
+                removed(self.built.pop(least))
+                del self.hits[least]
             self.built[key], self.hits[key] = make(), 0
         self.hits[key] += 1
         return self.built[key]
@@ -57,24 +63,51 @@ class Session:
         if engine == "pixels":
             return aggregation.pixels(points, bbox, res_x, res_y)
         if engine == "quadtree":
-            left, top, right, bottom = visible_box(bbox)
-            side = min((right - left) / res_x, (bottom - top) / res_y)
-            return aggregation.quadtree(points, (left, top, right, bottom), aggregation.terminal_level(side / 2 ** max(self.max_zoom - 4, 0)), aggregation.cut_level(side))
+            parts = boxes(bbox)
+            side = min(sum(p[2] - p[0] for p in parts) / res_x, (parts[0][3] - parts[0][1]) / res_y)
+            terminal = min(30, aggregation.terminal_level(side / 2 ** max(self.max_zoom - 4, 0)))
+            return reduce(DataFrame.unionByName, (aggregation.quadtree(points, p, terminal, min(30, aggregation.cut_level(side))) for p in parts)).distinct()
         if engine == "raster":
             samples = self._kept(f"{key}-raster", lambda: written(aggregation.raster_samples(points, self.max_zoom + 1), "session-raster"))
-            return aggregation.raster_range(samples, visible_box(bbox), min(self.max_zoom + 1, aggregation.cut_level(pixels / 256 / 2**zoom if tree_cut else 1 / 256 / 2**zoom)))
-        build = clustering.hierarchy if engine == "exact" else lambda p, z: _with_centroids(clustering.approximate(None, p, z))
+            level = min(self.max_zoom + 1, aggregation.cut_level(pixels / 256 / 2**zoom if tree_cut else 1 / 256 / 2**zoom))
+            return reduce(DataFrame.unionByName, (aggregation.raster_range(samples, p, level) for p in boxes(bbox))).distinct()
+        builders = {"exact": clustering.hierarchy, "approximate": lambda p, z: _with_centroids(clustering.approximate(None, p, z)), "level-batch": lambda p, z: _with_centroids(incremental.level_batch(None, p, z))}
+        build = builders[engine]
         tree = self._kept(f"{key}-{engine}", lambda: written(build(points, self.max_zoom), "session-tree"))
         if tree_cut:
             return visible.cut(tree, bbox, zoom, pixels, measure, bipartite)
-        return visible.visible(tree, bbox, zoom, by_leader=engine == "approximate", high=self.max_zoom)
-
-
-def visible_box(bbox) -> tuple[float, float, float, float]:
-    from ..functions.mercator import boxes
-
-    found = boxes(bbox)
-    return found[0] if len(found) == 1 else (0.0, found[0][1], 1.0, found[0][3])
+        return visible.visible(tree, bbox, zoom, by_leader=engine != "exact", high=self.max_zoom)
+
+    def preset(self, name: str, keyword: str | None, bbox, zoom: int, **options) -> DataFrame:
+        """A query with the options of a preset (cluster, scatter or heat); own options come first."""
+        if name not in PRESETS:
+            raise ValueError(f"unknown preset {name!r}")
+        return self.query(keyword, bbox, zoom, **(PRESETS[name] | options))
+
+    def requests(self, commands: Iterable[dict]):
+        """Answers a batch of requests in order: yields {id, type, ok, rows, seconds, answer or message}.
+
+        A request has id, type ("query", "preset" or "cmd") and the arguments of its method under "query"; cmd knows
+        "clear" (drop all that was built) and "status" (what is built, with hits). A bad request gives ok = False.
+        """
+        for c in commands:
+            began, out = time.perf_counter(), {"id": c.get("id"), "type": c.get("type")}
+            try:
+                if c.get("type") in ("query", "preset"):
+                    answer = getattr(self, c["type"])(**c["query"])
+                    out |= {"ok": True, "rows": answer.count(), "answer": answer}
+                elif c.get("type") == "cmd" and c.get("cmd") in ("clear", "status"):
+                    out |= {"ok": True, "rows": len(self.built), "answer": dict(self.hits)}
+                    if c["cmd"] == "clear":
+                        for kept in self.built.values():
+                            removed(kept)
+                        self.built.clear()
+                        self.hits.clear()
+                else:
+                    raise ValueError(f"unknown request {c!r}")
+            except (ValueError, TypeError, KeyError) as e:
+                out |= {"ok": False, "rows": 0, "message": str(e)}
+            yield out | {"seconds": time.perf_counter() - began}
 
 
 def _with_centroids(state: DataFrame) -> DataFrame:

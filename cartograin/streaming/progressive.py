@@ -15,14 +15,28 @@ from ..sources.points import projected, slices
 class Progressive:
     """State of the clusters of one zoom (exact) or of all levels (approximate), updated by foreachBatch.
 
-    A batch that comes again (same id) is passed over, so that a restarted stream counts no point twice. Points get their
-    seq after all earlier ones, by time and tid within a batch; late points come with a later batch.
+    With a store (a folder that driver and executors share) each batch writes its state under its id, with the points seen
+    so far, and then a mark; a new object on that store goes on from the last marked batch. A batch that comes again (same
+    id) is passed over, so a restarted stream counts no point twice. Points get their seq after all earlier ones, by time
+    and tid within a batch; late points come with a later batch.
     """
 
-    def __init__(self, spark: SparkSession, zoom: int | None = None, max_zoom: int = 17):
-        self.spark, self.zoom, self.max_zoom = spark, zoom, max_zoom
+    def __init__(self, spark: SparkSession, zoom: int | None = None, max_zoom: int = 17, store: str | None = None):
+        self.spark, self.zoom, self.max_zoom, self.store = spark, zoom, max_zoom, store
         self.state: DataFrame | None = None
         self.seen, self.last = 0, -1
+        if store is not None:
+            self._restore()
+
+    def _restore(self) -> None:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/marks")
+        if not fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+            return
+        mark = self.spark.read.schema("batch long, seen long").parquet(f"{self.store}/marks").orderBy(F.desc("batch")).first()
+        if mark is not None:
+            self.last, self.seen = mark["batch"], mark["seen"]
+            if self.seen:
+                self.state = self.spark.read.parquet(f"{self.store}/state-{self.last}")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
@@ -38,6 +52,11 @@ class Progressive:
             else:
                 self.state = written(clustering.extended(self.state, rows, self.zoom), "progressive-state")
         self.seen, self.last = self.seen + n, batch_id
+        if self.store is not None:
+            if self.state is not None:
+                self.state.write.mode("overwrite").parquet(f"{self.store}/state-{batch_id}")
+                self.state = self.spark.read.parquet(f"{self.store}/state-{batch_id}")
+            self.spark.createDataFrame([(batch_id, self.seen)], "batch long, seen long").write.mode("append").parquet(f"{self.store}/marks")
 
     def run(self, stream: DataFrame, checkpoint: str):
         """Starts the query on a stream of points; awaitTermination() ends with the input (available now)."""

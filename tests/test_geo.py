@@ -362,6 +362,32 @@ def test_session_and_stream(spark, small, tmp_path):
     assert progress.seen == n
 
 
+def test_stream_goes_on_after_a_restart(spark, small, tmp_path):
+    events = sources.from_events(spark, small)
+    halves = [events.filter("tid % 2 = 0"), events.filter("tid % 2 = 1")]
+    one = Progressive(spark, zoom=3)
+    two = Progressive(spark, zoom=3, store=f"{tmp_path}/store")
+    one.update(halves[0], 0)
+    two.update(halves[0], 0)
+    two = Progressive(spark, zoom=3, store=f"{tmp_path}/store")
+    assert two.last == 0
+    for p in (one, two):
+        p.update(halves[0], 0)
+        p.update(halves[1], 1)
+    assert [sorted((r.key, r.n) for r in p.state.collect()) for p in (two,)] == [sorted((r.key, r.n) for r in one.state.collect())]
+
+
+def test_requests(spark, points):
+    session = Session(points.select("tid", F.lit(None).cast("timestamp").alias("create_at"), F.lit("cat").alias("text"), "x", "y"), max_zoom=3)
+    box = (-180.0, -80.0, 180.0, 80.0)
+    asked = [{"id": "a", "type": "query", "query": {"keyword": "cat", "bbox": box, "zoom": 2, "algorithm": "DE"}}, {"id": "b", "type": "preset", "query": {"name": "cluster", "keyword": "cat", "bbox": box, "zoom": 2, "algorithm": "LBiSC"}},
+             {"id": "c", "type": "query", "query": {"keyword": "cat", "bbox": box, "zoom": 2, "algorithm": "?"}}, {"id": "d", "type": "cmd", "cmd": "status"}, {"id": "e", "type": "cmd", "cmd": "clear"}, {"id": "f", "type": "x"}]
+    got = [*session.requests(asked[:2])] + [*session.requests(asked[2:])]
+    assert [r["ok"] for r in got] == [True, True, False, True, True, False] and got[0]["rows"] == points.count() and not session.built
+    east = session.query("cat", (100.0, -80.0, -100.0, 80.0), 2, "QTA", res_x=64, res_y=64)
+    assert east.filter("x > 0.3 and x < 0.7").count() == 0
+
+
 @pytest.mark.parametrize("hot", [20_000, 30])
 def test_markers(points, rows, hot, monkeypatch):
     monkeypatch.setattr(clustering, "HOT", hot)
