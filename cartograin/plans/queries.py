@@ -175,7 +175,7 @@ def _slice_rand(spark, sf_dir):
         at = lambda t: F.col("create_at") >= F.lit(t)
         state = clustering.approximate(state, p.filter(at(low) & ~at(high)))
         so_far = p.filter(~at(high))
-        pair = agreement.aligned(clustering.labels(so_far, clustering.hierarchy(so_far), 4), clustering.labels(so_far, state, 4))
+        pair = agreement.aligned(clustering.labels(so_far, written(clustering.hierarchy(so_far, m.MAX_ZOOM, 4), "tree"), 4), clustering.labels(so_far, state, 4))
         found = agreement.rand_indexes(pair).withColumn("progress", F.lit(progress))
         out = found if out is None else out.unionByName(found)
     return out
@@ -270,7 +270,7 @@ def _order_rand(spark, sf_dir):
     base, out = {}, None
     for order in ("original", "reverse", "spatial", "reverse-spatial"):
         p = written(_points(spark, sf_dir, None, order), "points")
-        tree = clustering.hierarchy(p, m.MAX_ZOOM, 4)
+        tree = written(clustering.hierarchy(p, m.MAX_ZOOM, 4), "tree")
         for zoom in range(4, 9):
             label = written(clustering.labels(p, tree, zoom), "labels")
             base.setdefault(zoom, label)
