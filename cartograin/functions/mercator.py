@@ -98,3 +98,29 @@ def colour(n: Column, most: Column) -> Column:
     """An HSL colour by the logarithm of a count."""
     v = F.when(most > 1, F.log(n) / F.log(most)).otherwise(F.lit(0.0))
     return F.format_string("hsl(%.0f,%.0f%%,50%%)", 100.0 - 100.0 * v, 60.0 + 30.0 * v)
+
+
+#: A tile's side in pixels, a marker's radius, its least one, its shares of fill and edge, and the level from which records are raw points.
+TILE, MARKER, LEAST_MARKER, FILL, EDGE, RAW_LEVEL = 256.0, 20.0, 1.0, 0.7, 0.3, 25
+
+
+def pixel_x(lng: Column, zoom: int) -> Column:
+    """Pixels from the world's western edge at a zoom."""
+    return lng_x(lng) * (TILE * 2.0**zoom)
+
+
+def pixel_y(lat: Column, zoom: int) -> Column:
+    """Pixels from the world's northern edge at a zoom."""
+    return lat_y(lat) * (TILE * 2.0**zoom)
+
+
+def marker_radius(level: Column, diameter: Column, zoom: int, base: float = MARKER, shift: int = 0) -> Column:
+    """(fill, edge) in pixels of the marker of a cluster of a level, on a map at a zoom.
+
+    A known diameter (0 or more, in the unit square) is measured by the cluster radius of the zoom; else the marker halves with
+    each level below the zoom (raw points: with each of shift). A null level counts as raw points.
+    """
+    below = F.when(level < RAW_LEVEL, level - zoom).otherwise(shift)
+    scaled = F.when(diameter >= 0, diameter * base / radius(zoom)).otherwise(base / F.pow(F.lit(2.0), below.cast("double")))
+    whole = F.greatest(scaled, F.lit(LEAST_MARKER))
+    return F.struct((whole * FILL).alias("fill"), (whole * EDGE).alias("edge"))

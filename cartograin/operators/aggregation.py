@@ -171,6 +171,21 @@ def raster_histogram(samples: DataFrame, bins: int = 100) -> DataFrame:
     return per.groupBy("level", F.least("k", F.lit(bins)).alias("bin")).agg(F.count("*").alias("nodes"))
 
 
+def raster_histograms(samples: DataFrame, max_level: int, level: int, deep: int = 10, bins: int = 100) -> DataFrame:
+    """(kind, bin, nodes): four histograms of the cells; the last bin holds all larger counts.
+
+    inner: samples of cells with children beyond level deep; leaf: points of cells without; level: samples of the inner ones
+    of one level; level_points: their points in bins of ten (none where that level isn't beyond deep).
+    """
+    per = samples.groupBy("level", "i", "j").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    leaf = (F.col("n") == 1) | (F.col("level") == max_level)
+    inner = ~leaf & (F.col("level") > deep)
+    at = inner & (F.col("level") == level)
+    of = lambda kind, which, value: F.when(which, F.struct(F.lit(kind).alias("kind"), F.least(value, F.lit(bins)).cast("long").alias("bin")))
+    kinds = F.array(of("inner", inner, F.col("k")), of("leaf", leaf, F.col("k")), of("level", at, F.col("k")), of("level_points", at, F.floor(F.col("n") / 10)))
+    return per.select(F.explode(F.array_compact(kinds)).alias("h")).groupBy("h.kind", "h.bin").agg(F.count("*").alias("nodes"))
+
+
 def heat(points: DataFrame, cell: float, weight: float = 1.0, most: float = 1.0, zoom: int | None = None, max_zoom: int = 18) -> DataFrame:
     """(ci, cj, x, y, w): weighted centroid and clamped weight of each square cell of points.
 

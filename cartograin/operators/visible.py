@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mercator import distance, limit_zoom, pixel_distance, within_any, x_lng, y_lat
+from ..functions.mercator import distance, limit_zoom, pixel_distance, radius, within_any, x_lng, y_lat
 from ..plans.shared import written
 
 MEASURES = ("min", "max", "avg")
@@ -23,11 +23,11 @@ def visible(tree: DataFrame, bbox, zoom: int, by_leader: bool = False, low: int
 
 
 def cluster_distance(tree: DataFrame, zoom: int, a: int, b: int) -> DataFrame:
-    """(distance,) of two clusters' centroids at a level; -1 if one is missing."""
+    """(distance, radius) of two clusters' centroids at a level, and of the level's clusters; distance -1 if one is missing."""
     level = tree.filter((F.col("level") == zoom) & F.col("key").isin(a, b))
     of = lambda k, c: F.max(F.when(F.col("key") == k, F.col(c)))
     found = level.agg(of(a, "mx").alias("ax"), of(a, "my").alias("ay"), of(b, "mx").alias("bx"), of(b, "my").alias("by"))
-    return found.select(F.coalesce(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), F.lit(-1.0)).alias("distance"))
+    return found.select(F.coalesce(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), F.lit(-1.0)).alias("distance"), F.lit(radius(zoom)).alias("radius"))
 
 
 def spread(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:

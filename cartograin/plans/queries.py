@@ -238,6 +238,34 @@ def _raster_hist(spark, sf_dir):
     return aggregation.raster_histogram(_raster(spark, sf_dir))
 
 
+def _raster_hists(spark, sf_dir):
+    return aggregation.raster_histograms(_raster(spark, sf_dir), 12, 11)
+
+
+def _transfer(spark, sf_dir):
+    """All points in the slices in which they would be sent."""
+    return sources.transferred(sources.from_events(spark, sf_dir), START, datetime(2024, 1, 31), DAYS)
+
+
+def _point_features(spark, sf_dir):
+    return sinks.point_features(sources.scan(sources.from_events(spark, sf_dir)))
+
+
+def _screen(spark, sf_dir):
+    """Whole pixels of all points at zoom 12."""
+    p = sources.from_events(spark, sf_dir)
+    return p.select("tid", F.floor(m.pixel_x(F.col("x"), 12)).cast("long").alias("px"), F.floor(m.pixel_y(F.col("y"), 12)).cast("long").alias("py"))
+
+
+def _marker_radii(spark, sf_dir):
+    """Markers at zoom 5 of the cells of level 7, by the diagonal of what they hold; those of one point by their level."""
+    p = sources.projected(sources.from_events(spark, sf_dir))
+    cells = p.groupBy(F.floor(F.col("mx") * 128).cast("long").alias("i"), F.floor(F.col("my") * 128).cast("long").alias("j"))
+    cells = cells.agg(F.count("*").alias("n"), m.distance(F.min("mx"), F.min("my"), F.max("mx"), F.max("my")).alias("d"))
+    r = m.marker_radius(F.lit(7), F.when(F.col("n") > 1, F.col("d")), 5)
+    return _off_ties(cells.select("i", "j", "n", r.alias("r")).select("i", "j", "n", "r.fill", "r.edge"), "fill", "edge")
+
+
 def _heat(spark, sf_dir):
     return _off_ties(aggregation.heat(_points(spark, sf_dir), 1 / 1024, 0.25, 10.0), "x", "y")
 
@@ -346,6 +374,11 @@ QUERIES = {
     "raster_quadtree_range": _raster_range,
     "raster_stats": _raster_stats,
     "raster_hist": _raster_hist,
+    "raster_histograms": _raster_hists,
+    "progressive_transfer": _transfer,
+    "point_features": _point_features,
+    "screen_pixels": _screen,
+    "marker_radii": _marker_radii,
     "heat_bins": _heat,
     "point_pick": _picked,
     "icon_class": _icons,
@@ -408,5 +441,10 @@ SELECT level::INTEGER AS level, i, j, n, round(CASE WHEN n = 1 THEN mx ELSE (i+0
     "rand_index": f"""WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, floor(mx*64)*64+floor(my*64) AS b FROM q), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b),
 t AS (SELECT (SELECT sum(n*(n-1)/2) FROM n) AS b2, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY a)) AS sa, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY b)) AS sb, (SELECT sum(n)*(sum(n)-1)/2 FROM n) AS c)
 SELECT round((c+2*b2-sa-sb)/c, 8) AS rand, round((b2-sa*sb/c)/((sa+sb)/2-sa*sb/c), 8) AS adjusted_rand FROM t""",
+    "progressive_transfer": f"WITH {_P} SELECT slice, least(100, (slice+1)*300//30)::INTEGER AS progress, tid, [y, x, tid::DOUBLE] AS row FROM (SELECT *, floor((epoch(create_at)-epoch(TIMESTAMP '2024-01-01'))/259200)::BIGINT AS slice FROM p WHERE create_at >= TIMESTAMP '2024-01-01' AND create_at < TIMESTAMP '2024-01-31')",
+    "screen_pixels": f"WITH {_P} SELECT tid, floor(mx*256*4096)::BIGINT AS px, floor(my*256*4096)::BIGINT AS py FROM q",
+    "marker_radii": f"""WITH {_P}, c AS (SELECT floor(mx*128)::BIGINT AS i, floor(my*128)::BIGINT AS j, count(*) AS n, sqrt(pow(max(mx)-min(mx), 2)+pow(max(my)-min(my), 2)) AS d FROM q GROUP BY ALL),
+r AS (SELECT *, greatest(1.0::DOUBLE, CASE WHEN n > 1 THEN d*20/{m.radius(5)!r}::DOUBLE ELSE 5.0::DOUBLE END) AS r FROM c)
+SELECT i, j, n, round(r*0.7::DOUBLE + 1.23e-9, 6) AS fill, round(r*0.3::DOUBLE + 1.23e-9, 6) AS edge FROM r""",
     "array_rows": f"WITH {_P} SELECT tid AS key, [round(y, 6), round(x, 6), 1.0::DOUBLE] AS row FROM q",
 }

@@ -109,6 +109,21 @@ class Session:
                 out |= {"ok": False, "rows": 0, "message": str(e)}
             yield out | {"seconds": time.perf_counter() - began}
 
+    def replayed(self, actions: Iterable[dict]) -> DataFrame:
+        """(step, zoom, rows, seconds) of recorded moves of a map, each the arguments of a query, asked in turn; a bad one raises.
+
+        A recording is short; its timings can be written as CSV. seconds is null and rows -1 where nothing was asked (no bbox).
+        """
+        out = []
+        for step, action in enumerate(actions):
+            if not action.get("bbox"):
+                out.append((step, action.get("zoom"), -1, None))
+                continue
+            began = time.perf_counter()
+            rows = self.query(**action).count()
+            out.append((step, action["zoom"], rows, time.perf_counter() - began))
+        return self.table.sparkSession.createDataFrame(out, "step int, zoom int, rows long, seconds double")
+
 
 def _with_centroids(state: DataFrame) -> DataFrame:
     return state.withColumns({"mx": F.col("sx") / F.col("n"), "my": F.col("sy") / F.col("n")})

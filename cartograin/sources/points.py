@@ -68,6 +68,20 @@ def slices(start: datetime, end: datetime, days: int):
         at, k = to, k + 1
 
 
+def transferred(points: DataFrame, start: datetime, end: datetime, days: int, keyword: str | None = None) -> DataFrame:
+    """(slice, progress, tid, row) of points from start to before end whose text matches; row is [lat, lng, tid].
+
+    One scan for all slices: write it by slice, or filter a slice, to send them one after another. progress is per cent of
+    the whole span after the slice. Points without a time or a place are left out.
+    """
+    span = [(k, progress) for k, _, _, progress in slices(start, end, days)]
+    at = slice_number(F.col("create_at"), start, days)
+    progress = F.element_at(F.create_map(*[F.lit(int(v)) for pair in span for v in pair]), F.col("slice").cast("int")) if span else F.lit(100)
+    found = points.filter((F.col("create_at") >= F.lit(start)) & (F.col("create_at") < F.lit(end)) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = found.filter(match(F.col("text"), keyword)).withColumn("slice", at)
+    return found.select("slice", progress.alias("progress"), "tid", F.array(F.col("y"), F.col("x"), F.col("tid").cast("double")).alias("row"))
+
+
 def slice_number(create_at, start: datetime, days: int):
     """The slice of a time as a column; slices are half open."""
     return F.floor(F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), create_at.cast("timestamp_ntz")) / (86400 * days)).cast("long")

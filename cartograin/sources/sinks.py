@@ -29,6 +29,12 @@ def arrays(clusters: DataFrame) -> DataFrame:
     return clusters.select("key", F.array(F.col("lat"), F.col("lng"), F.col("n").cast("double")).alias("row"))
 
 
+def point_features(points: DataFrame) -> DataFrame:
+    """(tid, feature): a GeoJSON feature for each raw point (tid, x, y), the lines of a feature collection."""
+    geometry = F.struct(F.array("x", "y").alias("coordinates"), F.lit("Point").alias("type"))
+    return points.select("tid", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("tid").alias("id")).alias("properties"), geometry.alias("geometry"))).alias("feature"))
+
+
 def records(clusters: DataFrame) -> DataFrame:
     """(n_records, bytes): packed records, a chunk for each batch of each partition; a frame is a header and all chunks."""
 

@@ -430,3 +430,38 @@ def test_english_queries(spark):
     of = lambda q: sorted(r.id for r in docs.filter(match(F.col("text"), q, english=True)).collect())
     assert of("the | cat") == [1] and of("!the") == [] and of("cat & !the") == [1] and of("(the | of) & cat") == [1] and of("the & of") == []
     assert of("cat & runs") == [1] and of("the & runner") == [2] and of("cat <-> running") == [1]
+
+
+def test_marker_radius_and_pixels(spark):
+    rows = [(7, None), (7, -1.0), (3, None), (30, None), (None, None), (7, 0.0), (7, m.radius(5) * 2)]
+    df = spark.createDataFrame(rows, "level int, diameter double")
+    got = [tuple(r[0]) for r in df.select(m.marker_radius(F.col("level"), F.col("diameter"), 5, shift=1)).collect()]
+    want = [5, 5, 80, 10, 10, 1, 40]
+    assert got == [pytest.approx((0.7 * w, 0.3 * w)) for w in want]
+    at = spark.createDataFrame([(0.0, 0.0), (180.0, -90.0)], "lng double, lat double").select(m.pixel_x(F.col("lng"), 3), m.pixel_y(F.col("lat"), 3)).collect()
+    assert [tuple(r) for r in at] == [(1024.0, 1024.0), (2048.0, 2048.0)]
+
+
+def test_points_are_sent_by_slices(spark):
+    day = lambda d: datetime(2024, 1, d)
+    rows = [(1, day(1), "a b", 10.0, 20.0), (2, day(4), "a", 11.0, 21.0), (3, day(7), "a", 0.0, 0.0), (4, day(2), "b", 1.0, 1.0), (5, day(2), "a", None, 1.0), (6, None, "a", 1.0, 1.0), (7, day(3), None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "tid long, create_at timestamp, text string, x double, y double")
+    got = sorted(tuple(r) for r in sources.transferred(df, day(1), day(7), 3, "a").collect())
+    assert got == [(0, 50, 1, [20.0, 10.0, 1.0]), (1, 100, 2, [21.0, 11.0, 2.0])]
+    assert sources.transferred(df.limit(0), day(1), day(7), 3).count() == 0
+    feature = json.loads(sinks.point_features(df.filter("tid = 1")).first().feature)
+    assert feature == {"type": "Feature", "properties": {"id": 1}, "geometry": {"type": "Point", "coordinates": [10.0, 20.0]}}
+
+
+def test_raster_histograms(spark):
+    rows = [(12, 0, 0, 1)] + [(11, 1, 1, 2500)] * 130 + [(11, 2, 2, 7)] * 3 + [(12, 3, 3, 4)] * 4 + [(5, 0, 0, 9)] * 2
+    df = spark.createDataFrame(rows, "level int, i long, j long, n long")
+    got = {tuple(r) for r in aggregation.raster_histograms(df, 12, 11).collect()}
+    assert got == {("inner", 100, 1), ("inner", 3, 1), ("leaf", 1, 1), ("leaf", 4, 1), ("level", 100, 1), ("level", 3, 1), ("level_points", 100, 1), ("level_points", 0, 1)}
+
+
+def test_replay(spark, points):
+    at = Session(points.selectExpr("tid", "timestamp'2024-01-01' as create_at", "'click' as text", "x", "y"))
+    move = {"keyword": None, "bbox": (-180, -90, 180, 90), "zoom": 3, "algorithm": "DataExplorer"}
+    got = at.replayed([move, {"zoom": 4}]).orderBy("step").collect()
+    assert [(r.step, r.zoom, r.rows, r.seconds is None) for r in got] == [(0, 3, points.count(), False), (1, 4, -1, True)]
