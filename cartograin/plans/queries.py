@@ -16,6 +16,8 @@ from ..streaming.progressive import by_slices
 from .shared import numbered, written
 
 BBOX = (-120.0, 26.0, -75.0, 28.5)
+#: A box across 180 degrees, and the whole world.
+ACROSS, WORLD = (100.0, 27.0, -100.0, 40.0), (-180.0, -90.0, 180.0, 90.0)
 KEYWORD = "click"
 START, DAYS = datetime(2024, 1, 1), 3
 _P = """p AS (SELECT event_id AS tid, ts AS create_at, event_type AS text,
@@ -61,6 +63,10 @@ def _time_scan(spark, sf_dir):
     return sources.scan(sources.from_events(spark, sf_dir), KEYWORD, "2024-01-05 00:00:00", "2024-01-12 00:00:00")
 
 
+def _only_time_scan(spark, sf_dir):
+    return sources.scan(sources.from_events(spark, sf_dir), None, "2024-01-05 00:00:00", "2024-01-12 00:00:00")
+
+
 def _limit_scan(spark, sf_dir):
     return sources.scan(sources.from_events(spark, sf_dir), limit=500)
 
@@ -105,6 +111,23 @@ def _visible(spark, sf_dir):
     return _rounded(visible.visible(level, BBOX, 4).select("key", "lng", "lat", "n"), "lng", "lat", digits=4)
 
 
+def _level4(spark, sf_dir) -> DataFrame:
+    return clustering.clusters_at(_points(spark, sf_dir), 4).withColumn("level", F.lit(4))
+
+
+def _visible_world(spark, sf_dir):
+    """The whole level, asked for at a zoom beyond the last one."""
+    return _rounded(visible.visible(_level4(spark, sf_dir), WORLD, 25, high=4).select("key", "lng", "lat", "n"), "lng", "lat", digits=4)
+
+
+def _visible_by_leader(spark, sf_dir):
+    return visible.visible(_level4(spark, sf_dir), BBOX, 4, by_leader=True).select("key", "n")
+
+
+def _node_ids(spark, sf_dir):
+    return clustering.with_ids(_level4(spark, sf_dir), 4).select("key", "id")
+
+
 def _tree(spark, sf_dir) -> DataFrame:
     return written(clustering.hierarchy(_points(spark, sf_dir)), "tree")
 
@@ -197,6 +220,10 @@ def _hulls(spark, sf_dir):
     return clustering.hulls(first.join(label, "seq"))
 
 
+def _bounds(spark, sf_dir):
+    return _off_ties(_hulls(spark, sf_dir).drop("hull"), "left", "top", "right", "bottom")
+
+
 def _progressive(spark, sf_dir):
     """Clusters at zoom 4 after the last of ten slices of three days."""
     state = None
@@ -209,6 +236,14 @@ def _raw(spark, sf_dir):
     return aggregation.raw(_points(spark, sf_dir), BBOX)
 
 
+def _raw_across(spark, sf_dir):
+    return aggregation.raw(_points(spark, sf_dir), ACROSS).select("seq", "tid")
+
+
+def _pixels_across(spark, sf_dir):
+    return aggregation.pixels(_points(spark, sf_dir), ACROSS, 480, 240).select("pi", "pj", "n", "seq")
+
+
 def _pixels(spark, sf_dir):
     return aggregation.pixels(_points(spark, sf_dir), BBOX, 480, 240).select("pi", "pj", "n", "seq")
 
@@ -279,6 +314,13 @@ def _icons(spark, sf_dir):
     return cells.groupBy(m.icon_size(F.col("n")).alias("icon")).agg(F.count("*").alias("cells"))
 
 
+def _colours(spark, sf_dir):
+    """The colours of the cells of level 7, by how many points they hold and the fullest holds."""
+    cells = written(aggregation.cell_counts(_points(spark, sf_dir), 7, 7), "cells")
+    most = cells.agg(F.max("n").alias("most"))
+    return cells.join(F.broadcast(most)).select("i", "j", m.colour(F.col("n"), F.col("most")).alias("colour"))
+
+
 def _stats(spark, sf_dir):
     return visible.result_stats(aggregation.cell_counts(_points(spark, sf_dir), 7, 7)).select("results", "points", "most", F.round("mean", 6).alias("mean"))
 
@@ -293,6 +335,13 @@ def _rand(spark, sf_dir):
     return found.select(F.round("rand", 8).alias("rand"), F.round("adjusted_rand", 8).alias("adjusted_rand"))
 
 
+def _unmatched(spark, sf_dir):
+    """Agreement of cells of level 5 for all points with those of level 6 for some, label 0 for the others."""
+    some = sources.scan(sources.from_events(spark, sf_dir), KEYWORD).select("tid")
+    found = agreement.rand_indexes(agreement.aligned(_cell_labels(spark, sf_dir, 5), _cell_labels(spark, sf_dir, 6).join(some, "tid"), unmatched=True))
+    return found.select(F.round("rand", 8).alias("rand"), F.round("adjusted_rand", 8).alias("adjusted_rand"))
+
+
 def _order_rand(spark, sf_dir):
     """Agreement at zooms 4 to 8 of the clustering in four orders, and of K-means with as many clusters, with the original order."""
     base, out = {}, None
@@ -333,6 +382,7 @@ QUERIES = {
     "clusters_z4": _clusters,
     "points_scan": _scan,
     "time_scan": _time_scan,
+    "only_time_scan": _only_time_scan,
     "limit_scan": _limit_scan,
     "progress_slices": _slices,
     "keyword_and": _documents("the & of"),
@@ -349,6 +399,9 @@ QUERIES = {
     "radius_neighbors": _neighbours,
     "incremental_exact_z4": _incremental,
     "visible_bbox": _visible,
+    "visible_world": _visible_world,
+    "visible_by_leader": _visible_by_leader,
+    "node_ids": _node_ids,
     "hierarchy": _hierarchy,
     "hierarchy_points": _levels,
     "cluster_labels": _labels,
@@ -365,8 +418,11 @@ QUERIES = {
     "slice_rand_index": _slice_rand,
     "marker_clusters": _markers,
     "cluster_hulls": _hulls,
+    "cluster_bounds": _bounds,
     "progressive_clusters": _progressive,
     "raw_explore": _raw,
+    "raw_across_180": _raw_across,
+    "pixels_across_180": _pixels_across,
     "pixel_aggregate": _pixels,
     "quadtree_counts": _cells,
     "quadtree_range": _quadtree,
@@ -382,8 +438,10 @@ QUERIES = {
     "heat_bins": _heat,
     "point_pick": _picked,
     "icon_class": _icons,
+    "cell_colours": _colours,
     "result_stats": _stats,
     "rand_index": _rand,
+    "rand_index_unmatched": _unmatched,
     "order_rand_index": _order_rand,
     "kmeans_labels": _kmeans,
     "geojson": _geojson,
@@ -398,6 +456,12 @@ it(step, ls) AS (SELECT 0, [{{'seq': seq, 'mx': mx, 'my': my}}] FROM k WHERE seq
 l AS (SELECT unnest(ls) AS l FROM it WHERE step = (SELECT max(step) FROM it)),
 c AS (SELECT min(l.seq) AS key, any_value(mx) AS mx, any_value(my) AS my FROM k, l WHERE sqrt(pow(l.mx-k.mx, 2)+pow(l.my-k.my, 2)) <= {_R4} GROUP BY k.seq)"""
 _CLUSTERS = f"WITH RECURSIVE {_GREEDY} SELECT key, round(avg(mx) + 1.23e-9, 6) AS mx, round(avg(my) + 1.23e-9, 6) AS my, count(*) AS n FROM c GROUP BY key"
+_MEANS = f"WITH RECURSIVE {_GREEDY}, d AS (SELECT key, avg(mx) AS mx, avg(my) AS my, count(*) AS n FROM c GROUP BY key)"
+(_WEST, _NORTH, _, _SOUTH), (_, _, _EAST, _) = m.boxes(ACROSS)
+_ACROSS = f"my > {_NORTH!r}::DOUBLE AND my < {_SOUTH!r}::DOUBLE AND ((mx > {_WEST!r}::DOUBLE AND mx < 1) OR (mx > 0 AND mx < {_EAST!r}::DOUBLE))"
+_AGREEMENT = """n AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b),
+t AS (SELECT (SELECT sum(n*(n-1)/2) FROM n) AS b2, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY a)) AS sa, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY b)) AS sb, (SELECT sum(n)*(sum(n)-1)/2 FROM n) AS c)
+SELECT round((c+2*b2-sa-sb)/c, 8) AS rand, round((b2-sa*sb/c)/((sa+sb)/2-sa*sb/c), 8) AS adjusted_rand FROM t"""
 _CELLS = f"""{_P}, g AS (SELECT level, floor(mx*pow(2, level))::BIGINT AS i, floor(my*pow(2, level))::BIGINT AS j, count(*) AS n, min(seq) AS first
   FROM q, unnest(range(0, 13)) AS t(level) WHERE mx >= 0 AND mx < 1 AND my >= 0 AND my < 1 GROUP BY ALL)"""
 
@@ -438,9 +502,18 @@ SELECT level::INTEGER AS level, i, j, n, round(CASE WHEN n = 1 THEN mx ELSE (i+0
     "point_pick": f"WITH {_P} SELECT seq, tid FROM (SELECT *, sqrt(pow(mx-0.22::DOUBLE, 2)+pow(my-0.42::DOUBLE, 2)) AS d FROM q) WHERE d <= 0.01 ORDER BY d, seq LIMIT 1",
     "icon_class": f"WITH {_CELLS} SELECT CASE WHEN n < 100 THEN 'small' WHEN n < 1000 THEN 'medium' ELSE 'large' END AS icon, count(*) AS cells FROM g WHERE level = 7 GROUP BY 1",
     "result_stats": f"WITH {_CELLS} SELECT count(*) AS results, sum(n)::BIGINT AS points, max(n) AS most, round(avg(n), 6) AS mean FROM g WHERE level = 7",
-    "rand_index": f"""WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, floor(mx*64)*64+floor(my*64) AS b FROM q), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b),
-t AS (SELECT (SELECT sum(n*(n-1)/2) FROM n) AS b2, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY a)) AS sa, (SELECT sum(s*(s-1)/2) FROM (SELECT sum(n) AS s FROM n GROUP BY b)) AS sb, (SELECT sum(n)*(sum(n)-1)/2 FROM n) AS c)
-SELECT round((c+2*b2-sa-sb)/c, 8) AS rand, round((b2-sa*sb/c)/((sa+sb)/2-sa*sb/c), 8) AS adjusted_rand FROM t""",
+    "rand_index": f"WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, floor(mx*64)*64+floor(my*64) AS b FROM q), {_AGREEMENT}",
+    "rand_index_unmatched": f"WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, CASE WHEN text = '{KEYWORD}' THEN floor(mx*64)*64+floor(my*64) ELSE 0 END AS b FROM q), {_AGREEMENT}",
+    "only_time_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE create_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
+    "visible_world": f"{_MEANS} SELECT key, round((mx-0.5)*360, 4) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90, 4) AS lat, n FROM d",
+    "visible_by_leader": f"{_MEANS} SELECT key, n FROM d JOIN k ON k.seq = d.key WHERE {_BOX.replace('mx', 'k.mx').replace('my', 'k.my')}",
+    "node_ids": f"{_MEANS} SELECT key, (row_number() OVER (ORDER BY key)-1)*32+5 AS id FROM d",
+    "marker_clusters": f"WITH RECURSIVE {_GREEDY.replace('<=', '<')}, e AS (SELECT k.seq, l.seq AS lead, sqrt(pow(l.mx-k.mx, 2)+pow(l.my-k.my, 2)) AS d FROM k, (SELECT unnest(l) FROM l) AS l WHERE l.seq <= k.seq AND d < {_R4}) SELECT leader, count(*) AS n FROM (SELECT first(lead ORDER BY d, lead) AS leader FROM e GROUP BY seq) GROUP BY leader",
+    "cluster_bounds": f"WITH RECURSIVE {_GREEDY} SELECT key AS label, round(min(mx) + 1.23e-9, 6) AS left, round(min(my) + 1.23e-9, 6) AS top, round(max(mx) + 1.23e-9, 6) AS right, round(max(my) + 1.23e-9, 6) AS bottom FROM c GROUP BY key",
+    "raw_across_180": f"WITH {_P} SELECT seq, tid FROM q WHERE {_ACROSS}",
+    "pixels_across_180": f"""WITH {_P}, w AS (SELECT *, CASE WHEN mx > {_WEST!r}::DOUBLE THEN mx-{_WEST!r}::DOUBLE ELSE mx + (1.0::DOUBLE-{_WEST!r}::DOUBLE) END AS along, 1.0::DOUBLE-{_WEST!r}::DOUBLE+{_EAST!r}::DOUBLE AS width FROM q WHERE {_ACROSS})
+SELECT floor(along/(width/480))::BIGINT AS pi, floor((my-{_NORTH!r}::DOUBLE)/(({_SOUTH!r}::DOUBLE-{_NORTH!r}::DOUBLE)/240))::BIGINT AS pj, count(*) AS n, min(seq) AS seq FROM w GROUP BY 1, 2""",
+    "cell_colours": f"WITH {_CELLS}, h AS (SELECT i, j, ln(n)/ln(max(n) OVER ()) AS v FROM g WHERE level = 7) SELECT i, j, printf('hsl(%.0f,%.0f%%,50%%)', 100-100*v, 60+30*v) AS colour FROM h",
     "progressive_transfer": f"WITH {_P} SELECT slice, least(100, (slice+1)*300//30)::INTEGER AS progress, tid, [y, x, tid::DOUBLE] AS row FROM (SELECT *, floor((epoch(create_at)-epoch(TIMESTAMP '2024-01-01'))/259200)::BIGINT AS slice FROM p WHERE create_at >= TIMESTAMP '2024-01-01' AND create_at < TIMESTAMP '2024-01-31')",
     "screen_pixels": f"WITH {_P} SELECT tid, floor(mx*256*4096)::BIGINT AS px, floor(my*256*4096)::BIGINT AS py FROM q",
     "marker_radii": f"""WITH {_P}, c AS (SELECT floor(mx*128)::BIGINT AS i, floor(my*128)::BIGINT AS j, count(*) AS n, sqrt(pow(max(mx)-min(mx), 2)+pow(max(my)-min(my), 2)) AS d FROM q GROUP BY ALL),
