@@ -78,7 +78,7 @@ def _slices(spark, sf_dir):
 
 
 def _project(spark, sf_dir):
-    return _rounded(sources.projected(sources.from_events(spark, sf_dir)).select("tid", "mx", "my"), "mx", "my")
+    return _rounded(sources.projected(sources.from_events(spark, sf_dir)).select("tid", "mx", "my"), "mx", "my", digits=9)
 
 
 def _roundtrip(spark, sf_dir):
@@ -483,7 +483,7 @@ ORACLE_SQL = {
     "keyword_or_not": _documents_sql("(list_contains(w, 'der') OR list_contains(w, 'les')) AND NOT list_contains(w, 'und')"),
     "keyword_prefix": _documents_sql("len(list_filter(w, lambda t: starts_with(t, 'tion'))) > 0"),
     "keyword_phrase": _documents_sql("contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')"),
-    "mercator_project": f"WITH {_P} SELECT tid, round(mx, 6) AS mx, round(my, 6) AS my FROM q",
+    "mercator_project": f"WITH {_P} SELECT tid, round(mx, 9) AS mx, round(my, 9) AS my FROM q",
     "mercator_roundtrip": f"WITH {_P} SELECT tid, round(x, 6) AS x, round(y, 6) AS y FROM p",
     "order_original": _order_sql("tid"),
     "order_reverse": _order_sql("tid DESC"),
