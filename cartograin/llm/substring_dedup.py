@@ -3,9 +3,9 @@
 The first level is half the window of removal. Of the half windows in each window the one with the smallest hash stands for
 it (equal windows choose equal ones), so about a sixth of them need to be looked up, and no repeated window is missed. The
 next level is that window: only windows whose half window is repeated are hashed and looked up, each with its place, and
-what also starts earlier is removed. From there on the doubling goes on with windows that stand for others in the same way:
-a window of twice the length stays a candidate if all windows of the length in it did, and so on until none survives; this
-gives the longest level at which a text repeats. Look-ups deal hashes over ranges of the hash; before that each task keeps
+what also starts earlier is removed. longest_repeats() doubles on from there with windows that stand for others in the same
+way: a window of twice the length stays a candidate if all windows of the length in it did, and so on until none survives;
+this gives the longest level at which a text repeats. Look-ups deal hashes over ranges of the hash; before that each task keeps
 one posting of what it holds several times, so a passage that a third of all documents share gives each range a few only.
 
 A row's key is a hash of its id and text. Rows of one id, or without an id, take nothing from each other, for none is
@@ -345,26 +345,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, longest_repeat) of each row.
+    """(doc_id, n_words, n_removed, kept_sha256) of each row.
 
     A word goes if a run of window words that covers it also starts earlier: in a row with a smaller id, or earlier in the
-    same text. Texts that are null, empty or shorter than the window lose nothing. Rows without an id come after all others
-    and, like rows of one id with different texts, take nothing from each other; rows of equal id and text have equal
-    results. longest_repeat is the longest level (window / 2, window, 2 window, ...) at which a run of so many words was
-    found to stand elsewhere too: a run of twice the level is always found at it; a text that stands twice has n_words, one
-    without such a run 0. Other columns are ignored. An empty table gives an empty table.
+    same text. The doubling ends at window: there the place of each candidate is known, and none is left to extend. Texts
+    that are null, empty or shorter than the window lose nothing. Rows without an id come after all others and, like rows
+    of one id with different texts, take nothing from each other; rows of equal id and text have equal results. Other
+    columns are ignored. An empty table gives an empty table.
     """
-    alone, candidates, pieces, ranges = _search(_keyed(docs, id_col, text_col), window)
-    found = alone.join(_applied(candidates, pieces, False), "key", "left").join(_longest(candidates, window, ranges), "key", "left")
+    alone, candidates, pieces, _ = _search(_keyed(docs, id_col, text_col), window)
+    found = alone.join(_applied(candidates, pieces, False), "key", "left")
     return found.select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("longest", F.lit(0))).cast("long").alias("longest_repeat"),
     )
 
 
+def longest_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, longest_repeat) of each row, by doubling until no candidate survives.
+
+    longest_repeat is a level (window / 2, window, 2 window, ...) at which a run of so many words of the text stands elsewhere
+    too, in another row or again in the text. It is the greatest such level or half of it: a run of twice a level is always
+    found at the level. A text that stands twice (with window words or more) has its number of words, one without a run 0.
+    Nulls, repeats and empty tables as repeated_words() says.
+    """
+    alone, candidates, _, ranges = _search(_keyed(docs, id_col, text_col), window)
+    found = alone.join(_longest(candidates, window, ranges), "key", "left")
+    longest = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("longest", F.lit(0))).cast("long")
+    return found.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), longest.alias("longest_repeat"))
+
+
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, each text without what repeated_words() removes and the space behind each such word; all rows and columns stay."""
     alone, candidates, pieces, _ = _search(_keyed(docs, id_col, text_col), window)
