@@ -3,7 +3,7 @@
 Each record is a gzip member of its own, so a damaged one takes no other with it. Tasks write WARC/1.1 archives of bounded
 size straight to the store (through pyarrow's file systems) and return a row for each; that table of archives is committed
 by Spark, and what a lost or repeated attempt left behind is not in it. The reader takes each archive (plain, or gzip
-members) and checks every record: version line, header, length, the end mark and the block's digest. After a failed check
+members) and checks every record: version line, header and the numbers in it, length, the end mark and the block's digest. After a failed check
 it searches for the next valid gzip member or version line, goes on from there and reports the bytes between as a
 quarantined gap; a version line inside a page is passed over, for the record that it would begin fails its checks.
 """
@@ -27,6 +27,7 @@ from .common import shared_dir, table, written
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _MEMBER, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 _NO_ID = -(1 << 63)
+_DIGITS, _PAGE = re.compile(r"[0-9]{1,18}"), re.compile(r"<urn:page:(-?[0-9]{1,20})>")
 #: Bytes of records that a reading task hands on at a time.
 FLUSH = 8 << 20
 
@@ -49,6 +50,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
     return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n"
 
 
+def _number(value: str) -> int:
+    """A count of bytes in a header; anything but up to 18 digits raises ValueError."""
+    if not _DIGITS.fullmatch(value):
+        raise ValueError(value)
+    return int(value)
+
+
+def _page_id(value: str | None) -> int | None:
+    """The page's id in a record's name; None for other names. An id beyond 64 bits raises ValueError."""
+    if not (found := _PAGE.fullmatch(value or "")):
+        return None
+    if not -(1 << 63) <= (page_id := int(found[1])) < 1 << 63:
+        raise ValueError(value)
+    return page_id
+
+
 def _parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """The end, header and block of the record at a place, or why there is none."""
     if not data.startswith(_VERSION, at):
@@ -59,7 +76,10 @@ def _parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
         lines = data[at:end].decode().split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
         start = end + 4
-        stop = start + int(head["content-length"])
+        stop = start + _number(head["content-length"])
+        _number(head.get("x-payload-length", "0"))
+        for name in ("warc-record-id", "warc-refers-to"):
+            _page_id(head.get(name))
     except (ValueError, KeyError):
         return "bad header"
     if not ("warc-type" in head and "warc-record-id" in head):
@@ -196,13 +216,9 @@ def read_warc(spark, path: str, with_payload: bool = False, names_like: str = "*
     names. An empty archive, or a folder without archives, gives no rows. Each archive is read whole by one task, so it
     must be under 2 GB.
     """
-    number = re.compile(r"<urn:page:(-?\d+)>")
     names = ["file", "offset", "length", "kind", "reason", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
-    def id_of(value):
-        return int(m[1]) if (m := number.fullmatch(value or "")) else None
-
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(10 + with_payload)], names[: 10 + with_payload])
 
@@ -217,8 +233,8 @@ def read_warc(spark, path: str, with_payload: bool = False, names_like: str = "*
                     head, block = rest
                     revisit = head.get("warc-type") == "revisit"
                     body = block.partition(_END)[2]
-                    n, d = (int(head.get("x-payload-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha1:")) if revisit else (len(body), digest(body))
-                    rows.append((name, offset, length, kind, None, id_of(head.get("warc-record-id")), head.get("warc-type"), n, d, id_of(head.get("warc-refers-to")), None if revisit or not with_payload else body))
+                    n, d = (_number(head.get("x-payload-length", "0")), head.get("warc-payload-digest", "").removeprefix("sha1:")) if revisit else (len(body), digest(body))
+                    rows.append((name, offset, length, kind, None, _page_id(head.get("warc-record-id")), head.get("warc-type"), n, d, _page_id(head.get("warc-refers-to")), None if revisit or not with_payload else body))
                     held += len(rows[-1][-1] or b"") + 256
                     if held >= FLUSH:
                         yield batch(rows)
@@ -243,6 +259,8 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     found = read_warc(spark, path).withColumn("name", F.element_at(F.split("file", "/"), -1))
     found = found.join(archives.select(F.col("file").alias("name")), "name", "left_semi")
     found = quarantined(written(found, "warc-found"), f"{path}-quarantine")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # read back and written as a table: the archives are not needed any more
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
