@@ -1,11 +1,13 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Base spans are emails, IP addresses, card and phone numbers; their values are the protected entities. How strongly a term
-reveals an entity is estimated from the corpus: pmi(t, e) = log2(p N / n(t)) is the information that the term gives about
-the entity, of IC(e) = log2(N / n(e)) in all, where n(e) counts the texts that mention the entity, n(t) those with the
-term, and N all, each over distinct texts. p is the share of the entity's texts that have the term on a mention's line, or rather the lower bound of
-Wilson's interval of one standard error for it: most entities have one text, where p is 1/2. A term on the line of an
-entity's mention is generalised if pmi / IC reaches one threshold and removed if it reaches a higher one. Terms are runs of letters, compared by a 64-bit hash of their bytes (A-Z as a-z).
+reveals an entity is estimated from the corpus, over distinct texts: N in all, n(e) that mention the entity, n(t) with the
+term, n(e, t) with the term on a mention's line. IC(e) = log2(N / n(e)) bits make out the entity. pmi(t, e) of them the term
+gives, so left = IC - pmi = -log2 p(e | t) bits keep it apart from the others; p is not n(e, t) / n(t) but the lower bound of
+Wilson's interval of one standard error for it, since most terms are rare. A term on the line of an entity's mention is
+generalised if at most so many bits are left, and removed if still fewer are, provided that it gives a quarter of the bits at least
+(which only matters for entities of very many texts). So verdicts hang on counts of the term and the entity, not on the size
+of the corpus. Terms are runs of letters, compared by a 64-bit hash of their bytes (A-Z as a-z).
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import chunks, fresh, mix, ranges_for, table, word_hashes, written
 KINDS = ("email", "ip", "card", "phone")
 #: Letters that a term has at least.
 LETTERS = 3
+#: Share of an entity's information that a term gives at least.
+GIVEN = 0.25
 #: Distinct (term, count) pairs that a task gathers before it hands them on.
 FLUSH = 1 << 20
 #: Bits of the map of texts that have copies, and of a block of it.
@@ -212,22 +216,22 @@ def _spans(docs: DataFrame, general: float, removed: float, support: int) -> tup
     texts = written(found.groupBy("text_key").agg(F.count("*").alias("rows")), "pii-texts")
     held = _held(docs, texts.filter("rows > 1").select("text_key"), both.select("t").distinct(), ranges_for(spark, TERMS * docs.count()))
     n = float(texts.count())
-    p, m = F.col("n_et") / F.col("n_e"), F.col("n_e").cast("double")
+    p, m = F.col("n_et") / F.col("held"), F.col("held").cast("double")
     low = (p + 1 / (2 * m) - F.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
-    told = F.log2(low * F.lit(n) / F.col("held"))
-    share = told / F.log2(F.lit(n) / F.col("n_e"))
-    telling = both.join(held.filter("held > 0"), "t").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= general)
-    telling = telling.select("e", "t", F.when(F.col("share") >= removed, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"))
+    of = F.log2(F.lit(n) / F.col("n_e"))
+    telling = both.join(held.filter("held > 0"), "t").withColumn("left", -F.log2(low)).filter((F.col("left") <= general) & (of - F.col("left") >= GIVEN * of) & (of > 0))
+    telling = telling.select("e", "t", F.when(F.col("left") <= removed, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"))
     added = near.join(telling, ["e", "t"]).groupBy("text_key", "s", "z").agg(F.max("kind").alias("kind"))
     added = added.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "z"))).alias("x"))
     return found, added.select(F.col("text_key").alias("key_"), F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["z"].cast("string"))), ",").alias("added"))
 
 
-def personal_data(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, general: float = 4.0, removed: float = 2.0, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; spans has base spans, then added ones.
 
-    general and removed are the shares of an entity's information from which a term is generalised or removed, support the
-    distinct texts that must hold both. Null texts are empty. Ids are not looked at; rows with equal texts have equal
+    general and removed are the bits left of an entity's information up to which a term is generalised or removed (2 bits: a
+    term of one text, or one most of whose texts mention the entity; 4 bits: one of up to six texts), support the distinct
+    texts that must hold both. Null texts are empty. Ids are not looked at; rows with equal texts have equal
     spans. Other columns are ignored. An empty table gives an empty table. Texts are searched whole.
     """
     found, added = _spans(_plain(docs, id_col, text_col), general, removed, support)
@@ -241,16 +245,17 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def redact(text: str, spans: str) -> str:
-    """The text with base spans as <KIND>, generalised terms as <TERM> and removed ones gone; of overlapping spans the first stays."""
+    """The text with base spans as <KIND>, generalised terms as <NAME> (with a capital) or <TERM>, removed ones gone; of overlapping spans the first stays."""
+    general = lambda s: "<NAME>" if text[s].isupper() else "<TERM>"
     out, at = [], 0
     for k, s, e in sorted(((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(","))), key=lambda x: (x[1], -x[2])):
         if e > at:
-            out += [text[at : max(s, at)], "" if k == "removed" else "<TERM>" if k == "generalised" else f"<{k.upper()}>"] if s >= at else []
+            out += [text[at : max(s, at)], "" if k == "removed" else general(s) if k == "generalised" else f"<{k.upper()}>"] if s >= at else []
             at = e
     return "".join(out) + text[at:]
 
 
-def sanitised(docs: DataFrame, general: float = 0.6, removed: float = 0.9, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, general: float = 4.0, removed: float = 2.0, support: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data replaced in the texts; all rows and columns stay, null texts stay null."""
     found, added = _spans(_plain(docs, id_col, text_col), general, removed, support)
     joined = found.join(added, found.text_key == added.key_, "left").filter("base <> '' or added is not null")
