@@ -82,6 +82,10 @@ def stem(word: str) -> str:
     return word[:-1] if _measure(word) > 1 and _double(word) and word.endswith("l") else word
 
 
+#: Stands for a stop word; no word, stem or prefix is equal to it.
+GAP = "\x01"
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _stems(words: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
@@ -91,9 +95,9 @@ def _stems(words: pd.Series) -> pd.Series:
             known[w] = stem(w)
         return known[w]
 
-    return words.map(lambda ws: [of(w) for w in ws if w not in STOP])
+    return words.map(lambda ws: [GAP if w in STOP else of(w) for w in ws])
 
 
 def stems(words: Column) -> Column:
-    """Stems of an array of lower-case words without stop words."""
+    """Stems of an array of lower-case words; GAP in the place of each stop word, so that distances stay."""
     return _stems(words)

@@ -31,16 +31,16 @@ def _has(words: Column, term: str) -> Column:
 
 
 def _phrase(words: Column, terms: list[str]) -> Column:
-    """Whether the terms stand next to each other: a pattern over the words joined by one space (words hold letters and digits)."""
-    parts = ["\\Q" + w.replace("\\E", "") + "\\E" + "[^ ]*" * prefix for w, prefix in map(_term, terms)]
+    """Whether the terms stand next to each other (any word for a stop word): a pattern over the words joined by one space (words hold letters and digits)."""
+    parts = ["[^ ]+" if w == _ANY else "\\Q" + w.replace("\\E", "") + "\\E" + "[^ ]*" * prefix for w, prefix in map(_term, terms)]
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).rlike(" " + " ".join(parts) + " ")
 
 
 def match(text: Column, query: str | None, english: bool = False) -> Column:
     """Whether the text satisfies the query; a null query or "%" is satisfied by every text, a malformed one by none.
 
-    english compares stems and passes over stop words: an operand that is one is dropped with its operator, and a query of
-    stop words alone is satisfied by none.
+    english compares stems and passes over stop words: an operand that is one is dropped with its operator, within a phrase
+    it stands for any word in its place, and a query of stop words alone is satisfied by none.
     """
     if query is None or query.strip() == "%":
         return F.lit(True)
@@ -94,7 +94,10 @@ def match(text: Column, query: str | None, english: bool = False) -> Column:
             if peek() is None or peek() in ("&", "|", "!", "(", ")", "<->"):
                 raise ValueError(query)
             terms.append(take())
-        terms = [t for t in terms if t != _ANY]
+        while terms and terms[0] == _ANY:
+            del terms[0]
+        while terms and terms[-1] == _ANY:
+            del terms[-1]
         if not terms:
             return None
         return _has(words, terms[0]) if len(terms) == 1 else _phrase(words, terms)

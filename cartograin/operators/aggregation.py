@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,26 +95,44 @@ def quadtree(points: DataFrame, bbox, terminal: int, cut: int) -> DataFrame:
 
 #: Pixels of a cell's raster on a side (with a margin of two on either side), and the disc's radius in pixels.
 RASTER, DISC = 5, 1.0
+#: Points of whole cells that a task draws at a time.
+GATHER = 1 << 15
 
 
-def _drawn(canvas: np.ndarray, u: float, v: float) -> bool:
-    """Blends a blue anti-aliased disc at (u, v) in [0, 1) of the inner pixel into the canvas; whether a pixel changed."""
+def _drawn(canvases: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Blends a blue anti-aliased disc at (u, v) in [0, 1) of each canvas's inner pixel into it; which canvases changed."""
     at = np.arange(RASTER) + 0.5
     margin = RASTER // 2
-    d = np.hypot(at[None, :] - (margin + u), at[:, None] - (margin + v))
+    d = np.hypot(at[None, None, :] - (margin + u)[:, None, None], at[None, :, None] - (margin + v)[:, None, None])
     t = np.clip((d - (DISC - 0.5)) / 1.0, 0.0, 1.0)
     alpha = (1.0 - t * t * (3.0 - 2.0 * t))[..., None]
-    new = (canvas * (1.0 - alpha) + np.array([0.0, 0.0, 255.0]) * alpha).astype(np.uint8)
-    changed = bool((new != canvas).any())
-    canvas[:] = new
+    new = (canvases * (1.0 - alpha) + np.array([0.0, 0.0, 255.0]) * alpha).astype(np.uint8)
+    changed = (new != canvases).any(axis=(1, 2, 3))
+    canvases[:] = new
     return changed
 
 
+def _folded(cell: np.ndarray, u: np.ndarray, v: np.ndarray, draw) -> np.ndarray:
+    """Which points, in order within each run of equal cell, change their cell's raster: the k-th points of all cells are drawn at once."""
+    starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+    sizes = np.diff(np.append(starts, len(cell)))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    canvases = np.full((len(starts), RASTER, RASTER, 3), 255, np.uint8)
+    keep, left = np.zeros(len(cell), bool), len(starts)
+    for k in range(int(sizes[0]) if len(sizes) else 0):
+        while sizes[left - 1] <= k:
+            left -= 1
+        row = starts[:left] + k
+        keep[row] = draw(canvases[:left], u[row], v[row])
+    return keep
+
+
 def raster_samples(points: DataFrame, max_level: int, drawn_from: int = 3, draw=_drawn, part: int = 5000, bbox=None, cut: int | None = None) -> DataFrame:
     """(level, i, j, n, seq, mx, my): the samples of each quadtree cell: points whose drawing changes its raster, by seq.
 
     Cells exist while their parent has two points or more; levels below drawn_from keep the first point; the terminal level
-    keeps all. draw(canvas, u, v) is the renderer: it returns whether the canvas changed. It must only ever bring pixels
+    keeps all. draw(canvases, u, v) is the renderer: it draws a point on each canvas and returns which ones changed. It must only ever bring pixels
     nearer to a last value, so that what changes nothing on a canvas changes nothing on one with more drawn: then a hot
     cell is first thinned in parts of about so many points, and what the parts keep (bounded by the pixels' values) is
     drawn in order. With bbox (unit square) only cells that touch it, and with cut only levels down to it, are drawn.
@@ -134,19 +154,35 @@ def raster_samples(points: DataFrame, max_level: int, drawn_from: int = 3, draw=
     names = ["level", "i", "j", "n", "seq", "mx", "my"]
 
     def fold(batches):
-        at, canvas = None, None
-        for pdf in batches:
-            keep = []
-            for level, i, j, x, y, part in zip(pdf["level"], pdf["i"], pdf["j"], pdf["mx"], pdf["my"], pdf["part"]):
-                if at != (level, i, j, part):
-                    at, canvas = (level, i, j, part), np.full((RASTER, RASTER, 3), 255, np.uint8)
-                scale = 2.0**level
-                keep.append(draw(canvas, x * scale - i, y * scale - j))
-            yield pdf[keep]
+        def kept(rows: pa.Table) -> pa.Table:
+            level, i, j, x, y, own = (rows.column(c).to_numpy() for c in ("level", "i", "j", "mx", "my", "part"))
+            new = np.zeros(len(level), bool)
+            for c in (level, i, j, own):
+                new[1:] |= c[1:] != c[:-1]
+            scale = 2.0**level
+            return rows.filter(pa.array(_folded(np.cumsum(new), x * scale - i, y * scale - j, draw)))
+
+        held, count = [], 0
+        for b in chain(batches, (None,)):
+            if b is not None:
+                held.append(b)
+                count += b.num_rows
+                if count < GATHER:
+                    continue
+            if not count:
+                continue
+            rows = pa.Table.from_batches(held)
+            ends = np.zeros(len(rows), bool)
+            for c in ("level", "i", "j", "part"):
+                own = rows.column(c).to_numpy()
+                ends |= own != own[-1]
+            cut = len(rows) if b is None else int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0  # the last cell may go on
+            yield from kept(rows.slice(0, cut)).to_batches()
+            held, count = rows.slice(cut).to_batches(), len(rows) - cut
 
     def drawn(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("level", "i", "j", "part").sortWithinPartitions("level", "i", "j", "part", "seq")
-        return dealt.mapInPandas(fold, "level int, i long, j long, n long, seq long, mx double, my double, part int")
+        return dealt.mapInArrow(fold, "level int, i long, j long, n long, seq long, mx double, my double, part int")
 
     many = many.select(*names, F.lit(0).alias("part"))
     hot = many.filter(F.col("n") > part).withColumn("part", F.expr(f"cast(pmod(xxhash64(seq), ceil(n / {part})) as int)"))

@@ -12,61 +12,26 @@ each from the clusters above, so a level sees few points in a radius. Coinciding
 
 from __future__ import annotations
 
-from functools import reduce
-from math import floor
+from collections.abc import Callable
+from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mercator import MAX_ZOOM, MIN_ZOOM, node_id, radius
-from ..plans.shared import numbered, shuffle_parts, written
+from ..plans.shared import numbered, place, removed, shuffle_parts, written
+from .greedy import decided
 from .radius_join import apart, near
 
 #: Side of a tile (over twice the margin) and width of its margin in radii, and points of a tile that are taken at a time.
-TILE, HALO, HOT = 32, 4, 20_000
-#: Open points of a cell that are told apart; of more, only the earliest counts, for the whole cell.
-APART = 64
-
-
-class _Tile:
-    """Leaders and open points of a tile by cells of the radius, and the rule for the next point in order."""
-
-    def __init__(self, i: int, j: int, r: float, strict: bool, side: float, edge: float):
-        self.r, self.strict, self.leads, self.open = r, strict, {}, {}
-        self.low, self.high = (i * side - edge, j * side - edge), ((i + 1) * side + edge, (j + 1) * side + edge)
-
-    def lead(self, key: int, x: float, y: float) -> None:
-        self.leads.setdefault((floor(x / self.r), floor(y / self.r)), []).append((key, x, y))
-
-    def _first(self, cells: dict, x: float, y: float, crowded: bool) -> int | None:
-        """The earliest key within the radius; crowded: a cell with very many counts as a whole."""
-        i, j, found = floor(x / self.r), floor(y / self.r), None
-        for a in (i - 1, i, i + 1):
-            for b in (j - 1, j, j + 1):
-                for k, px, py in (at := cells.get((a, b), ())):
-                    if found is not None and k >= found:
-                        continue
-                    d = ((x - px) ** 2 + (y - py) ** 2) ** 0.5
-                    if d < self.r or d == self.r and not self.strict or crowded and len(at) >= APART:
-                        found = k
-        return found
-
-    def leader(self, key: int, x: float, y: float) -> int | None:
-        """The point's leader (itself if it leads), or None if that can't be told here."""
-        lead = self._first(self.leads, x, y, False)
-        before = self._first(self.open, x, y, True) if self.open else None
-        if lead is not None:
-            return lead if before is None or lead < before else None
-        if before is None and self.low[0] < x < self.high[0] and self.low[1] < y < self.high[1]:
-            self.lead(key, x, y)
-            return key
-        at = self.open.setdefault((floor(x / self.r), floor(y / self.r)), [])
-        if len(at) < APART:
-            at.append((key, x, y))
-        return None
+TILE, HALO, HOT = 32, 4, 1 << 17
+#: Points of whole tiles that a task takes at a time.
+GATHER = 1 << 15
 
 
 def _tile(v: Column, r: float, by: float = 0.0) -> Column:
@@ -81,53 +46,154 @@ def _dealt(points: DataFrame, r: float) -> DataFrame:
     return dealt.withColumn("own", (F.col("ti") == _tile(x, r)) & (F.col("tj") == _tile(y, r)))
 
 
-def _decided(dealt: DataFrame, r: float, strict: bool) -> DataFrame:
-    """The rows of points in their own tiles with leader, null where it is open. dealt: _dealt() rows with key and lead (whether a known leader)."""
-    names = [c for c in dealt.columns if c not in ("ti", "tj", "own", "lead")]
+def _whole(batches, columns: tuple[str, ...]):
+    """Tables of about GATHER rows that hold all rows of each tile (ti, tj), by which rows are sorted."""
+    held, count, wanted = [], 0, GATHER
+    for b in chain(batches, (None,)):
+        if b is not None:
+            held.append(b)
+            count += b.num_rows
+            if count < wanted:
+                continue
+        if not count:
+            continue
+        rows = pa.Table.from_batches(held)
+        ti, tj = rows.column("ti").to_numpy(), rows.column("tj").to_numpy()
+        others = np.flatnonzero((ti != ti[-1]) | (tj != tj[-1]))
+        cut = len(ti) if b is None else int(others[-1]) + 1 if len(others) else 0  # the last tile may go on
+        if cut:
+            tile = np.cumsum((np.diff(ti[:cut], prepend=ti[:1]) != 0) | (np.diff(tj[:cut], prepend=tj[:1]) != 0))
+            yield rows.slice(0, cut), tile, *(rows.column(c).to_numpy()[:cut] for c in columns)
+        held, count = rows.slice(cut).to_batches(), len(ti) - cut
+        wanted = max(GATHER, 2 * count)
+
+
+def _ruled(tile, ti, tj, key, x, y, lead, r: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """decided() for points in tiles (ti, tj) of TILE radii, of which all within the margin are here."""
     side, edge = TILE * r, (HALO - 1.001) * r
+    dx, dy = x - ti * side, y - tj * side
+    i, j = (np.floor((v + HALO * r) * (2 / r)).astype(np.int64) + 4 for v in (dx, dy))
+    sure = (dx > -edge) & (dx < side + edge) & (dy > -edge) & (dy < side + edge)
+    return decided(tile, i, j, key, x, y, lead, sure, r, strict)
+
+
+def _decided(dealt: DataFrame, r: float, strict: bool, left: Accumulator) -> DataFrame:
+    """The rows of points in their own tiles with leader and its place (px, py), null where it is open, which left counts.
+
+    dealt: _dealt() rows with key and lead (whether a known leader)."""
+    names = [c for c in dealt.columns if c not in ("ti", "tj", "own", "lead")]
 
     def follow(batches):
-        at, tile = None, None
-        for b in batches:
-            leaders, own = np.zeros(b.num_rows, np.int64), []
-            known = np.ones(b.num_rows, bool)
-            for k, (i, j, lead, key, x, y, mine) in enumerate(zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("ti", "tj", "lead", "key", "mx", "my", "own")))):
-                if at != (i, j):
-                    at, tile = (i, j), _Tile(i, j, r, strict, side, edge)
-                if lead:
-                    tile.lead(key, x, y)
-                    continue
-                found = tile.leader(key, x, y)
-                if mine:
-                    own.append(k)
-                    known[k], leaders[k] = found is not None, found or 0
-            rows = b.take(pa.array(own, pa.int64()))
-            leader = pa.array(leaders[own], mask=~known[own])
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), leader], [*names, "leader"])
+        for rows, tile, ti, tj, key, x, y, lead, mine in _whole(batches, ("ti", "tj", "key", "mx", "my", "lead", "own")):
+            leader, known = _ruled(tile, ti, tj, key, x, y, lead, r, strict)
+            kept = np.flatnonzero(mine & ~lead)
+            taken = rows.select(names).take(pa.array(kept))
+            to, open_ = leader[kept], ~known[kept]
+            left.add(int(open_.sum()))
+            for name, of in (("leader", key), ("px", x), ("py", y)):
+                taken = taken.append_column(name, pa.array(of[to], mask=open_))
+            yield from taken.combine_chunks().to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in names)
-    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj", F.desc("lead"), "key")
-    return rows.mapInArrow(follow, f"{kinds}, leader long")
+    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj")
+    return rows.mapInArrow(follow, f"{kinds}, leader long, px double, py double")
+
 
+def _settled(spark: SparkSession, first: Callable[[Accumulator], DataFrame], r: float, fixed: DataFrame | None = None, strict: bool = False, path: str | None = None) -> DataFrame:
+    """Rows (key, mx, my, ..., leader, px, py) of first with what it left open decided in further rounds, as tables.
 
-def _followed(points: DataFrame, r: float, fixed: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """points (key, mx, my, ...) with leader, in rounds; fixed (key, mx, my): leaders that come before all points."""
-    done, lead, open_ = [], fixed, points
+    With path, all of them are written there; rows without a leader, which were open for a while, count for nothing. Tasks count what they leave open with an accumulator; a task that ran twice may count twice, but never too little.
+    """
+    done, lead, ask = [], fixed, first
     while True:
-        dealt = _dealt(open_, r).withColumn("lead", F.lit(False))
-        if lead is not None:
-            tiles = open_.select(_tile(F.col("mx"), r).alias("ti"), _tile(F.col("my"), r).alias("tj")).distinct()
-            around = _dealt(lead.select("key", "mx", "my"), r).join(tiles, ["ti", "tj"], "left_semi").withColumn("lead", F.lit(True))
-            if done:
-                dealt = dealt.join(tiles, ["ti", "tj"], "left_semi")
-            dealt = dealt.unionByName(around, allowMissingColumns=True)
-        found = written(_decided(dealt, r, strict), "followed")
+        left = spark.sparkContext.accumulator(0)
+        found = written(ask(left), "followed", None if done else path)
+        if not left.value:
+            if path and done:
+                return written(reduce(DataFrame.unionByName, [*done[1:], found]), "followed", path, append=True).filter("leader is not null")
+            return reduce(DataFrame.unionByName, [*done, found])
         done.append(found.filter("leader is not null"))
-        open_ = found.filter("leader is null").drop("leader")
-        if not open_.limit(1).count():
-            return reduce(DataFrame.unionByName, done)
+        open_ = found.filter("leader is null").drop("leader", "px", "py")
         new = done[-1].filter("key = leader").select("key", "mx", "my")
         lead = new if lead is None else lead.select("key", "mx", "my").unionByName(new)
+        ask = partial(_asked, open_, r, lead, strict, again=True)
+
+
+def _asked(points: DataFrame, r: float, lead: DataFrame | None, strict: bool, left: Accumulator, again: bool = False) -> DataFrame:
+    """One round: points (key, mx, my, ...) with leader where it can be told; lead (key, mx, my): leaders that come before."""
+    dealt = _dealt(points, r).withColumn("lead", F.lit(False))
+    if lead is not None:
+        tiles = points.select(_tile(F.col("mx"), r).alias("ti"), _tile(F.col("my"), r).alias("tj")).distinct()
+        around = _dealt(lead.select("key", "mx", "my"), r).join(tiles, ["ti", "tj"], "left_semi").withColumn("lead", F.lit(True))
+        if again:
+            dealt = dealt.join(tiles, ["ti", "tj"], "left_semi")
+        dealt = dealt.unionByName(around, allowMissingColumns=True)
+    return _decided(dealt, r, strict, left)
+
+
+def _followed(points: DataFrame, r: float, fixed: DataFrame | None = None, strict: bool = False, path: str | None = None) -> DataFrame:
+    """points (key, mx, my, ...) with leader, px and py, in rounds; fixed (key, mx, my): leaders that come before all points."""
+    return _settled(points.sparkSession, partial(_asked, points, r, fixed, strict), r, fixed, strict, path)
+
+
+def _risen(rows: DataFrame, zoom: int, path: str) -> DataFrame:
+    """The clusters of a level, with their leaders one level lower, from the rows of the level above with theirs; one shuffle.
+
+    Members are dealt to tiles by the place of their leader, half a radius from which the centroid is at most, so a tile has
+    all members of each cluster in its view: its task merges them, in the order of keys, and goes on with the rule.
+    """
+    r = radius(zoom - 1)
+    reach, side = (HALO + 0.501) * r, TILE * r
+    spots = ", ".join(f"struct(cast(floor((px + {a!r}D) / {side!r}D) as long) as ti, cast(floor((py + {b!r}D) / {side!r}D) as long) as tj)" for a in (-reach, reach) for b in (-reach, reach))
+    dealt = rows.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom", F.expr(f"explode(array_distinct(array({spots})))").alias("at"))
+    dealt = dealt.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom", "at.*")
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj")
+
+    def rise(left: Accumulator, batches):
+        for _, tile, *columns in _whole(batches, ("ti", "tj", "leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom")):
+            order = np.lexsort((columns[3], columns[2], tile))
+            tile, (ti, tj, leader, key, px, py, mx, my, n, sx, sy, expansion) = tile[order], (c[order] for c in columns)
+            new = np.ones(len(tile), bool)
+            new[1:] = (tile[1:] != tile[:-1]) | (leader[1:] != leader[:-1])
+            at = np.flatnonzero(new)
+            children = np.diff(np.append(at, len(tile)))
+            n, sx, sy = (np.add.reduceat(v, at) for v in (n, sx, sy))
+            expansion = np.where(children == 1, expansion[at], zoom + 1).astype(np.int32)
+            low, high, mean = _spread(np.cumsum(new) - 1, mx, my, len(at))
+            mx, my = sx / n, sy / n
+            tile, ti, tj = tile[at], ti[at], tj[at]
+            dx, dy = mx - ti * side, my - tj * side
+            view = (dx >= -HALO * r) & (dx <= side + HALO * r) & (dy >= -HALO * r) & (dy <= side + HALO * r)
+            own = (np.floor(mx / side) == ti) & (np.floor(my / side) == tj)
+            seen = np.flatnonzero(view | own)
+            key, x, y = leader[at][seen], mx[seen], my[seen]
+            to, known = _ruled(tile[seen], ti[seen], tj[seen], key, x, y, np.zeros(len(seen), bool), r, False)
+            kept = np.flatnonzero(own[seen])
+            taken, to, open_ = seen[kept], to[kept], ~known[kept]
+            left.add(int(open_.sum()))
+            plain = (leader[at], mx, my, n, sx, sy, px[at], py[at], children.astype(np.int64), expansion)
+            arrays = [pa.array(v[taken]) for v in plain] + [pa.array(v[taken], mask=np.isnan(v[taken])) for v in (low, high, mean)]
+            arrays += [pa.array(v[to], mask=open_) for v in (key, x, y)]
+            yield pa.RecordBatch.from_arrays(arrays, [*_CLUSTER, "leader", "px", "py"])
+
+    kinds = "key long, mx double, my double, n long, sx double, sy double, lx double, ly double, children long, expansion_zoom int, low double, high double, mean double, leader long, px double, py double"
+    return _settled(rows.sparkSession, lambda left: dealt.mapInArrow(partial(rise, left), kinds), r, path=path)
+
+
+def _spread(owner: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least, greatest and mean distance of each two members of n clusters, of which each one's stand together; nan for one member."""
+    low, high, total, pairs = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n), np.zeros(n)
+    step, at = 1, np.arange(len(owner))
+    while len(at := at[at + step < len(owner)]) and len(at := at[owner[at] == owner[at + step]]):
+        d = ((x[at] - x[at + step]) ** 2 + (y[at] - y[at + step]) ** 2) ** 0.5
+        np.minimum.at(low, owner[at], d)
+        np.maximum.at(high, owner[at], d)
+        np.add.at(total, owner[at], d)
+        np.add.at(pairs, owner[at], 1)
+        step += 1
+    none = pairs == 0
+    low[none], high[none] = np.nan, np.nan
+    return low, high, np.divide(total, pairs, out=np.full(n, np.nan), where=~none)
 
 
 def _most(points: DataFrame, r: float) -> int:
@@ -193,36 +259,68 @@ def clusters_at(points: DataFrame, zoom: int) -> DataFrame:
     return merged(points, leaders(points, radius(zoom)))
 
 
+_CLUSTER = ("key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", "expansion_zoom", "low", "high", "mean")
+
+
 def _level(rows: DataFrame, zoom: int) -> DataFrame:
-    """The clusters of a level from the rows of the level above with their leader."""
-    its = lambda c: F.max(F.when(F.col("key") == F.col("leader"), F.col(c)))
-    sums = rows.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), its("mx").alias("lx"), its("my").alias("ly"), F.count("*").alias("children"), F.min("expansion_zoom").alias("low"))
-    expansion = F.when(F.col("children") == 1, F.col("low")).otherwise(F.lit(zoom + 1)).alias("expansion_zoom")
-    return sums.select(F.lit(zoom).alias("level"), F.col("leader").alias("key"), (F.col("sx") / F.col("n")).alias("mx"), (F.col("sy") / F.col("n")).alias("my"), "n", "sx", "sy", "lx", "ly", "children", expansion)
+    """The clusters of a level from the rows of points with their leader; nothing is said of the distances between points."""
+    sums = rows.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.max("px").alias("lx"), F.max("py").alias("ly"), F.count("*").alias("children"), F.min("expansion_zoom").alias("least"))
+    expansion = F.when(F.col("children") == 1, F.col("least")).otherwise(F.lit(zoom + 1)).alias("expansion_zoom")
+    none = (F.lit(None).cast("double").alias(c) for c in ("low", "high", "mean"))
+    return sums.select(F.col("leader").alias("key"), (F.col("sx") / F.col("n")).alias("mx"), (F.col("sy") / F.col("n")).alias("my"), "n", "sx", "sy", "lx", "ly", "children", expansion, *none)
+
+
+def _root(rows: DataFrame, zoom: int) -> DataFrame:
+    """The clusters of the last level, which nothing is asked of, from the rows of the level above with their leader."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        n, sx, sy = (float(np.add.reduce(t.column(c).to_numpy())) for c in ("n", "sx", "sy"))
+        k, (low, high, mean) = len(t), _spread(np.zeros(len(t), np.int64), t.column("mx").to_numpy(), t.column("my").to_numpy(), 1)
+        far = [None if k == 1 else float(v[0]) for v in (low, high, mean)]
+        values = [t.column("leader")[0].as_py(), sx / n, sy / n, int(n), sx, sy, t.column("px")[0].as_py(), t.column("py")[0].as_py(), k, t.column("expansion_zoom")[0].as_py() if k == 1 else zoom + 1, *far]
+        return pa.table({c: pa.array([v], kind) for c, v, kind in zip(_CLUSTER, values, [pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.int32(), *[pa.float64()] * 3])})
+
+    kinds = "key long, mx double, my double, n long, sx double, sy double, lx double, ly double, children long, expansion_zoom int, low double, high double, mean double"
+    return rows.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom").groupBy("leader").applyInArrow(merge, kinds)
 
 
 def below(level: DataFrame, zoom: int, min_zoom: int = MIN_ZOOM) -> DataFrame:
-    """The rows of hierarchy() for a level (as _level() gives it) and all below, which are clustered anew."""
-    out = []
-    for lower in range(zoom - 1, min_zoom - 1, -1):
-        rows = _followed(level, radius(lower))
-        out.append(rows.withColumnRenamed("leader", "parent"))
-        level = _level(rows, lower)
-    out.append(written(level, "level").withColumn("parent", F.lit(None).cast("long")))
-    return reduce(DataFrame.unionByName, out).select("level", "key", "parent", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", "expansion_zoom")
+    """The rows of hierarchy() for a level (as _level() gives it) and all below, which are clustered anew: one table, partitioned by level."""
+    spark, root = level.sparkSession, place(level.sparkSession, "tree")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("leader", "long"), ("px", "double"), ("py", "double"))]
+    if zoom == min_zoom:
+        last = level
+    else:
+        rows = _followed(level, radius(zoom - 1), path=f"{root}/level={zoom}")
+        for lower in range(zoom - 1, min_zoom, -1):
+            rows = _risen(rows, lower, f"{root}/level={lower}")
+        last = _root(rows, min_zoom)
+    written(last.select(*_CLUSTER, *none), "level", f"{root}/level={min_zoom}")
+    kinds = ", ".join(f"{c} {'long' if c in ('key', 'n', 'children', 'leader') else 'int' if c == 'expansion_zoom' else 'double'}" for c in (*_CLUSTER, "leader", "px", "py"))
+    tree = spark.read.schema(f"{kinds}, level int").parquet(root).filter(F.col("leader").isNotNull() | (F.col("level") == min_zoom))
+    return tree.select("level", "key", F.col("leader").alias("parent"), *_CLUSTER[1:])
 
 
 def hierarchy(points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
-    """Clusters of all levels of points (seq, mx, my).
+    """Clusters of all levels of points (seq, mx, my), as a table in the shared folder, partitioned by level.
 
-    (level, key, parent, mx, my, n, sx, sy, lx, ly, children, expansion_zoom): parent is the key of the cluster that holds
-    it one level lower (null at min_zoom); a key names a cluster within its level and is the seq of its first point.
-    expansion_zoom is that of the only child, or else the level above. An empty table gives an empty table.
+    (level, key, parent, mx, my, n, sx, sy, lx, ly, children, expansion_zoom, low, high, mean): parent is the key of the
+    cluster that holds it one level lower (null at min_zoom); a key names a cluster within its level and is the seq of its
+    first point. expansion_zoom is that of the only child, or else the level above; low, high and mean are those of the
+    distances between each two children (null for one child, and at max_zoom). An empty table gives an empty table.
     """
-    nodes = written(collapsed(points).withColumn("expansion_zoom", F.lit(max_zoom + 1)), "level")
+    nodes = written(collapsed(points).withColumn("expansion_zoom", F.lit(max_zoom + 1)), "points")
     r = radius(max_zoom)
-    rows = _followed(nodes, r) if _most(nodes, r) <= HOT else nodes.join(leaders(nodes, r), "key")
-    return below(_level(rows, max_zoom), max_zoom, min_zoom)
+    if _most(nodes, r) <= HOT:
+        rows = _followed(nodes, r)
+    else:
+        rows = nodes.join(leaders(nodes, r), "key")
+        rows = rows.join(nodes.select(F.col("key").alias("leader"), F.col("mx").alias("px"), F.col("my").alias("py")), "leader")
+    tree = below(_level(rows, max_zoom), max_zoom, min_zoom)
+    removed(nodes)
+    removed(rows)
+    return tree
 
 
 def grown(tree: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
@@ -233,7 +331,8 @@ def grown(tree: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, m
         return hierarchy(points, max_zoom, min_zoom)
     names = ["key", "n", "sx", "sy", "lx", "ly", "children"]
     top = extended(tree.filter(F.col("level") == max_zoom).select("mx", "my", *names), points, max_zoom)
-    return below(top.select(F.lit(max_zoom).alias("level"), "key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", F.lit(max_zoom + 1).alias("expansion_zoom")), max_zoom, min_zoom)
+    none = (F.lit(None).cast("double").alias(c) for c in ("low", "high", "mean"))
+    return below(top.select("key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", F.lit(max_zoom + 1).alias("expansion_zoom"), *none), max_zoom, min_zoom)
 
 
 def with_ids(tree: DataFrame, zoom: int) -> DataFrame:
@@ -241,10 +340,12 @@ def with_ids(tree: DataFrame, zoom: int) -> DataFrame:
     return numbered(tree.filter(F.col("level") == zoom), F.asc("key"), name="_index").withColumn("id", node_id(F.col("_index"), zoom)).drop("_index")
 
 
-def labels(points: DataFrame, tree: DataFrame, zoom: int) -> DataFrame:
-    """(seq, tid, label) of points (seq, tid, mx, my): the key of each point's cluster at a zoom of its tree."""
+def labels(points: DataFrame, tree: DataFrame, zoom: int, top: int | None = None) -> DataFrame:
+    """(seq, tid, label) of points (seq, tid, mx, my): the key of each point's cluster at a zoom of its tree. top: the tree's
+    last level (asked of it if not given)."""
     first = points.groupBy("mx", "my").agg(F.min("seq").alias("key"))
-    top = tree.agg(F.max("level")).first()[0]
+    if top is None:
+        top = tree.agg(F.max("level")).first()[0]
     raw = points.join(first, ["mx", "my"]).select("seq", "tid", "key", "mx", "my")
     distinct = raw.select("key", "mx", "my").distinct()
     joined = leaders(distinct, radius(top))

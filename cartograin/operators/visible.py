@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mercator import distance, limit_zoom, pixel_distance, radius, within_any, x_lng, y_lat
-from ..plans.shared import written
+from ..functions.mercator import boxes, distance, limit_zoom, pixel_distance, radius, within_any, x_lng, y_lat
+from ..plans.shared import removed, written
 
 MEASURES = ("min", "max", "avg")
 
@@ -42,39 +44,45 @@ def spread(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return counts.join(pairs, ["level", "pkey"], "left").withColumnRenamed("pkey", "key")
 
 
-def distinguishable(tree: DataFrame, d: float, measure: str = "max", of: DataFrame | None = None) -> DataFrame:
-    """(level, key, expands, diameter): whether a cluster's children lie d apart by the measure (one child always does)."""
+def measured(tree: DataFrame) -> DataFrame:
+    """tree with low, high and mean of the distances between children, and children; joined to it unless it holds them."""
+    if {"low", "high", "mean", "children"} <= {*tree.columns}:
+        return tree
+    found = spread(tree).withColumnRenamed("kids", "children")
+    return tree.drop("low", "high", "mean", "children").join(found, ["level", "key"], "left").na.fill(0, ["children"])
+
+
+def _expands(d: float, measure: str, highest: int) -> Column:
+    """Whether a cluster's children lie d apart by the measure (one child always does); those of the highest level have none."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     value = F.col({"min": "low", "max": "high", "avg": "mean"}[measure])
-    return spread(tree, of).select("level", "key", ((F.col("kids") == 1) | (value >= d)).alias("expands"), (F.col("high") / 2).alias("diameter"))
+    return (F.col("level") < highest) & F.coalesce((F.col("children") == 1) | (value >= d), F.lit(False))
 
 
-def _children(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """(level, key, n, mx, my) of the children of clusters (level, key)."""
-    kids = tree.select((F.col("level") - 1).alias("plevel"), F.col("parent").alias("pkey"), "level", "key", "n", "mx", "my")
-    return kids.join(of.select(F.col("level").alias("plevel"), F.col("key").alias("pkey")), ["plevel", "pkey"]).select("level", "key", "n", "mx", "my")
+def _last(tree: DataFrame, highest: int | None) -> int:
+    return highest if highest is not None else tree.agg(F.max("level")).first()[0] or 0
 
 
-def tree_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max", highest: int = 17) -> DataFrame:
-    """The frontier with each distinguishable cluster replaced by its children, level by level (at most highest of them).
+def tree_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max", lowest: int = 0, highest: int | None = None) -> DataFrame:
+    """The frontier (level, key) with each distinguishable cluster replaced by its children, level by level.
 
-    Only children of clusters that are reached are measured.
+    lowest: the frontier's first level; highest: the tree's last one (asked of it if not given). Each level is one join
+    with the clusters of the next; nothing is counted or written on the way. Rows that stay find no child: they are dealt by
+    numbers that no cluster has.
     """
-    names = ["level", "key", "n", "mx", "my"]
-    todo, done = written(frontier.select(names), "frontier"), None
-    for _ in range(highest + 1):
-        marked = written(todo.join(distinguishable(tree, d, measure, todo), ["level", "key"], "left"), "marked")
-        ready = marked.filter(~F.coalesce(F.col("expands"), F.lit(False))).select(*names, "diameter")
-        done = ready if done is None else done.unionByName(ready)
-        grown = marked.filter("expands")
-        if not grown.limit(1).count():
-            break
-        todo = written(_children(tree, grown), "frontier")
-    return shown(done)
-
-
-def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max") -> tuple[DataFrame, DataFrame]:
+    names = ["level", "key", "n", "mx", "my", "diameter", "expands"]
+    highest = _last(tree, highest)
+    nodes = measured(tree).withColumns({"diameter": F.col("high") / 2, "expands": _expands(d, measure, highest)}).select("parent", *names)
+    at = nodes.join(frontier.select("level", "key"), ["level", "key"], "left_semi").select(names)
+    kids = nodes.toDF("parent_", *(f"{c}_" for c in names))
+    for level in range(lowest, highest):
+        joined = at.join(kids.filter(F.col("level_") == level + 1), F.expr(f"if(level = {level} and expands, key, -1 - key) = parent_"), "left")
+        at = joined.selectExpr(*(f"if(key_ is null, {c}, {c}_) as {c}" for c in names))
+    return shown(at.drop("expands"))
+
+
+def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str = "max", highest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The kept clusters of a frontier, and the open ones, which the tree-cut goes on with.
 
     Clusters are sorted by count; the head ends at the first whose running sum reaches what follows it. The head is kept,
@@ -83,7 +91,8 @@ def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str =
     Running sums go over distinct counts, and over ties of the one count where the head ends.
     """
     names = ["level", "key", "n", "mx", "my"]
-    todo, kept = written(frontier.select(names), "frontier"), frontier.select(names).limit(0)
+    nodes = measured(tree).withColumn("expands", _expands(d, measure, _last(tree, highest))).select("parent", *names, "expands")
+    todo, kept = written(nodes.join(frontier.select("level", "key"), ["level", "key"], "left_semi").select(*names, "expands"), "frontier"), []
     while True:
         sums = [(r["n"], r["k"]) for r in todo.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
         whole, count = sum(n * k for n, k in sums), sum(k for _, k in sums)
@@ -95,26 +104,41 @@ def bipartite_cut(tree: DataFrame, frontier: DataFrame, d: float, measure: str =
             if need:
                 break
             before += edge * k
-        ties = todo.filter(F.col("n") == edge).orderBy("level", "key").limit(need)
-        head = written(todo.filter(F.col("n") > edge).unionByName(ties), "head")
-        tail = todo.join(head.select("level", "key"), ["level", "key"], "left_anti")
-        tail = written(tail.join(distinguishable(tree, d, measure, tail), ["level", "key"], "left"), "tail")
-        stays = tail.filter(~F.coalesce(F.col("expands"), F.lit(False))).select(names)
-        kids = _children(tree, tail.filter("expands"))
-        kept = kept.unionByName(head).unionByName(stays)
-        todo = written(kids, "frontier")
+        ties = todo.filter(F.col("n") == edge).orderBy("level", "key").limit(need).select("level", "key", F.lit(True).alias("tie"))
+        parted = todo.join(ties, ["level", "key"], "left").withColumn("head", (F.col("n") > edge) | F.coalesce("tie", F.lit(False)))
+        parted = written(parted.select(*names, "expands", "head"), "parted")
+        removed(todo)
+        kept.append(parted.filter("head or not expands").select(names))
+        grown = parted.filter("not head and expands").select((F.col("level") + 1).alias("level"), F.col("key").alias("parent"))
+        todo = written(nodes.join(grown, ["level", "parent"], "left_semi").select(*names, "expands"), "frontier")
         if sums[0][0] <= 1:
             break
-    return kept, todo
+    return reduce(DataFrame.unionByName, kept, frontier.select(names).limit(0)), todo.select(names)
+
 
+def cut(tree: DataFrame, bbox, zoom: int, pixels: float = 1.0, measure: str = "max", bipartite: bool = False, high: int | None = None, exact: bool = True) -> DataFrame:
+    """Visible clusters, cut: children at least so many pixels apart are shown instead of their cluster.
 
-def cut(tree: DataFrame, bbox, zoom: int, pixels: float = 1.0, measure: str = "max", bipartite: bool = False) -> DataFrame:
-    """Visible clusters, cut: children at least so many pixels apart are shown instead of their cluster."""
-    front, d = visible(tree, bbox, zoom), pixel_distance(zoom, pixels)
+    high: the tree's last level (asked of it if not given). exact: the tree is hierarchy()'s or grown()'s, where a child is
+    within two radii of its cluster, so that all below is within four radii of the zoom of what is visible: nothing else
+    is looked at.
+    """
+    high = _last(tree, high)
+    zoom = limit_zoom(zoom, 0, high)
+    front, d = visible(tree, bbox, zoom, high=high), pixel_distance(zoom, pixels)
+    around = tree.filter(F.col("level") >= zoom)
+    if exact:
+        around = around.filter(_about(bbox, 4.001 * radius(zoom)))
     if not bipartite:
-        return tree_cut(tree, front, d, measure)
-    kept, open_ = bipartite_cut(tree, front, d, measure)
-    return shown(kept.withColumn("diameter", F.lit(None).cast("double"))).unionByName(tree_cut(tree, open_, d, measure))
+        return tree_cut(around, front, d, measure, zoom, high)
+    kept, open_ = bipartite_cut(around, front, d, measure, high)
+    return shown(kept.withColumn("diameter", F.lit(None).cast("double"))).unionByName(tree_cut(around, open_, d, measure, zoom, high))
+
+
+def _about(bbox, margin: float) -> Column:
+    """Whether a place is within a margin of a box in degrees."""
+    sides = [(F.col("mx") >= w - margin) & (F.col("mx") <= e + margin) & (F.col("my") >= n - margin) & (F.col("my") <= s + margin) for w, n, e, s in boxes(bbox)]
+    return reduce(Column.__or__, sides)
 
 
 def result_stats(clusters: DataFrame) -> DataFrame:

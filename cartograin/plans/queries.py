@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,15 @@ from ..operators import aggregation, agreement, clustering, incremental, radius_
 from ..sources import points as sources
 from ..sources import sinks
 from ..streaming.progressive import by_slices
-from .shared import numbered, written
+from . import tree_sql
+from .shared import numbered, removed, written
 
 BBOX = (-120.0, 26.0, -75.0, 28.5)
 #: A box across 180 degrees, and the whole world.
 ACROSS, WORLD = (100.0, 27.0, -100.0, 40.0), (-180.0, -90.0, 180.0, 90.0)
 KEYWORD = "click"
+#: The last level of the raster quadtrees.
+LAST = 18
 START, DAYS = datetime(2024, 1, 1), 3
 _P = """p AS (SELECT event_id AS tid, ts AS create_at, event_type AS text,
   -125.0::DOUBLE + 55.0::DOUBLE*((user_id*7919)%1000)/1000.0::DOUBLE + 1.5::DOUBLE*(((event_id*104729)%2001)-1000)/1000.0::DOUBLE AS x,
@@ -47,7 +51,8 @@ def _documents(query: str):
 
 
 def _english(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
+    """Documents with words of the stems of "licensed" and "works"."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.filter(match(F.col("text"), "licensed & works", english=True)).select("doc_id")
 
 
@@ -108,7 +113,7 @@ def _incremental(spark, sf_dir):
 
 def _visible(spark, sf_dir):
     level = clustering.clusters_at(_points(spark, sf_dir), 4).withColumn("level", F.lit(4))
-    return _rounded(visible.visible(level, BBOX, 4).select("key", "lng", "lat", "n"), "lng", "lat", digits=4)
+    return _off_ties(visible.visible(level, BBOX, 4).select("key", "lng", "lat", "n"), "lng", "lat")
 
 
 def _level4(spark, sf_dir) -> DataFrame:
@@ -117,7 +122,7 @@ def _level4(spark, sf_dir) -> DataFrame:
 
 def _visible_world(spark, sf_dir):
     """The whole level, asked for at a zoom beyond the last one."""
-    return _rounded(visible.visible(_level4(spark, sf_dir), WORLD, 25, high=4).select("key", "lng", "lat", "n"), "lng", "lat", digits=4)
+    return _off_ties(visible.visible(_level4(spark, sf_dir), WORLD, 25, high=4).select("key", "lng", "lat", "n"), "lng", "lat")
 
 
 def _visible_by_leader(spark, sf_dir):
@@ -129,11 +134,12 @@ def _node_ids(spark, sf_dir):
 
 
 def _tree(spark, sf_dir) -> DataFrame:
-    return written(clustering.hierarchy(_points(spark, sf_dir)), "tree")
+    return clustering.hierarchy(_points(spark, sf_dir))
 
 
 def _hierarchy(spark, sf_dir):
-    return clustering.hierarchy(_points(spark, sf_dir))
+    """All clusters of all levels."""
+    return _off_ties(_tree(spark, sf_dir).select("level", "key", "parent", "mx", "my", "n", "children", "expansion_zoom"), "mx", "my")
 
 
 def _levels(spark, sf_dir):
@@ -141,16 +147,22 @@ def _levels(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return clustering.labels(_points(spark, sf_dir), _tree(spark, sf_dir), 4).select("tid", "label")
+    return clustering.labels(_points(spark, sf_dir), _tree(spark, sf_dir), 4, m.MAX_ZOOM).select("tid", "label")
 
 
 def _cluster_distance(spark, sf_dir):
+    """Distance of the first two clusters of zoom 4 in the order of keys."""
     tree = _tree(spark, sf_dir)
-    return visible.cluster_distance(tree, 4, 0, 1)
+    a, b = (r["key"] for r in tree.filter("level = 4").orderBy("key").limit(2).collect())
+    return visible.cluster_distance(tree, 4, a, b).select(F.round("distance", 9).alias("distance"), "radius")
 
 
 def _cut(measure, bipartite=False):
-    return lambda spark, sf_dir: visible.cut(_tree(spark, sf_dir), BBOX, 3, 1.0, measure, bipartite)
+    def run(spark, sf_dir):
+        found = visible.cut(_tree(spark, sf_dir), BBOX, 3, 1.0, measure, bipartite, m.MAX_ZOOM)
+        return found if bipartite else found.select("level", "key", "n")
+
+    return run
 
 
 def _approximate(spark, sf_dir):
@@ -182,26 +194,27 @@ def _incremental_levels(spark, sf_dir):
 
 def _scaling(spark, sf_dir):
     """Clusters of each level for the first n points, n doubling from 5,000."""
-    p, n, out = written(_points(spark, sf_dir), "points"), 5_000, None
+    p, n, out = written(_points(spark, sf_dir), "points"), 5_000, []
     whole = p.count()
     while n <= max(whole, 5_000):
-        found = clustering.hierarchy(p.filter(F.col("seq") < n)).groupBy("level").agg(F.count("*").alias("clusters")).withColumn("n", F.lit(n))
-        out, n = found if out is None else out.unionByName(found), 2 * n
-    return out
+        tree = clustering.hierarchy(p.filter(F.col("seq") < n))
+        out.append(written(tree.groupBy("level").agg(F.count("*").alias("clusters")).withColumn("n", F.lit(n)), "sizes"))
+        removed(tree)
+        n *= 2
+    return reduce(DataFrame.unionByName, out)
 
 
 def _slice_rand(spark, sf_dir):
-    """Agreement at zoom 4 of the approximate incremental engine with batch clustering, after each of two slices of time."""
+    """Agreement at zoom 4 of the approximate incremental engine with batch clustering, after each of ten slices of time."""
     p = written(_by_time(spark, sf_dir), "points")
-    state, out = None, None
-    for k, low, high, progress in sources.slices(START, datetime(2024, 1, 31), 15):
+    state, out = None, []
+    for _, low, high, progress in sources.slices(START, datetime(2024, 1, 31), DAYS):
         at = lambda t: F.col("create_at") >= F.lit(t)
-        state = clustering.approximate(state, p.filter(at(low) & ~at(high)))
+        state = clustering.approximate(state, p.filter(at(low) & ~at(high)), m.MAX_ZOOM, 4)
         so_far = p.filter(~at(high))
-        pair = agreement.aligned(clustering.labels(so_far, written(clustering.hierarchy(so_far, m.MAX_ZOOM, 4), "tree"), 4), clustering.labels(so_far, state, 4))
-        found = agreement.rand_indexes(pair).withColumn("progress", F.lit(progress))
-        out = found if out is None else out.unionByName(found)
-    return out
+        pair = agreement.aligned(clustering.labels(so_far, clustering.hierarchy(so_far, m.MAX_ZOOM, 4), 4, m.MAX_ZOOM), clustering.labels(so_far, state, 4, m.MAX_ZOOM))
+        out.append(agreement.rand_indexes(pair).withColumn("progress", F.lit(progress)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _by_time(spark, sf_dir):
@@ -257,12 +270,12 @@ def _quadtree(spark, sf_dir):
 
 
 def _raster(spark, sf_dir):
-    return aggregation.raster_samples(_points(spark, sf_dir), 12)
+    return written(aggregation.raster_samples(_points(spark, sf_dir), LAST), "raster")
 
 
 def _raster_range(spark, sf_dir):
     box = (_LEFT, _TOP, _RIGHT, _BOTTOM)
-    return aggregation.raster_range(aggregation.raster_samples(_points(spark, sf_dir), 12, bbox=box, cut=10), box, 10)
+    return aggregation.raster_range(aggregation.raster_samples(_points(spark, sf_dir), LAST, bbox=box, cut=10), box, 10)
 
 
 def _raster_stats(spark, sf_dir):
@@ -274,7 +287,7 @@ def _raster_hist(spark, sf_dir):
 
 
 def _raster_hists(spark, sf_dir):
-    return aggregation.raster_histograms(_raster(spark, sf_dir), 12, 11)
+    return aggregation.raster_histograms(_raster(spark, sf_dir), LAST, 11)
 
 
 def _transfer(spark, sf_dir):
@@ -342,24 +355,43 @@ def _unmatched(spark, sf_dir):
     return found.select(F.round("rand", 8).alias("rand"), F.round("adjusted_rand", 8).alias("adjusted_rand"))
 
 
-def _order_rand(spark, sf_dir):
-    """Agreement at zooms 4 to 8 of the clustering in four orders, and of K-means with as many clusters, with the original order."""
-    base, out = {}, None
-    for order in ("original", "reverse", "spatial", "reverse-spatial"):
+ORDERS = ("original", "reverse", "spatial", "reverse-spatial")
+
+
+def _order_labels(spark, sf_dir):
+    """(order, zoom) to the labels of the clustering of all points in that order, at zooms 4 to 8."""
+    out = {}
+    for order in ORDERS:
         p = written(_points(spark, sf_dir, None, order), "points")
-        tree = written(clustering.hierarchy(p, m.MAX_ZOOM, 4), "tree")
+        tree = clustering.hierarchy(p, m.MAX_ZOOM, 4)
         for zoom in range(4, 9):
-            label = written(clustering.labels(p, tree, zoom), "labels")
-            base.setdefault(zoom, label)
-            found = agreement.rand_indexes(agreement.aligned(base[zoom], label)).withColumns({"order": F.lit(order), "zoom": F.lit(zoom)})
-            out = found if out is None else out.unionByName(found)
-    p = written(_points(spark, sf_dir), "points")
-    for zoom in range(4, 7):
-        means = agreement.kmeans_labels(p.select("tid", "mx", "my"), base[zoom].select("label").distinct().count())
-        out = out.unionByName(agreement.rand_indexes(agreement.aligned(base[zoom], means)).withColumns({"order": F.lit("k-means"), "zoom": F.lit(zoom)}))
+            out[order, zoom] = written(clustering.labels(p, tree, zoom, m.MAX_ZOOM), "labels")
+        removed(tree)
     return out
 
 
+def _order_rand(spark, sf_dir):
+    """Agreement at zooms 4 to 8 of the clustering in four orders with that in the original order."""
+    labels = _order_labels(spark, sf_dir)
+    found = [agreement.rand_indexes(agreement.aligned(labels["original", zoom], label)).withColumns({"order": F.lit(order), "zoom": F.lit(zoom)}) for (order, zoom), label in labels.items()]
+    return reduce(DataFrame.unionByName, found).select("order", "zoom", F.round("rand", 8).alias("rand"), F.round("adjusted_rand", 8).alias("adjusted_rand"))
+
+
+def _order_means(spark, sf_dir):
+    """Agreement at zooms 4 to 8 of K-means over the points in four orders, with as many clusters as the original order has, with K-means of the original order."""
+    first, found = {}, []
+    p = written(_points(spark, sf_dir), "points")
+    tree = clustering.hierarchy(p, m.MAX_ZOOM, 4)
+    sizes = {r["level"]: r["count"] for r in tree.filter("level <= 8").groupBy("level").count().collect()}
+    for order in ORDERS:
+        rows = written(_points(spark, sf_dir, None, order), "points").orderBy("seq").select("tid", "mx", "my")
+        for zoom in range(4, 9):
+            label = written(agreement.kmeans_labels(rows, sizes[zoom]), "labels")
+            found.append(agreement.rand_indexes(agreement.aligned(first.setdefault(zoom, label), label)).withColumns({"order": F.lit(order), "zoom": F.lit(zoom)}))
+    removed(tree)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _kmeans(spark, sf_dir):
     """Labels of all points by K-means with as many clusters as zoom 4 has."""
     p = written(_points(spark, sf_dir), "points")
@@ -443,6 +475,7 @@ QUERIES = {
     "rand_index": _rand,
     "rand_index_unmatched": _unmatched,
     "order_rand_index": _order_rand,
+    "order_kmeans_rand": _order_means,
     "kmeans_labels": _kmeans,
     "geojson": _geojson,
     "array_rows": _arrays,
@@ -473,7 +506,7 @@ def _order_sql(order: str) -> str:
 ORACLE_SQL = {
     "clusters_z4": _CLUSTERS,
     "incremental_exact_z4": _CLUSTERS,
-    "visible_bbox": f"WITH RECURSIVE {_GREEDY}, d AS (SELECT key, avg(mx) AS mx, avg(my) AS my, count(*) AS n FROM c GROUP BY key) SELECT key, round((mx-0.5)*360, 4) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90, 4) AS lat, n FROM d WHERE {_BOX}",
+    "visible_bbox": f"WITH RECURSIVE {_GREEDY}, d AS (SELECT key, avg(mx) AS mx, avg(my) AS my, count(*) AS n FROM c GROUP BY key) SELECT key, round((mx-0.5)*360 + 1.23e-9, 6) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90 + 1.23e-9, 6) AS lat, n FROM d WHERE {_BOX}",
     "progressive_clusters": _CLUSTERS.replace("row_number() OVER (ORDER BY tid)-1 AS seq, mx", "row_number() OVER (ORDER BY create_at, tid)-1 AS seq, mx").replace("AS seq, mx, my FROM q ),", "AS seq, mx, my FROM q WHERE create_at < TIMESTAMP '2024-01-31'),"),
     "points_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}'",
     "time_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE text = '{KEYWORD}' AND create_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
@@ -505,7 +538,7 @@ SELECT level::INTEGER AS level, i, j, n, round(CASE WHEN n = 1 THEN mx ELSE (i+0
     "rand_index": f"WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, floor(mx*64)*64+floor(my*64) AS b FROM q), {_AGREEMENT}",
     "rand_index_unmatched": f"WITH {_P}, l AS (SELECT floor(mx*32)*32+floor(my*32) AS a, CASE WHEN text = '{KEYWORD}' THEN floor(mx*64)*64+floor(my*64) ELSE 0 END AS b FROM q), {_AGREEMENT}",
     "only_time_scan": f"WITH {_P} SELECT tid, x, y FROM p WHERE create_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
-    "visible_world": f"{_MEANS} SELECT key, round((mx-0.5)*360, 4) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90, 4) AS lat, n FROM d",
+    "visible_world": f"{_MEANS} SELECT key, round((mx-0.5)*360 + 1.23e-9, 6) AS lng, round(360*atan(exp((180-my*360)*pi()/180))/pi()-90 + 1.23e-9, 6) AS lat, n FROM d",
     "visible_by_leader": f"{_MEANS} SELECT key, n FROM d JOIN k ON k.seq = d.key WHERE {_BOX.replace('mx', 'k.mx').replace('my', 'k.my')}",
     "node_ids": f"{_MEANS} SELECT key, (row_number() OVER (ORDER BY key)-1)*32+5 AS id FROM d",
     "marker_clusters": f"WITH RECURSIVE {_GREEDY.replace('<=', '<')}, e AS (SELECT k.seq, l.seq AS lead, sqrt(pow(l.mx-k.mx, 2)+pow(l.my-k.my, 2)) AS d FROM k, (SELECT unnest(l) FROM l) AS l WHERE l.seq <= k.seq AND d < {_R4}) SELECT leader, count(*) AS n FROM (SELECT first(lead ORDER BY d, lead) AS leader FROM e GROUP BY seq) GROUP BY leader",
@@ -519,5 +552,13 @@ SELECT floor(along/(width/480))::BIGINT AS pi, floor((my-{_NORTH!r}::DOUBLE)/(({
     "marker_radii": f"""WITH {_P}, c AS (SELECT floor(mx*128)::BIGINT AS i, floor(my*128)::BIGINT AS j, count(*) AS n, sqrt(pow(max(mx)-min(mx), 2)+pow(max(my)-min(my), 2)) AS d FROM q GROUP BY ALL),
 r AS (SELECT *, greatest(1.0::DOUBLE, CASE WHEN n > 1 THEN d*20/{m.radius(5)!r}::DOUBLE ELSE 5.0::DOUBLE END) AS r FROM c)
 SELECT i, j, n, round(r*0.7::DOUBLE + 1.23e-9, 6) AS fill, round(r*0.3::DOUBLE + 1.23e-9, 6) AS edge FROM r""",
+    "keyword_english": _documents_sql("list_has_any(w, ['licens', 'license', 'licensed', 'licenses', 'licensing', 'licensable']) AND list_has_any(w, ['work', 'works', 'worked', 'working'])"),
+    "order_rand_index": tree_sql.order_agreement(_P, {"original": "tid", "reverse": "tid DESC", "spatial": "x, y, tid", "reverse-spatial": "x DESC, y DESC, tid"}, range(4, 9)),
+    "scaling_sizes": tree_sql.scaling(_P, 5_000, 6),
+    "hierarchy": f"{tree_sql.tree(_P)} SELECT level, key, parent, round(mx + 1.23e-9, 6) AS mx, round(my + 1.23e-9, 6) AS my, n, children, expansion_zoom FROM t",
+    "incremental_exact_levels": f"{tree_sql.tree(_P)} SELECT level, count(*) AS clusters, sum(n)::BIGINT AS points FROM t GROUP BY level",
+    "cluster_labels": tree_sql.labels(_P, 4),
+    "cluster_distance": f"{tree_sql.tree(_P, bottom=4)} SELECT round(sqrt(pow(a.mx-b.mx, 2)+pow(a.my-b.my, 2)), 9) AS distance, {_R4} AS radius FROM (SELECT *, row_number() OVER (ORDER BY key) AS k FROM t WHERE level = 4) a JOIN (SELECT *, row_number() OVER (ORDER BY key) AS k FROM t WHERE level = 4) b ON a.k = 1 AND b.k = 2",
+    **{f"treecut_{name}": tree_sql.tree_cut(_P, _BOX, 3, m.pixel_distance(3, 1.0), name) for name in visible.MEASURES},
     "array_rows": f"WITH {_P} SELECT tid AS key, [round(y, 6), round(x, 6), 1.0::DOUBLE] AS row FROM q",
 }

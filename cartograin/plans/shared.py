@@ -33,10 +33,15 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, append: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, or at a path."""
+    path = path or place(df.sparkSession, name)
+    df.write.mode("append" if append else "error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,8 @@
 """Geo operators against plain restatements of their rules, and both strategies against each other."""
 
+import gc
 import json
+import os
 import random
 from datetime import datetime
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from cartograin.functions import mercator as m
 from cartograin.functions.text_match import match
 from cartograin.operators import aggregation, agreement, clustering, radius_join, visible
-from cartograin.plans.session import Session
+from cartograin.plans.session import Session, recorded
 from cartograin.sources import points as sources
 from cartograin.sources import sinks
 from cartograin.streaming.progressive import Progressive
@@ -177,9 +179,9 @@ def test_raster_samples(points, rows, part):
         elif level == 6 or len(own) == 1:
             want = {p[0] for p in own}
         else:
-            canvas, want = np.full((aggregation.RASTER, aggregation.RASTER, 3), 255, np.uint8), set()
+            canvas, want = np.full((1, aggregation.RASTER, aggregation.RASTER, 3), 255, np.uint8), set()
             for k, x, y in own:
-                if aggregation._drawn(canvas, x * 2**level - i, y * 2**level - j):
+                if aggregation._drawn(canvas, np.array([x * 2**level - i]), np.array([y * 2**level - j]))[0]:
                     want.add(k)
         assert got.pop((level, i, j)) == want
         if len(own) > 1 and level < 6:
@@ -384,10 +386,28 @@ def test_requests(spark, points):
              {"id": "c", "type": "query", "query": {"keyword": "cat", "bbox": box, "zoom": 2, "algorithm": "?"}}, {"id": "d", "type": "cmd", "cmd": "status"}, {"id": "e", "type": "cmd", "cmd": "clear"}, {"id": "f", "type": "x"}]
     got = [*session.requests(asked[:2])] + [*session.requests(asked[2:])]
     assert [r["ok"] for r in got] == [True, True, False, True, True, False] and got[0]["rows"] == points.count() and not session.built
+    assert got[0]["answer"].count() == points.count() and got[1]["answer"].agg(F.sum("n")).first()[0] == points.count()  # after the clear
+    held = len(session.dropped)
+    del got
+    gc.collect()
+    assert held and session.swept() == 0
     east = session.query("cat", (100.0, -80.0, -100.0, 80.0), 2, "QTA", res_x=64, res_y=64)
     assert east.filter("x > 0.3 and x < 0.7").count() == 0
 
 
+def test_evicted_tables_stay_for_their_answers(spark, points):
+    events = points.select("tid", F.lit(None).cast("timestamp").alias("create_at"), F.when(F.col("tid") % 2 == 0, "cat").otherwise("dog").alias("text"), "x", "y")
+    session, box = Session(events, max_zoom=3, most=2), (-180.0, -80.0, 180.0, 80.0)
+    cats = session.query("cat", box, 2)
+    files = [f for lease in session.built.values() for f in lease.table.inputFiles()]
+    session.query("dog", box, 2)  # evicts both tables of cats
+    assert "cat-original-points" not in session.built and len(session.built) == 2 and len(session.dropped) == 2
+    assert cats.agg(F.sum("n")).first()[0] == events.filter("text = 'cat'").count()
+    del cats
+    gc.collect()
+    assert session.swept() == 0 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 @pytest.mark.parametrize("hot", [20_000, 30])
 def test_markers(points, rows, hot, monkeypatch):
     monkeypatch.setattr(clustering, "HOT", hot)
@@ -429,7 +449,8 @@ def test_english_queries(spark):
     docs = spark.createDataFrame([(1, "The cats were running"), (2, "a runner"), (3, "the of")], "id long, text string")
     of = lambda q: sorted(r.id for r in docs.filter(match(F.col("text"), q, english=True)).collect())
     assert of("the | cat") == [1] and of("!the") == [] and of("cat & !the") == [1] and of("(the | of) & cat") == [1] and of("the & of") == []
-    assert of("cat & runs") == [1] and of("the & runner") == [2] and of("cat <-> running") == [1]
+    assert of("cat & runs") == [1] and of("the & runner") == [2]
+    assert of("cat <-> running") == [] and of("cat <-> were <-> running") == of("cat <-> the <-> running") == of("the <-> cats") == [1] and of("cats <-> were <-> were <-> running") == []  # a stop word keeps its place
 
 
 def test_marker_radius_and_pixels(spark):
@@ -463,5 +484,22 @@ def test_raster_histograms(spark):
 def test_replay(spark, points):
     at = Session(points.selectExpr("tid", "timestamp'2024-01-01' as create_at", "'click' as text", "x", "y"))
     move = {"keyword": None, "bbox": (-180, -90, 180, 90), "zoom": 3, "algorithm": "DataExplorer"}
-    got = at.replayed([move, {"zoom": 4}]).orderBy("step").collect()
-    assert [(r.step, r.zoom, r.rows, r.seconds is None) for r in got] == [(0, 3, points.count(), False), (1, 4, -1, True)]
+    got = at.replayed([move, {"zoom": 4}]).orderBy("step", F.desc("phase")).collect()
+    assert [(r.step, r.zoom, r.phase, r.rows, r.seconds is None) for r in got] == [(0, 3, "build points", -1, False), (0, 3, "answer", points.count(), False), (1, 4, "none", -1, True)]
+
+
+def test_recorded_moves_are_replayed_by_phases(spark, points, tmp_path):
+    session = Session(points.selectExpr("tid", "timestamp'2024-01-01' as create_at", "'click' as text", "x", "y"), max_zoom=4)
+    moves = [{"keyword": None, "bbox": [-180, -90, 180, 90], "zoom": z, "tree_cut": True} for z in (1, 2)]
+    (tmp_path / "moves.json").write_text("\n".join([json.dumps(moves[0]), "", json.dumps({"zoom": 4}), json.dumps(moves[1])]) + "\n")
+    log = recorded(spark, str(tmp_path / "moves.json"))
+    got = session.replayed(log).collect()
+    phases = {}
+    for r in got:
+        phases.setdefault(r.step, []).append(r.phase)
+    assert phases == {0: ["build points", "build exact", "plan cut", "answer"], 1: ["none"], 2: ["plan cut", "answer"]}
+    session.replayed(log).toPandas().to_csv(tmp_path / "out.csv", index=False)
+    assert (tmp_path / "out.csv").read_text().startswith("step,zoom,phase,rows,seconds")
+    (tmp_path / "bad.json").write_text("[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        session.replayed(recorded(spark, str(tmp_path / "bad.json")))
