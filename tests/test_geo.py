@@ -129,6 +129,38 @@ def test_approximate_conserves_points(points, rows):
     assert len(keys) == len(state) and all((r.level - 1, r.parent) in keys for r in state if r.level > 1)
 
 
+@pytest.mark.parametrize("cuts", [(120, 270), (90, 91, 180, 270)])
+def test_approximate_against_a_plain_restatement(points, rows, cuts):
+    """Point by point: at each level the point joins the first leader within the radius, and counts for all its ancestors, or leads and goes on below."""
+    state, low = None, 0
+    for high in cuts:
+        state, low = clustering.approximate(state, points.filter(f"seq >= {low} and seq < {high}"), 4, 1), high
+    first = {}
+    for k, x, y in rows:
+        first.setdefault(((k >= cuts[0]) + sum(k >= c for c in cuts[1:]), x, y), [k, 0])[1] += 1  # coinciding points of a batch are one
+    nodes, parents = {}, {}
+    for (_, x, y), (k, n) in sorted(first.items(), key=lambda item: item[1]):
+        below, level = None, 4
+        while level >= 1:
+            at = min([key for (z, key), v in nodes.items() if z == level and ((x - v[0]) ** 2 + (y - v[1]) ** 2) ** 0.5 <= m.radius(level)], default=None)
+            if at is None:
+                nodes[level, k] = [x, y, 0]
+                if below:
+                    parents[below] = k
+                below = (level, k)
+                level -= 1
+                continue
+            if below:
+                parents[below] = at
+            break
+        top = (4, k) if (4, k) in nodes else (4, at if level == 4 else k)
+        while top[0] >= 1:
+            nodes[top][2] += n
+            top = (top[0] - 1, parents.get(top))
+    got = {(r.level, r.key): (round(r.lx, 12), round(r.ly, 12), r.n, r.parent) for r in state.collect()}
+    assert got == {k: (round(x, 12), round(y, 12), n, parents.get(k)) for k, (x, y, n) in nodes.items()}
+
+
 def test_labels_and_indexes(points, rows):
     tree = clustering.hierarchy(points, 4, 2)
     got = clustering.labels(points, tree, 2)
