@@ -208,9 +208,11 @@ def test_personal_data(documents, edge, rows):
     for df, of in ((documents, plain), (edge, rows)):
         got = sorted(pii.personal_data(df).collect(), key=lambda r: (r[0] is None, r[0]))
         assert len(got) == len(of)
-        want = {i: t for i, t in of if i is not None}
+        want = {i: t for i, t in of}
+        bases = [(i, ",".join(f"{k}:{a}:{b}" for k, a, b in spans(t or ""))) for i, t in of]
+        assert collections.Counter((r.doc_id, r.base_sha256) for r in got) == collections.Counter((i, hashlib.sha256(b.encode()).hexdigest()) for i, b in bases)
         for r in got:
-            if r.doc_id is None:
+            if sum(i == r.doc_id for i, _ in of) > 1:
                 continue
             found = spans(want[r.doc_id] or "")
             base = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
@@ -509,6 +511,35 @@ def test_packing(documents, edge, rows):
         assert short <= 8
 
 
+def test_packing_of_rows_without_or_with_one_id(edge, rows):
+    """Null and repeated ids: every token of every row lies in one piece."""
+    from tokenizers import Tokenizer
+
+    paths = packing.default_tokenizer()
+    full = Tokenizer.from_file(paths[0])
+    want, of = collections.Counter(), collections.defaultdict(set)
+    for i, t in rows:
+        ids = full.encode(t or "", add_special_tokens=False).ids + [0]
+        want.update((i, len(ids), k) for k in range(len(ids)))
+        of[i, len(ids)].add(tuple(ids))
+    got = collections.Counter()
+    for r in packing.packed(edge, paths, with_ids=True).collect():
+        got.update((r.doc_id, r.doc_tokens, k) for k in range(r.start, r.start + r.length))
+        assert any(list(ids[r.start : r.start + r.length]) == r.ids for ids in of[r.doc_id, r.doc_tokens])
+    assert got == want
+
+
+def test_step_groups_have_equal_tokens(documents):
+    """A group has sequences of one tier, as many as STEP tokens take; only the last group of a tier in a task may have fewer."""
+    tiers, sizes = collections.defaultdict(set), collections.defaultdict(set)
+    for r in packing.packed(documents, packing.default_tokenizer()).collect():
+        tiers[r.step_group].add(r.tier)
+        sizes[r.step_group].add(r.sequence_id)
+    assert all(len(t) == 1 for t in tiers.values())
+    short = collections.Counter((g >> 33, *tiers[g]) for g in sizes if len(sizes[g]) * [*tiers[g]][0] < packing.STEP)
+    assert all(len(sizes[g]) * [*tiers[g]][0] <= packing.STEP for g in sizes) and max(short.values()) == 1 and len(sizes) > len(short)
+
+
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b\n\n c", "don't I'll x 's", "é ü 日本 x", "a<|endoftext|> b", "x\x1c y\x85 z", "tab\t x", " nb sp"])
 def test_chunked_tokens_are_the_library_s(text):
     own = packing.tokenizer(*packing.default_tokenizer())
@@ -610,9 +641,7 @@ def test_shards(documents, edge, rows):
         for r in got:
             slots[r.shard].append(r.slot)
             loads[r.shard] += r.size
-            if r.doc_id is not None:
-                t = next(t or "" for i, t in of if i == r.doc_id)
-                assert texts.setdefault(t, r.shard) == r.shard
+            assert texts.setdefault((r.size, r.text_crc32), r.shard) == r.shard  # rows without an id as well
         assert all(sorted(x) == [*range(len(x))] for x in slots.values())
         largest = max(sum(n for n in collections.Counter({t or "": len((t or "").encode()) + 1}).values()) for _, t in of)
         assert max(loads.values()) - min(loads.values()) <= max(largest, 3 * max(len((t or "").encode()) + 1 for _, t in of))

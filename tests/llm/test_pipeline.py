@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import corpus_pipeline
+import pytest
+from test_operators import SCHEMA, words_of
 from cartograin.llm import quality_classifier
 from cartograin.llm.common import written
 
@@ -55,3 +58,42 @@ def test_stages(spark, small):
         tokens[r.doc_id] += r.length
     assert tokens == {r.doc_id: r.doc_tokens for r in kept[4]} and tokens.keys() == kept[3].keys()
     assert len({hashlib.md5(t.encode()).digest() for t in kept[1].values()}) == len(kept[1])
+
+
+def odd_rows():
+    rng = random.Random(12)
+    base, passage = words_of(rng, 90), words_of(rng, 30)
+    texts = [base, base, None, "", " \n ", "one", passage + " " + passage, words_of(rng, 40) + "\n" + passage, "x " * 70, words_of(rng, 4000), "mail a.b@c.example.org now " + words_of(rng, 30)]
+    rows = [*enumerate(texts), (None, base), (None, None), (None, base), (0, base), (3, words_of(rng, 50))]
+    return rows
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_each_stage_on_odd_rows(spark, small, stage):
+    """Nulls in any column, empty and long texts, repeats, rows without an id, and columns with names that stages use themselves."""
+    rows = odd_rows()
+    clash = SCHEMA.replace("label string", "failed string").replace("blocks string", "component_id string")
+    docs = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, None, None if i is None else 7, *["clash"] * 12) for i, t in rows], clash)
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, docs, small)
+    found = got.collect()
+    if stage == 4:
+        assert sum(r.length for r in found) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in found}[r.doc_id, r.doc_tokens] * (r.start == 0) for r in found)
+        return
+    assert got.columns == docs.columns
+    left, all_ = collections.Counter(r.doc_id for r in found), collections.Counter(i for i, _ in rows)
+    assert all(r.n_chars == (7 if stage < 2 and r.doc_id is not None else r.n_chars) for r in found)
+    if stage in (2, 3):
+        assert left == all_ and all((r.text is None) or r.n_chars == len(r.text) for r in found)
+        assert sum(r.text is None for r in found) == sum(t is None for _, t in rows)
+    else:
+        assert not left - all_ and left[None] == all_[None]
+    if stage == 1:
+        assert 0 in left and 1 not in left and left[2] == 1
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_each_stage_on_an_empty_table(spark, small, stage):
+    empty = spark.createDataFrame([], SCHEMA)
+    got = corpus_pipeline.STAGES[stage][1](spark, empty, small)
+    assert not got.collect() and (stage == 4 or got.columns == empty.columns)
