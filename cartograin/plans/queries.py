@@ -13,9 +13,10 @@ from ..functions.text_match import match
 from ..operators import aggregation, agreement, clustering, incremental, radius_join, visible
 from ..sources import points as sources
 from ..sources import sinks
+from ..sources.frames import Frames
 from ..streaming.progressive import by_slices
 from . import tree_sql
-from .shared import numbered, removed, written
+from .shared import numbered, place, removed, written
 
 BBOX = (-120.0, 26.0, -75.0, 28.5)
 #: A box across 180 degrees, and the whole world.
@@ -296,7 +297,8 @@ def _transfer(spark, sf_dir):
 
 
 def _point_features(spark, sf_dir):
-    return sinks.point_features(sources.scan(sources.from_events(spark, sf_dir)))
+    """A GeoJSON feature for each point, places to six digits."""
+    return sinks.point_features(_rounded(sources.scan(sources.from_events(spark, sf_dir)), "x", "y"))
 
 
 def _screen(spark, sf_dir):
@@ -399,7 +401,8 @@ def _kmeans(spark, sf_dir):
 
 
 def _geojson(spark, sf_dir):
-    return sinks.geojson(visible.visible(_tree(spark, sf_dir), BBOX, 4))
+    """GeoJSON features of the visible clusters of zoom 4, places to six digits."""
+    return sinks.geojson(_off_ties(visible.visible(_tree(spark, sf_dir), BBOX, 4), "lng", "lat"))
 
 
 def _arrays(spark, sf_dir):
@@ -410,6 +413,14 @@ def _binary(spark, sf_dir):
     return sinks.records(_points(spark, sf_dir).select(F.col("y").alias("lat"), F.col("x").alias("lng"), F.lit(1).alias("n")))
 
 
+def _frames(spark, sf_dir):
+    """All points, written as binary frames by Spark's tasks and read back."""
+    path = place(spark, "frames")
+    spark.dataSource.register(Frames)
+    _points(spark, sf_dir).select(F.col("y").alias("lat"), F.col("x").alias("lng"), F.lit(1).alias("n")).write.format("frames").mode("append").save(path)
+    return spark.read.format("frames").load(path)
+
+
 QUERIES = {
     "clusters_z4": _clusters,
     "points_scan": _scan,
@@ -480,6 +491,7 @@ QUERIES = {
     "geojson": _geojson,
     "array_rows": _arrays,
     "binary_frame": _binary,
+    "frames_read_back": _frames,
 }
 _R4 = f"{m.radius(4)!r}::DOUBLE"
 _GREEDY = f"""{_P}, k AS (SELECT row_number() OVER (ORDER BY tid)-1 AS seq, mx, my FROM q ),
@@ -555,6 +567,9 @@ SELECT i, j, n, round(r*0.7::DOUBLE + 1.23e-9, 6) AS fill, round(r*0.3::DOUBLE +
     "keyword_english": _documents_sql("list_has_any(w, ['licens', 'license', 'licensed', 'licenses', 'licensing', 'licensable']) AND list_has_any(w, ['work', 'works', 'worked', 'working'])"),
     "order_rand_index": tree_sql.order_agreement(_P, {"original": "tid", "reverse": "tid DESC", "spatial": "x, y, tid", "reverse-spatial": "x DESC, y DESC, tid"}, range(4, 9)),
     "scaling_sizes": tree_sql.scaling(_P, 5_000, 6),
+    "frames_read_back": f"WITH {_P} SELECT y AS lat, x AS lng, 1::INTEGER AS n FROM q",
+    "point_features": f"""WITH {_P} SELECT tid, '{{"type":"Feature","properties":{{"id":' || tid || '}},"geometry":{{"coordinates":[' || round(x, 6)::VARCHAR || ',' || round(y, 6)::VARCHAR || '],"type":"Point"}}}}' AS feature FROM q""",
+    "geojson": f"""{tree_sql.tree(_P, bottom=4)} SELECT key, '{{"type":"Feature","properties":{{"point_count":' || n || ',"point_count_abbreviated":"' || n || '","id":' || key || ',"expansionZoom":' || expansion_zoom || ',"zoom":4}},"geometry":{{"coordinates":[' || round((mx-0.5)*360 + 1.23e-9, 6)::VARCHAR || ',' || round(360*atan(exp((180-my*360)*pi()/180))/pi()-90 + 1.23e-9, 6)::VARCHAR || '],"type":"Point"}}}}' AS feature FROM t WHERE level = 4 AND {_BOX}""",
     "hierarchy": f"{tree_sql.tree(_P)} SELECT level, key, parent, round(mx + 1.23e-9, 6) AS mx, round(my + 1.23e-9, 6) AS my, n, children, expansion_zoom FROM t",
     "incremental_exact_levels": f"{tree_sql.tree(_P)} SELECT level, count(*) AS clusters, sum(n)::BIGINT AS points FROM t GROUP BY level",
     "cluster_labels": tree_sql.labels(_P, 4),
