@@ -1,13 +1,14 @@
 """Greedy radius clustering at every zoom, batch and incremental.
 
 The greedy rule takes points in the order of seq: a point with no earlier leader within the radius becomes a leader, any
-other joins the earliest such leader. Space is cut into tiles of TILE radii; a task follows the rule over the points of a
-tile and a margin of HALO radii around it, and decides what it can be sure of: not points near the margin's edge, nor what
-depends on them. What is left open goes into another round, together with the leaders around it; the earliest open point is
-always decided, and seldom are there more than two rounds. A task keeps the leaders of one tile, which are few, for the
-points pass by in order. Where raw points are dense, a tile's first HOT points are taken first, and what their leaders
-cover is joined to them by a plain radius join, so that no tile is large. Levels are clustered from the highest zoom down,
-each from the clusters above, so a level sees few points in a radius. Coinciding points are one point of the first's seq.
+other joins the earliest such leader. Space is cut into tiles of TILE radii; a task follows the rule over the points of many
+tiles at once, each with a margin of HALO radii around it (greedy.decided), and decides what it can be sure of: not points
+near the margin's edge, nor what depends on them. What is left open goes into another round, together with the leaders around
+it; the earliest open point is always decided, and seldom is there more than one round. Where raw points are so dense that a
+tile has over HOT of them, its first HOT are taken first, and what their leaders cover is joined to them by a plain radius
+join, so that no tile is large. Levels are clustered from the highest zoom down, each from the clusters above, so a level
+sees few points in a radius. From one level to the next there is one shuffle: members are dealt by the place of their
+leader, and the task that gets them merges them and goes on with the rule. Coinciding points are one point of the first's seq.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ..plans.shared import numbered, place, removed, shuffle_parts, written
 from .greedy import decided
 from .radius_join import apart, near
 
-#: Side of a tile (over twice the margin) and width of its margin in radii, and points of a tile that are taken at a time.
+#: Side of a tile (over twice the margin) and width of its margin in radii, and raw points of a tile that are taken at a time.
 TILE, HALO, HOT = 32, 4, 1 << 17
 #: Points of whole tiles that a task takes at a time.
 GATHER = 1 << 15
