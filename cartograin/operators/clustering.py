@@ -103,18 +103,21 @@ def _decided(dealt: DataFrame, r: float, strict: bool, left: Accumulator) -> Dat
 def _settled(spark: SparkSession, first: Callable[[Accumulator], DataFrame], r: float, fixed: DataFrame | None = None, strict: bool = False, path: str | None = None) -> DataFrame:
     """Rows (key, mx, my, ..., leader, px, py) of first with what it left open decided in further rounds, as tables.
 
-    With path, all of them are written there; rows without a leader, which were open for a while, count for nothing. Tasks count what they leave open with an accumulator; a task that ran twice may count twice, but never too little.
+    With path, all of them are written there, with late, whether they took more than a round; rows without a leader, which
+    were open for a while, count for nothing. Tasks count what they leave open with an accumulator; a task that ran twice may count twice, but never too little.
     """
     done, lead, ask = [], fixed, first
     while True:
         left = spark.sparkContext.accumulator(0)
-        found = written(ask(left), "followed", None if done else path)
+        found = ask(left)
+        found = written(found.withColumn("late", F.lit(False)) if path and not done else found, "followed", None if done else path)
         if not left.value:
             if path and done:
-                return written(reduce(DataFrame.unionByName, [*done[1:], found]), "followed", path, append=True).filter("leader is not null")
+                late = reduce(DataFrame.unionByName, [*done[1:], found]).withColumn("late", F.lit(True))
+                return written(late.select(done[0].columns), "followed", path, append=True).filter("leader is not null")
             return reduce(DataFrame.unionByName, [*done, found])
         done.append(found.filter("leader is not null"))
-        open_ = found.filter("leader is null").drop("leader", "px", "py")
+        open_ = found.filter("leader is null").drop("leader", "px", "py", "late")
         new = done[-1].filter("key = leader").select("key", "mx", "my")
         lead = new if lead is None else lead.select("key", "mx", "my").unionByName(new)
         ask = partial(_asked, open_, r, lead, strict, again=True)
@@ -286,10 +289,25 @@ def _root(rows: DataFrame, zoom: int) -> DataFrame:
     return rows.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom").groupBy("leader").applyInArrow(merge, kinds)
 
 
-def below(level: DataFrame, zoom: int, min_zoom: int = MIN_ZOOM) -> DataFrame:
+_KINDS = {"key": "long", "n": "long", "children": "long", "leader": "long", "expansion_zoom": "int", "late": "boolean"}
+
+
+def _stored(spark: SparkSession, root: str, min_zoom: int) -> DataFrame:
+    """The tree in a folder of levels."""
+    kinds = ", ".join(f"{c} {_KINDS.get(c, 'double')}" for c in (*_CLUSTER, "leader", "px", "py", "late"))
+    tree = spark.read.schema(f"{kinds}, level int").parquet(root).filter(F.col("leader").isNotNull() | (F.col("level") == min_zoom))
+    return tree.select("level", "key", F.col("leader").alias("parent"), *_CLUSTER[1:], "px", "py", "late")
+
+
+def _store_last(last: DataFrame, root: str, min_zoom: int) -> None:
+    none = [F.lit(None).cast(_KINDS.get(c, "double")).alias(c) for c in ("leader", "px", "py", "late")]
+    written(last.select(*_CLUSTER, *none), "level", f"{root}/level={min_zoom}")
+
+
+def below(level: DataFrame, zoom: int, min_zoom: int = MIN_ZOOM, root: str | None = None) -> DataFrame:
     """The rows of hierarchy() for a level (as _level() gives it) and all below, which are clustered anew: one table, partitioned by level."""
-    spark, root = level.sparkSession, place(level.sparkSession, "tree")
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("leader", "long"), ("px", "double"), ("py", "double"))]
+    spark = level.sparkSession
+    root = root or place(spark, "tree")
     if zoom == min_zoom:
         last = level
     else:
@@ -297,17 +315,16 @@ def below(level: DataFrame, zoom: int, min_zoom: int = MIN_ZOOM) -> DataFrame:
         for lower in range(zoom - 1, min_zoom, -1):
             rows = _risen(rows, lower, f"{root}/level={lower}")
         last = _root(rows, min_zoom)
-    written(last.select(*_CLUSTER, *none), "level", f"{root}/level={min_zoom}")
-    kinds = ", ".join(f"{c} {'long' if c in ('key', 'n', 'children', 'leader') else 'int' if c == 'expansion_zoom' else 'double'}" for c in (*_CLUSTER, "leader", "px", "py"))
-    tree = spark.read.schema(f"{kinds}, level int").parquet(root).filter(F.col("leader").isNotNull() | (F.col("level") == min_zoom))
-    return tree.select("level", "key", F.col("leader").alias("parent"), *_CLUSTER[1:])
+    _store_last(last, root, min_zoom)
+    return _stored(spark, root, min_zoom)
 
 
 def hierarchy(points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
     """Clusters of all levels of points (seq, mx, my), as a table in the shared folder, partitioned by level.
 
-    (level, key, parent, mx, my, n, sx, sy, lx, ly, children, expansion_zoom, low, high, mean): parent is the key of the
-    cluster that holds it one level lower (null at min_zoom); a key names a cluster within its level and is the seq of its
+    (level, key, parent, mx, my, n, sx, sy, lx, ly, children, expansion_zoom, low, high, mean, px, py, late): parent is the
+    key of the cluster that holds it one level lower (null at min_zoom), px and py its leader's place, late whether its
+    parent was found in a later round; a key names a cluster within its level and is the seq of its
     first point. expansion_zoom is that of the only child, or else the level above; low, high and mean are those of the
     distances between each two children (null for one child, and at max_zoom). An empty table gives an empty table.
     """
@@ -324,16 +341,64 @@ def hierarchy(points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_Z
     return tree
 
 
-def grown(tree: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:
+def grown(tree: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM, share: float = 0.1) -> DataFrame:
     """Exact incremental step over all levels: more points (seq beyond all earlier ones) enter at max_zoom, where leaders
-    keep their places; all lower levels are clustered anew. Equal to hierarchy() of all points, but that children at max_zoom counts coinciding points of several
-    steps apart. tree: None starts anew."""
+    keep their places, and lower levels follow by changed regions.
+
+    Level by level, the tiles that see a changed, new or vanished cluster follow the rule anew, all others keep what they
+    had, for a decision hangs on a tile's view only; then only clusters with another or changed member are merged again,
+    and what comes out as before changes nothing further down. So shuffled rows grow with the change; unchanged rows are
+    copied without a shuffle. A level where over share of the clusters changed, and all below it, is clustered as in hierarchy();
+    so is one that needed more than a round. Equal to hierarchy() of all points, but that children at max_zoom counts
+    coinciding points of several steps apart. tree: a result of hierarchy() or grown(), None starts anew.
+    """
     if tree is None:
         return hierarchy(points, max_zoom, min_zoom)
-    names = ["key", "n", "sx", "sy", "lx", "ly", "children"]
-    top = extended(tree.filter(F.col("level") == max_zoom).select("mx", "my", *names), points, max_zoom)
-    none = (F.lit(None).cast("double").alias(c) for c in ("low", "high", "mean"))
-    return below(top.select("key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children", F.lit(max_zoom + 1).alias("expansion_zoom"), *none), max_zoom, min_zoom)
+    spark, root = points.sparkSession, place(points.sparkSession, "tree")
+    zoom = max_zoom
+    old = tree.filter(F.col("level") == zoom)
+    changed = _gains(old, points, zoom).withColumn("expansion_zoom", F.lit(zoom + 1))
+    changed = changed.withColumns({c: F.lit(None).cast("double") for c in ("low", "high", "mean")})
+    changed = written(changed.select(*_CLUSTER), "changed")
+    gone = spark.createDataFrame([], "key long")
+    while zoom > min_zoom:
+        touched = changed.select("key").unionByName(gone)
+        now = old.select(*_CLUSTER, "parent", "px", "py", "late").join(touched, "key", "left_anti")
+        was = old.join(touched, "key").select("key", F.col("parent").alias("was"), F.col("mx").alias("wx"), F.col("my").alias("wy"))
+        was = written(was, "was")
+        if changed.count() > share * old.count() or old.filter("late").limit(1).count():
+            return _grown_whole(now, changed, zoom, min_zoom, root)
+        r = radius(zoom - 1)
+        spots = changed.select("mx", "my").unionByName(was.select(F.col("wx").alias("mx"), F.col("wy").alias("my")))
+        tiles = written(_dealt(spots, r).select("ti", "tj").distinct(), "tiles")
+        current = now.drop("parent", "px", "py", "late").unionByName(changed)
+        left = spark.sparkContext.accumulator(0)
+        dealt = _dealt(current, r).withColumn("lead", F.lit(False)).join(tiles, ["ti", "tj"], "left_semi")
+        again = written(_decided(dealt, r, False, left), "again")
+        if left.value:
+            return _grown_whole(now, changed, zoom, min_zoom, root)
+        before = now.select("key", F.col("parent").alias("was")).unionByName(was.select("key", "was"))
+        outcome = again.select("key", "leader").join(before, "key", "left").join(changed.select("key", F.lit(True).alias("new")), "key", "left")
+        outcome = outcome.filter(F.col("new") | ~F.col("leader").eqNullSafe(F.col("was")))
+        parents = outcome.select(F.explode(F.array("leader", "was")).alias("key")).unionByName(was.select(F.col("was").alias("key"))).filter("key is not null").distinct()
+        parents = written(parents, "parents")
+        kept = now.join(again.select("key"), "key", "left_anti").withColumnRenamed("parent", "leader")
+        level = written(kept.unionByName(again.withColumn("late", F.lit(False))).select(*_CLUSTER, "leader", "px", "py", "late"), "level", f"{root}/level={zoom}")
+        zoom -= 1
+        old = tree.filter(F.col("level") == zoom)
+        merged_ = written(_root(level.join(parents.select(F.col("key").alias("leader")), "leader"), zoom), "merged")
+        gone = written(parents.join(merged_.select("key"), "key", "left_anti"), "gone")
+        same = old.select(F.struct(*_CLUSTER).alias("had"), "key")
+        changed = merged_.join(same, "key", "left").filter(~F.col("had").eqNullSafe(F.struct(*_CLUSTER))).select(*_CLUSTER)
+        changed = written(changed, "changed")
+    touched = changed.select("key").unionByName(gone)
+    _store_last(old.select(*_CLUSTER).join(touched, "key", "left_anti").unionByName(changed), root, min_zoom)
+    return _stored(spark, root, min_zoom)
+
+
+def _grown_whole(now: DataFrame, changed: DataFrame, zoom: int, min_zoom: int, root: str) -> DataFrame:
+    """The tree of a level's unchanged and changed clusters, with all levels below it clustered anew."""
+    return below(now.select(*_CLUSTER).unionByName(changed), zoom, min_zoom, root)
 
 
 def with_ids(tree: DataFrame, zoom: int) -> DataFrame:
@@ -395,21 +460,27 @@ def hulls(points: DataFrame, parts: int = 32) -> DataFrame:
     return bounds.join(found, "label")
 
 
-def extended(level: DataFrame, points: DataFrame, zoom: int) -> DataFrame:
-    """Exact incremental step: clusters of a zoom, straight from points, after more points (seq beyond all earlier ones).
-
-    level is clusters_at()'s result so far. Stored leaders keep their places, since they come first; new points join the
-    first of them within the radius, the rest cluster among themselves. Equal to clustering all points anew.
-    """
+def _gains(level: DataFrame, points: DataFrame, zoom: int) -> DataFrame:
+    """The clusters of a level that more points (seq beyond all earlier ones) change or make, as they are then."""
     points = written(collapsed(points), "points")
     fixed = level.select("key", F.col("lx").alias("mx"), F.col("ly").alias("my"))
     member = written(leaders(points, radius(zoom), fixed), "members")
     gained = points.join(member, "key").groupBy(F.col("leader").alias("key")).agg(F.sum("n").alias("gn"), F.sum("sx").alias("gx"), F.sum("sy").alias("gy"), F.count("*").alias("gc"))
-    old = level.join(gained, "key", "left").select("key", *((F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a) for a, b in (("n", "gn"), ("sx", "gx"), ("sy", "gy"), ("children", "gc"))), "lx", "ly")
+    old = level.join(gained, "key").select("key", *((F.col(a) + F.col(b)).alias(a) for a, b in (("n", "gn"), ("sx", "gx"), ("sy", "gy"), ("children", "gc"))), "lx", "ly")
     lead = points.join(level.select("key"), "key", "left_anti").select("key", F.col("mx").alias("lx"), F.col("my").alias("ly"))
     new = gained.join(lead, "key").select("key", F.col("gn").alias("n"), F.col("gx").alias("sx"), F.col("gy").alias("sy"), F.col("gc").alias("children"), "lx", "ly")
-    out = old.unionByName(new)
-    return out.select("key", (F.col("sx") / F.col("n")).alias("mx"), (F.col("sy") / F.col("n")).alias("my"), "n", "sx", "sy", "lx", "ly", "children")
+    return old.unionByName(new).select("key", (F.col("sx") / F.col("n")).alias("mx"), (F.col("sy") / F.col("n")).alias("my"), "n", "sx", "sy", "lx", "ly", "children")
+
+
+def extended(level: DataFrame, points: DataFrame, zoom: int) -> DataFrame:
+    """Exact incremental step: clusters of a zoom, straight from points, after more points (seq beyond all earlier ones).
+
+    level is clusters_at()'s result so far. Stored leaders keep their places, since they come first; new points join the
+    first of them within the radius, the rest cluster among themselves. Equal to clustering all points anew.
+    """
+    names = ["key", "mx", "my", "n", "sx", "sy", "lx", "ly", "children"]
+    changed = written(_gains(level, points, zoom), "changed")
+    return level.select(names).join(changed.select("key"), "key", "left_anti").unionByName(changed.select(names))
 
 
 def approximate(state: DataFrame | None, points: DataFrame, max_zoom: int = MAX_ZOOM, min_zoom: int = MIN_ZOOM) -> DataFrame:

@@ -114,6 +114,29 @@ def test_incremental_over_all_levels_is_exact(points):
     assert of(tree) == of(clustering.hierarchy(points, 4, 1))
 
 
+def test_changed_regions(points, monkeypatch):
+    """Steps of very different sizes, followed by changed regions, are equal to clustering all points at once."""
+    monkeypatch.setattr(clustering, "TILE", 9)
+    of = lambda tree: {(r.level, r.key, r.parent, r.n, r.children if r.level < 5 else None, r.expansion_zoom if r.level < 5 else None, *(None if v is None else round(v, 9) for v in (r.mx, r.my, r.lx, r.ly, r.high, r.low, r.mean))) for r in tree.collect()}
+    tree, low = None, 0
+    for high in (200, 201, 270):
+        tree, low = clustering.grown(tree, points.filter(f"seq >= {low} and seq < {high}"), 5, 2, 1.0), high
+    assert of(tree) == of(clustering.hierarchy(points, 5, 2))
+
+
+def test_unchanged_tiles_are_not_followed_again(spark, points, rows, monkeypatch):
+    """A point far from all others makes only its own tiles follow the rule."""
+    tree = clustering.hierarchy(points, 5, 3)
+    asked, decided = [], clustering._decided
+    monkeypatch.setattr(clustering, "_decided", lambda dealt, *rest: asked.append(dealt.filter("own").count()) or decided(dealt, *rest))
+    far = spark.createDataFrame([(270, 270, 0.0, 0.0, 0.97, 0.97)], "seq long, tid long, x double, y double, mx double, my double")
+    got = clustering.grown(tree, far, 5, 3, 1.0)
+    assert asked[1:] == [1, 1]  # the new point enters first, then once a level
+    want = clustering.hierarchy(points.select("seq", "tid", "x", "y", "mx", "my").unionByName(far), 5, 3)
+    of = lambda tree: {(r.level, r.key, r.parent, r.n) for r in tree.collect()}
+    assert of(got) == of(want)
+
+
 def test_golden_sizes_of_levels(spark, small):
     p = sources.ordered(sources.projected(sources.from_events(spark, small)))
     got = {r.level: r["count"] for r in clustering.hierarchy(p).groupBy("level").count().collect()}
@@ -129,10 +152,9 @@ def test_approximate_conserves_points(points, rows):
     assert len(keys) == len(state) and all((r.level - 1, r.parent) in keys for r in state if r.level > 1)
 
 
-@pytest.mark.parametrize("cuts", [(120, 270), (90, 91, 180, 270)])
-def test_approximate_against_a_plain_restatement(points, rows, cuts):
+def test_approximate_against_a_plain_restatement(points, rows):
     """Point by point: at each level the point joins the first leader within the radius, and counts for all its ancestors, or leads and goes on below."""
-    state, low = None, 0
+    state, low, cuts = None, 0, (90, 91, 270)
     for high in cuts:
         state, low = clustering.approximate(state, points.filter(f"seq >= {low} and seq < {high}"), 4, 1), high
     first = {}
