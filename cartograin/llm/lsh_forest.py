@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, components, mix, removed, shuffle_parts, table, window_hashes, word_hashes, written
-from .ngram_jaccard_join import _blocks, _digest, _open, _pairs, _searched, _with_hubs
+from .ngram_jaccard_join import _blocks, _digest, _open, _pairs, _with_hubs, linked, shingle_sets
 
 #: Minhashes of a signature, trees, and minhashes after a tree's prefix that its entries carry.
 SAMPLES, TREES, VIEW = 128, 32, 16
@@ -223,6 +223,25 @@ def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
     return out
 
 
+def _confirmed(dealt: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, bucket): ids of sets, and the smallest id of the component that links on full sets join them in, for each block or pair of blocks.
+
+    A block costs time and few bytes, so blocks are dealt to many tasks by number, which Spark does not join by size again.
+    """
+
+    def search(t: pa.Table) -> pa.Table:
+        reps = t.column("rep").to_numpy()
+        first = linked([s.copy() for _, s in shingle_sets(t.column("text"), width)], num, den)
+        low = np.full(len(reps), np.iinfo(np.int64).max)
+        np.minimum.at(low, first, reps)
+        many = (np.bincount(first, minlength=len(reps)) > 1)[first]
+        return pa.table({"node": reps[many], "bucket": low[first][many]})
+
+    blocks = dealt.join(texts, "rep").select("label", "i", "j", "rep", "text")
+    blocks = blocks.repartition(max(32, 4 * shuffle_parts(dealt.sparkSession)), "label", "i", "j")
+    return blocks.groupBy("label", "i", "j").applyInArrow(search, "node long, bucket long")
+
+
 def forest_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; two texts link when den * |common| >= num * |union| of their shingles.
 
@@ -239,11 +258,11 @@ def forest_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     reps = nodes.select(F.col("d1").alias("node"), "rep", "size")
     members = written(_blocks(components(meets.select("node", "bucket"), "forest-groups"), reps), "forest-members")
     texts = written(docs.join(members.select("rep").distinct().hint("merge"), docs.doc_id == F.col("rep")).select("rep", "text"), "forest-texts")
-    found = _searched(_with_hubs(members, meets), texts, width, num, den)
+    found = _confirmed(_with_hubs(members, meets), texts, width, num, den)
     if members.filter("blocks > 1").limit(1).count():
         found = written(found, "forest-found")
         open_ = components(_open(meets, members, components(found, "forest-links")), "forest-groups")
-        found = found.unionByName(_searched(_pairs(_blocks(open_, reps)), texts, width, num, den))
+        found = found.unionByName(_confirmed(_pairs(_blocks(open_, reps)), texts, width, num, den))
     roots = components(found, "forest-links").withColumnRenamed("label", "root")
     for done in (meets, members, texts):
         removed(done)
