@@ -69,9 +69,9 @@ def _whole(batches, columns: tuple[str, ...]):
         wanted = max(GATHER, 2 * count)
 
 
-def _ruled(tile, ti, tj, key, x, y, lead, r: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
-    """decided() for points in tiles (ti, tj) of TILE radii, of which all within the margin are here."""
-    side, edge = TILE * r, (HALO - 1.001) * r
+def _ruled(tile, ti, tj, key, x, y, lead, side: float, r: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """decided() for points in tiles (ti, tj) of a side, of which all within the margin are here."""
+    edge = (HALO - 1.001) * r
     dx, dy = x - ti * side, y - tj * side
     i, j = (np.floor((v + HALO * r) * (2 / r)).astype(np.int64) + 4 for v in (dx, dy))
     sure = (dx > -edge) & (dx < side + edge) & (dy > -edge) & (dy < side + edge)
@@ -82,11 +82,11 @@ def _decided(dealt: DataFrame, r: float, strict: bool, left: Accumulator) -> Dat
     """The rows of points in their own tiles with leader and its place (px, py), null where it is open, which left counts.
 
     dealt: _dealt() rows with key and lead (whether a known leader)."""
-    names = [c for c in dealt.columns if c not in ("ti", "tj", "own", "lead")]
+    names, side = [c for c in dealt.columns if c not in ("ti", "tj", "own", "lead")], TILE * r
 
     def follow(batches):
         for rows, tile, ti, tj, key, x, y, lead, mine in _whole(batches, ("ti", "tj", "key", "mx", "my", "lead", "own")):
-            leader, known = _ruled(tile, ti, tj, key, x, y, lead, r, strict)
+            leader, known = _ruled(tile, ti, tj, key, x, y, lead, side, r, strict)
             kept = np.flatnonzero(mine & ~lead)
             taken = rows.select(names).take(pa.array(kept))
             to, open_ = leader[kept], ~known[kept]
@@ -171,7 +171,7 @@ def _risen(rows: DataFrame, zoom: int, path: str) -> DataFrame:
             own = (np.floor(mx / side) == ti) & (np.floor(my / side) == tj)
             seen = np.flatnonzero(view | own)
             key, x, y = leader[at][seen], mx[seen], my[seen]
-            to, known = _ruled(tile[seen], ti[seen], tj[seen], key, x, y, np.zeros(len(seen), bool), r, False)
+            to, known = _ruled(tile[seen], ti[seen], tj[seen], key, x, y, np.zeros(len(seen), bool), side, r, False)
             kept = np.flatnonzero(own[seen])
             taken, to, open_ = seen[kept], to[kept], ~known[kept]
             left.add(int(open_.sum()))
