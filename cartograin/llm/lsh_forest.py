@@ -226,7 +226,7 @@ def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
 def _confirmed(dealt: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, bucket): ids of sets, and the smallest id of the component that links on full sets join them in, for each block or pair of blocks.
 
-    A block costs time and few bytes, so blocks are dealt to many tasks by number, which Spark does not join by size again.
+    A block costs time and few bytes, so blocks are dealt to a given number of tasks, which Spark does not join by size.
     """
 
     def search(t: pa.Table) -> pa.Table:
@@ -238,7 +238,7 @@ def _confirmed(dealt: DataFrame, texts: DataFrame, width: int, num: int, den: in
         return pa.table({"node": reps[many], "bucket": low[first][many]})
 
     blocks = dealt.join(texts, "rep").select("label", "i", "j", "rep", "text")
-    blocks = blocks.repartition(max(32, 4 * shuffle_parts(dealt.sparkSession)), "label", "i", "j")
+    blocks = blocks.repartition(max(32, shuffle_parts(dealt.sparkSession)), "label", "i", "j")
     return blocks.groupBy("label", "i", "j").applyInArrow(search, "node long, bucket long")
 
 
