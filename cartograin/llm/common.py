@@ -51,6 +51,17 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """written(), with rows dealt to buckets by key: groups by key read them where they are, without a shuffle."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    place = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    place.bucketBy(shuffle_parts(spark), key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside the warehouse
+    return table
+
+
 def removed(table: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     spark = table.sparkSession
