@@ -5,6 +5,7 @@ import functools
 import math
 import random
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from cartograin.llm import quality_classifier
@@ -120,3 +121,17 @@ def test_limits_are_exact(spark):
         for key, r in got.items():
             at = max(0, math.ceil(len(of[key]) * q) - 1)
             assert (r.limit, r.worst_limit, r.held) == (sorted(x.score for x in of[key])[at], sorted(x.worst for x in of[key])[at], len(of[key]))
+
+
+def test_pipeline_keeps_what_all_trusted_texts_allow(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(3, 25)))
+    docs = {i: (text(["river", "stone", "and", "the"] if i % 3 else ["zzxq", "!!", "the", "0O0"]), "en") for i in range(40)}
+    trusted = spark.createDataFrame([(i,) for i in range(36) if i % 3], "id long")
+    folds = {r.id: r.fold for r in trusted.select("id", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(FOLDS)) + 1).alias("fold")).collect()}
+    table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in docs.items()], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(36)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = restated(docs, folds, 0.99)
+    got = {r.doc_id for r in corpus_pipeline.quality(spark, table, str(tmp_path)).collect()}
+    clear = {i for i, (_, score, limit, _) in want.items() if abs(score - limit) > 1e-5}
+    assert len(clear) >= 30 and got & clear == {i for i in clear if want[i][3]} and 0 < len(got) < len(docs)
