@@ -31,6 +31,8 @@ FOLDS = 4
 PRIOR = 40
 #: Symbols of a run: about a word, and more than one n-gram that the trusted texts never have.
 WORST = 6
+#: Bits of a threshold that are found at a time.
+DIGIT = 16
 _START = "\x02" * (ORDER - 1)
 
 
@@ -281,23 +283,39 @@ def _scored(units: DataFrame, p: DataFrame, asked: DataFrame, ranges: int) -> Da
     return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(score, "id long, lang string, fold int, n long, lp double, worst double")
 
 
-def _limits(rows: DataFrame, quantile: float, accuracy: int = 10_000) -> DataFrame:
+def _limits(rows: DataFrame, quantile: float) -> DataFrame:
     """(whole, lang, limit, worst_limit, held): the quantiles of score and worst, by language and (whole) of all rows, and how many rows.
 
-    A quantile is the least value that at least that share of the rows does not exceed: of all values exactly. An approximate
-    one gives bounds on both sides of it; the values below are counted and those between ranked.
+    A quantile is the least value that at least that share of the rows does not exceed. It is found by its bits, DIGIT at a
+    time from the highest: all values that agree with it so far are counted by their next bits, and the count at which its
+    rank is reached says which it has. So all values are counted, none is estimated, and no count is of more than 2^DIGIT kinds.
     """
+
+    def ordered(batches):
+        for b in batches:
+            bits = b.column(3).to_numpy(zero_copy_only=False).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))], ["whole", "lang", "kind", "x", "bits"])
+
     of = lambda whole: F.struct(F.lit(whole).alias("whole"), F.when(~F.lit(whole), F.col("lang")).alias("lang"))
     kinds = F.explode(F.array(F.struct(F.lit("limit").alias("kind"), F.col("score").alias("x")), F.struct(F.lit("worst_limit").alias("kind"), F.col("worst").alias("x"))))
     rows = rows.select("score", "worst", F.explode(F.array(of(True), of(False))).alias("of")).select("of.*", kinds.alias("k")).select("whole", "lang", "k.*")
-    sides = [F.lit(min(max(quantile + side * 10 / accuracy, 0.0), 1.0)) for side in (-1, 1)]
-    bounds = rows.groupBy("whole", "lang", "kind").agg(F.percentile_approx("x", F.array(*sides), accuracy).alias("b"), F.count("*").alias("held"))
-    bounds = bounds.select(F.col("whole").alias("whole_"), F.col("lang").alias("lang_"), F.col("kind").alias("kind_"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "held")
-    near = rows.join(bounds, (F.col("whole") == F.col("whole_")) & (F.col("kind") == F.col("kind_")) & F.col("lang").eqNullSafe(F.col("lang_"))).filter("x <= high")
-    near = near.groupBy("whole", "lang", "kind", "held", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).count()
-    rank = F.sum("count").over(Window.partitionBy("whole", "lang", "kind").orderBy(F.asc_nulls_first("x")))
-    found = near.withColumn("rank", rank).filter(F.col("rank") >= F.ceil(F.col("held") * quantile)).groupBy("whole", "lang", "held").pivot("kind", ["limit", "worst_limit"])
-    return found.agg(F.min("x")).select("whole", "lang", "limit", "worst_limit", "held")
+    rows = rows.mapInArrow(ordered, "whole boolean, lang string, kind string, x double, bits long")
+    group = ["whole", "lang", "kind"]
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("digits"))
+    same = lambda at: F.col("whole").eqNullSafe(at.whole_) & F.col("kind").eqNullSafe(at.kind_) & F.col("lang").eqNullSafe(at.lang_)
+    at = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        near = rows if at is None else rows.join(at, same(at) & (F.shiftright("bits", shift + DIGIT) == F.col("digits_")))
+        counts = near.groupBy(*group, *([] if at is None else ["held", "rank"]), F.shiftright("bits", shift).alias("digits")).agg(F.count("*").alias("n"), F.min("x").alias("x"))
+        if at is None:
+            counts = counts.withColumn("held", F.sum("n").over(Window.partitionBy(*group))).withColumn("rank", F.greatest(F.ceil(F.col("held") * quantile), F.lit(1)))
+        found = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        found = found.select(*group, "digits", "x", "held", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+        before, at = at, written(found.withColumnsRenamed({c: f"{c}_" for c in (*group, "digits", "x")}), "classifier-limits")
+        if before is not None:
+            removed(before)
+    limit = lambda kind: F.max(F.when(F.col("kind_") == kind, F.col("x_"))).alias(kind)
+    return at.groupBy(F.col("whole_").alias("whole"), F.col("lang_").alias("lang"), "held").agg(limit("limit"), limit("worst_limit")).select("whole", "lang", "limit", "worst_limit", "held")
 
 
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, few: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -135,3 +135,33 @@ def test_pipeline_keeps_what_all_trusted_texts_allow(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.quality(spark, table, str(tmp_path)).collect()}
     clear = {i for i, (_, score, limit, _) in want.items() if abs(score - limit) > 1e-5}
     assert len(clear) >= 30 and got & clear == {i for i in clear if want[i][3]} and 0 < len(got) < len(docs)
+
+
+def test_thresholds_of_the_pipeline_hang_on_no_sketch(spark, tmp_path, monkeypatch):
+    """What an approximate quantile says, however far off, changes nothing: each threshold is found among the values of all trusted texts."""
+    rng = random.Random(13)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(3, 25)))
+    docs = {i: (text(["river", "stone", "and", "the"] if i % 3 else ["zzxq", "!!", "the", "0O0"]), [None, "en"][i % 2]) for i in range(40)}
+    trusted = spark.createDataFrame([(i,) for i in range(36) if i % 3], "id long")
+    folds = {r.id: r.fold for r in trusted.select("id", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(FOLDS)) + 1).alias("fold")).collect()}
+    table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in docs.items()], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(36)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("percentile_approx", "approx_percentile"):
+        monkeypatch.setattr(F, name, lambda x, of, *_: F.transform(F.array(F.min(x), F.min(x)), lambda v: v - 1))
+    want = restated(docs, folds, 0.99)
+    got = {r.doc_id for r in corpus_pipeline.quality(spark, table, str(tmp_path)).collect()}
+    clear = {i for i, (_, score, limit, _) in want.items() if abs(score - limit) > 1e-5}
+    assert len(clear) >= 30 and got & clear == {i for i in clear if want[i][3]} and 0 < len(got) < len(docs)
+
+
+def test_limits_of_close_and_signed_values(spark):
+    """Thresholds that differ from their neighbours in the last bit, below and above zero, one language of a single row."""
+    near = [math.nextafter(x, math.inf) for x in (-2.5, -2.5e-300, 0.0, 1.0, 3.7)]
+    values = sorted([-math.inf, -2.5, *near, 1.0, 3.7, 3.7, math.inf])
+    rows = spark.createDataFrame([("en", x, -x) for x in values] + [(None, 0.25, -0.25)], "lang string, score double, worst double").repartition(5)
+    for q in (0.0, 0.1, 0.3, 0.5, 0.75, 0.9, 1.0):
+        got = {(r.whole, r.lang): r for r in quality_classifier._limits(rows, q).collect()}
+        assert got.keys() == {(True, None), (False, "en"), (False, None)}
+        for key, own in (((False, "en"), values), ((False, None), [0.25]), ((True, None), sorted([*values, 0.25]))):
+            at = max(0, math.ceil(len(own) * q) - 1)
+            assert (got[key].limit, got[key].worst_limit, got[key].held) == (own[at], -own[-1 - at], len(own))
