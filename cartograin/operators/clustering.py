@@ -9,11 +9,13 @@ tile has over HOT of them, its first HOT are taken first, and what their leaders
 join, so that no tile is large. Levels are clustered from the highest zoom down, each from the clusters above, so a level
 sees few points in a radius. From one level to the next there is one shuffle: members are dealt by the place of their
 leader, and the task that gets them merges them and goes on with the rule. Coinciding points are one point of the first's seq.
+hierarchy() and labels_at() take several sets of points at once, whose keys radius_join.of_set() tells apart: each has tiles of
+its own, and all go through the levels together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial, reduce
 from itertools import chain
 
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from ..functions.mercator import MAX_ZOOM, MIN_ZOOM, node_id, radius
 from ..plans.shared import numbered, place, removed, shuffle_parts, written
 from .greedy import decided
-from .radius_join import apart, near
+from .radius_join import SET, apart, near, set_of
 
 #: Side of a tile (over twice the margin) and width of its margin in radii, and raw points of a tile that are taken at a time.
 TILE, HALO, HOT = 32, 4, 1 << 17
 #: Points of whole tiles that a task takes at a time.
 GATHER = 1 << 15
+#: The bits of a key that name its set.
+_SETS = -1 << SET
 
 
 def _tile(v: Column, r: float, by: float = 0.0) -> Column:
@@ -40,11 +44,11 @@ def _tile(v: Column, r: float, by: float = 0.0) -> Column:
 
 
 def _dealt(points: DataFrame, r: float) -> DataFrame:
-    """points (mx, my, ...) with ti and tj, in each tile that sees them; own: in their own one."""
-    x, y = F.col("mx"), F.col("my")
-    seen = F.array_distinct(F.array(*(F.struct(_tile(x, r, a).alias("ti"), _tile(y, r, b).alias("tj")) for a in (-HALO, HALO) for b in (-HALO, HALO))))
+    """points (mx, my, ...) with ti (above the bits of the key's set) and tj, in each tile that sees them; own: in their own one."""
+    x, y, base = F.col("mx"), F.col("my"), set_of(F.col("key")) if "key" in points.columns else F.lit(0)
+    seen = F.array_distinct(F.array(*(F.struct((base + _tile(x, r, a)).alias("ti"), _tile(y, r, b).alias("tj")) for a in (-HALO, HALO) for b in (-HALO, HALO))))
     dealt = points.withColumn("_tile", F.explode(seen)).select(*points.columns, "_tile.*")
-    return dealt.withColumn("own", (F.col("ti") == _tile(x, r)) & (F.col("tj") == _tile(y, r)))
+    return dealt.withColumn("own", (F.col("ti") == base + _tile(x, r)) & (F.col("tj") == _tile(y, r)))
 
 
 def _whole(batches, columns: tuple[str, ...]):
@@ -86,7 +90,7 @@ def _decided(dealt: DataFrame, r: float, strict: bool, left: Accumulator) -> Dat
 
     def follow(batches):
         for rows, tile, ti, tj, key, x, y, lead, mine in _whole(batches, ("ti", "tj", "key", "mx", "my", "lead", "own")):
-            leader, known = _ruled(tile, ti, tj, key, x, y, lead, side, r, strict)
+            leader, known = _ruled(tile, ti - (key & _SETS), tj, key, x, y, lead, side, r, strict)
             kept = np.flatnonzero(mine & ~lead)
             taken = rows.select(names).take(pa.array(kept))
             to, open_ = leader[kept], ~known[kept]
@@ -96,7 +100,9 @@ def _decided(dealt: DataFrame, r: float, strict: bool, left: Accumulator) -> Dat
             yield from taken.combine_chunks().to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in names)
-    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj")
+    # By a hash of the tile: where dealt is a union of joins by tile, one of them by broadcast, Spark 4.1 takes it for dealt by
+    # (ti, tj) already and leaves out a shuffle by these, so that a task would miss leaders.
+    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), F.xxhash64("ti", "tj")).sortWithinPartitions("ti", "tj")
     return rows.mapInArrow(follow, f"{kinds}, leader long, px double, py double")
 
 
@@ -127,7 +133,7 @@ def _asked(points: DataFrame, r: float, lead: DataFrame | None, strict: bool, le
     """One round: points (key, mx, my, ...) with leader where it can be told; lead (key, mx, my): leaders that come before."""
     dealt = _dealt(points, r).withColumn("lead", F.lit(False))
     if lead is not None:
-        tiles = points.select(_tile(F.col("mx"), r).alias("ti"), _tile(F.col("my"), r).alias("tj")).distinct()
+        tiles = points.select((set_of(F.col("key")) + _tile(F.col("mx"), r)).alias("ti"), _tile(F.col("my"), r).alias("tj")).distinct()
         around = _dealt(lead.select("key", "mx", "my"), r).join(tiles, ["ti", "tj"], "left_semi").withColumn("lead", F.lit(True))
         if again:
             dealt = dealt.join(tiles, ["ti", "tj"], "left_semi")
@@ -148,7 +154,7 @@ def _risen(rows: DataFrame, zoom: int, path: str) -> DataFrame:
     """
     r = radius(zoom - 1)
     reach, side = (HALO + 0.501) * r, TILE * r
-    spots = ", ".join(f"struct(cast(floor((px + {a!r}D) / {side!r}D) as long) as ti, cast(floor((py + {b!r}D) / {side!r}D) as long) as tj)" for a in (-reach, reach) for b in (-reach, reach))
+    spots = ", ".join(f"struct((leader & {_SETS}L) + cast(floor((px + {a!r}D) / {side!r}D) as long) as ti, cast(floor((py + {b!r}D) / {side!r}D) as long) as tj)" for a in (-reach, reach) for b in (-reach, reach))
     dealt = rows.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom", F.expr(f"explode(array_distinct(array({spots})))").alias("at"))
     dealt = dealt.select("leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom", "at.*")
     dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "ti", "tj").sortWithinPartitions("ti", "tj")
@@ -157,6 +163,7 @@ def _risen(rows: DataFrame, zoom: int, path: str) -> DataFrame:
         for _, tile, *columns in _whole(batches, ("ti", "tj", "leader", "key", "px", "py", "mx", "my", "n", "sx", "sy", "expansion_zoom")):
             order = np.lexsort((columns[3], columns[2], tile))
             tile, (ti, tj, leader, key, px, py, mx, my, n, sx, sy, expansion) = tile[order], (c[order] for c in columns)
+            ti = ti - (leader & _SETS)
             new = np.ones(len(tile), bool)
             new[1:] = (tile[1:] != tile[:-1]) | (leader[1:] != leader[:-1])
             at = np.flatnonzero(new)
@@ -202,7 +209,7 @@ def _spread(owner: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> tuple[np
 
 def _most(points: DataFrame, r: float) -> int:
     """How many points the fullest tile has."""
-    tiles = points.groupBy(_tile(F.col("mx"), r), _tile(F.col("my"), r)).agg(F.count("*").alias("n"))
+    tiles = points.groupBy(set_of(F.col("key")) + _tile(F.col("mx"), r), _tile(F.col("my"), r)).agg(F.count("*").alias("n"))
     return tiles.agg(F.max("n")).first()[0] or 0
 
 
@@ -214,18 +221,18 @@ def leaders(points: DataFrame, r: float, fixed: DataFrame | None = None, strict:
     most = _most(points, r)
     if most <= HOT:
         return _followed(points.select("key", "mx", "my"), r, fixed, strict).select("key", "leader")
-    lead, rest = fixed, points.select("key", "mx", "my")
+    lead, rest, seq = fixed, points.select("key", "mx", "my"), F.col("key").bitwiseAND(F.lit((1 << SET) - 1))
     if fixed is not None:
         rest = written(apart(rest, fixed, r, strict), "uncovered")
         most = _most(rest, r)
     while True:
-        cut = rest.agg(F.percentile_approx("key", HOT / most, 10_000)).first()[0] if most > HOT else None
-        first = rest if cut is None else rest.filter(F.col("key") <= cut)
+        cut = rest.agg(F.percentile_approx(seq, HOT / most, 10_000)).first()[0] if most > HOT else None
+        first = rest if cut is None else rest.filter(seq <= cut)
         new = written(_followed(first, r, lead, strict).filter("key = leader").select("key", "mx", "my"), "leaders")
         lead = new if lead is None else lead.unionByName(new)
         if cut is None:
             break
-        rest = written(apart(rest.filter(F.col("key") > cut), new, r, strict), "uncovered")
+        rest = written(apart(rest.filter(seq > cut), new, r, strict), "uncovered")
         most = _most(rest, r)
     return near(points, lead, r, strict).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("leader"))
 
@@ -253,7 +260,7 @@ def merged(points: DataFrame, member: DataFrame) -> DataFrame:
 
 def collapsed(points: DataFrame) -> DataFrame:
     """points (seq, mx, my) as (key, mx, my, n, sx, sy): coinciding points are one, of the least seq."""
-    grouped = points.groupBy("mx", "my").agg(F.min("seq").alias("key"), F.count("*").alias("n"))
+    grouped = points.groupBy("mx", "my", set_of(F.col("seq")).alias("set")).agg(F.min("seq").alias("key"), F.count("*").alias("n"))
     return grouped.select("key", "mx", "my", "n", (F.col("mx") * F.col("n")).alias("sx"), (F.col("my") * F.col("n")).alias("sy"))
 
 
@@ -406,20 +413,30 @@ def with_ids(tree: DataFrame, zoom: int) -> DataFrame:
     return numbered(tree.filter(F.col("level") == zoom), F.asc("key"), name="_index").withColumn("id", node_id(F.col("_index"), zoom)).drop("_index")
 
 
+def labels_at(points: DataFrame, tree: DataFrame, zooms: Iterable[int], top: int) -> DataFrame:
+    """(seq, tid, l4, l5, ...) of points (seq, tid, mx, my): the keys of each point's clusters at zooms of its tree, of which
+    top is the last level.
+
+    Clusters get the keys of those that hold them from the lowest zoom up, so the first joins are small.
+    """
+    zooms, at = sorted(zooms), None
+    for level in range(zooms[0], top + 1):
+        nodes = tree.filter(F.col("level") == level)
+        at = nodes.select("key") if at is None else nodes.select("key", "parent").join(at.withColumnRenamed("key", "parent"), "parent").drop("parent")
+        if level in zooms:
+            at = at.withColumn(f"l{level}", F.col("key"))
+    places = written(collapsed(points).select("key", "mx", "my"), "places")
+    known = places.join(leaders(places, radius(top)), "key").join(at.withColumnRenamed("key", "leader"), "leader").drop("leader")
+    known = known.withColumn("set", set_of(F.col("key"))).drop("key")
+    return points.withColumn("set", set_of(F.col("seq"))).join(known, ["mx", "my", "set"]).select("seq", "tid", *(f"l{z}" for z in zooms))
+
+
 def labels(points: DataFrame, tree: DataFrame, zoom: int, top: int | None = None) -> DataFrame:
     """(seq, tid, label) of points (seq, tid, mx, my): the key of each point's cluster at a zoom of its tree. top: the tree's
     last level (asked of it if not given)."""
-    first = points.groupBy("mx", "my").agg(F.min("seq").alias("key"))
     if top is None:
         top = tree.agg(F.max("level")).first()[0]
-    raw = points.join(first, ["mx", "my"]).select("seq", "tid", "key", "mx", "my")
-    distinct = raw.select("key", "mx", "my").distinct()
-    joined = leaders(distinct, radius(top))
-    raw = raw.join(joined, "key").select("seq", "tid", F.col("leader").alias("label"))
-    for level in range(top, zoom, -1):
-        up = tree.filter(F.col("level") == level).select(F.col("key").alias("label"), "parent")
-        raw = raw.join(up, "label").select("seq", "tid", F.col("parent").alias("label"))
-    return raw
+    return labels_at(points, tree, [zoom], top).withColumnRenamed(f"l{zoom}", "label")
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
